@@ -60,23 +60,26 @@ def previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
             .withColumn(out, F.coalesce("_v", "_carry")).drop("_v", "_carry"))
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], amount: Column, out: str,
+def running_sum(df: DataFrame, keys: list[str], order: list[str], amounts: dict[str, Column],
                 span: int = DEFAULT_SPAN) -> DataFrame:
-    """Add ``out``: sum of ``amount`` over all rows of the key up to and including this one."""
-    rows = df.withColumn("_piece", piece_of(order[0], span)).withColumn("_v", amount)
-    carry = (rows.groupBy(*keys, "_piece").agg(F.sum("_v").alias("_total"))
-             .withColumn("_carry", F.sum("_total").over(_rows_before(keys)))
-             .filter(F.col("_carry").isNotNull()).drop("_total"))
+    """Add each ``out: amount``: sum over all rows of the key up to and including this one."""
+    held = {out: f"_v_{out}" for out in amounts}
+    rows = df.withColumn("_piece", piece_of(order[0], span)).withColumns(
+        {held[out]: amount for out, amount in amounts.items()})
+    before = _rows_before(keys)
+    carry = rows.groupBy(*keys, "_piece").agg(*[F.sum(v).alias(f"_t{v}") for v in held.values()])
+    carry = carry.select(*keys, "_piece", *[F.sum(f"_t{v}").over(before).alias(f"_c{v}") for v in held.values()])
     here = _inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_v", F.sum("_v").over(here))
+    rows = rows.withColumns({v: F.sum(v).over(here) for v in held.values()})
     zero = F.lit(0)
     return (_attach(rows, carry, keys)
-            .withColumn(out, F.coalesce("_v", zero) + F.coalesce("_carry", zero)).drop("_v", "_carry"))
+            .withColumns({out: F.coalesce(v, zero) + F.coalesce(f"_c{v}", zero) for out, v in held.items()})
+            .drop(*held.values(), *[f"_c{v}" for v in held.values()]))
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str,
                 span: int = DEFAULT_SPAN) -> DataFrame:
-    return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, span)
+    return running_sum(df, keys, order, {out: F.lit(1).cast("bigint")}, span)
 
 
 def with_lookback(df: DataFrame, order: str, reach: int, span: int) -> DataFrame:
