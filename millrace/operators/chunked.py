@@ -35,14 +35,15 @@ def _attach(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fill_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
-                 span: int = DEFAULT_SPAN) -> DataFrame:
-    """Add ``out``: the latest non-null ``value`` at or before each row."""
+                 span: int = DEFAULT_SPAN, inclusive: bool = True) -> DataFrame:
+    """Add ``out``: the latest non-null ``value`` at or before each row (before it, if not inclusive)."""
     rows = df.withColumn("_piece", piece_of(order[0], span)).withColumn("_v", value)
     carry = (rows.groupBy(*keys, "_piece")
              .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_tail"))
              .withColumn("_carry", F.last("_tail", ignorenulls=True).over(_rows_before(keys)))
              .filter(F.col("_carry").isNotNull()).drop("_tail"))
-    here = _inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.currentRow if inclusive else -1
+    here = _inside(keys, order).rowsBetween(Window.unboundedPreceding, upto)
     rows = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(here))
     return (_attach(rows, carry, keys)
             .withColumn(out, F.coalesce("_v", "_carry")).drop("_v", "_carry"))

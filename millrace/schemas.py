@@ -34,12 +34,6 @@ MESSAGES = T.StructType([
     T.StructField("old_tuple", T.ArrayType(TUPLE_FIELD)),
 ])
 
-POLICY_DOC = T.StructType([
-    T.StructField("user_id", T.StringType()),
-    T.StructField("tables", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
-    T.StructField("ttl_seconds", T.IntegerType()),
-])
-
 # One transaction is identified by session, xid and commit position: xid alone wraps.
 TX = ["session_id", "tx_id", "commit_lsn"]
 CHANGE_OPS = ["insert", "update", "delete"]

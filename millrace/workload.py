@@ -125,17 +125,23 @@ def _line_text() -> dict[str, Column]:
     }
 
 
+def _quoted(text: Column) -> Column:
+    """JSON string of text that is known to need no escapes."""
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
 def _order_literals() -> dict[str, Column]:
     t = _order_text()
-    quoted = {k: json_quote(v) for k, v in t.items()}
-    quoted["placed_at"] = json_quote(rfc3339_utc(F.col("o_orderdate")))
-    quoted["note"] = F.coalesce(json_quote(t["note"]), F.lit("null"))
-    return quoted
+    out = {k: _quoted(t[k]) for k in ("id", "user_id", "total", "status", "priority")}
+    out["placed_at"] = _quoted(rfc3339_utc(F.col("o_orderdate")))
+    note = F.concat(F.lit(r'"say \"hi\" \u003c'), F.col("o_custkey").cast("string"), F.lit(r'\u003e \u0026 co"'))
+    out["note"] = F.when(t["note"].isNull(), "null").otherwise(note)
+    return {k: out[k] for k, _ in ORDER_COLUMNS}
 
 
 def _line_literals() -> dict[str, Column]:
     t = _line_text()
-    out = {k: json_quote(t[k]) for k in ("id", "orders_id", "sku", "price", "ship_date")}
+    out = {k: _quoted(t[k]) for k in ("id", "orders_id", "sku", "price", "ship_date")}
     out["qty"] = t["qty"]
     out["discount"] = F.when(F.col("l_discount") == 0, "0").otherwise(t["discount"])
     out["shipped"] = F.when(t["shipped"] == "t", "true").otherwise("false")
@@ -143,7 +149,7 @@ def _line_literals() -> dict[str, Column]:
                            F.lit(', x",null]'))
     out["wait"] = F.concat(F.lit('"P'), F.col("n").cast("string"), F.lit('DT1H30M"'))
     out["meta"] = F.concat(F.lit('{"tax":'), F.col("l_tax").cast("string"), F.lit(',"k":[1,2]}'))
-    out["blob"] = json_quote(F.base64(F.col("l_returnflag").cast("binary")))
+    out["blob"] = _quoted(F.base64(F.col("l_returnflag").cast("binary")))
     return {k: out[k] for k, _ in LINE_COLUMNS}
 
 
@@ -160,10 +166,11 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed changes, one row per row change; the payload is null for deletes."""
     head = ["okey", "tx_id", "schema_name", "table_name", "op", "pk", "pk_col", "n"]
     orders = _order_rows(spark, sf_dir)
-    full = _map(_order_literals())
-    late = F.map_concat(full, F.create_map(F.lit("channel"), F.lit('"web"')))
-    data = F.when(_late(F.col("tx_id")), late).otherwise(full)
-    data = F.when(_untouched(), F.map_filter(data, lambda k, v: k != "priority")).otherwise(data)
+    values = _order_literals() | {"channel": F.lit('"web"')}
+    absent = {"priority": _untouched(), "channel": ~_late(F.col("tx_id"))}
+    entries = [F.struct(F.when(~absent[k], F.lit(k)).otherwise(None).alias("key") if k in absent
+                        else F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()]
+    data = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["key"].isNotNull()))
     orders = orders.withColumn("data", F.when(F.col("op") != "delete", data)).select(*head, "data")
     lines = _line_rows(spark, sf_dir)
     lines = lines.withColumn("data", F.when(F.col("op") != "delete", _map(_line_literals()))).select(*head, "data")
@@ -356,3 +363,117 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("ts", instance.alias("instance"), both.alias("x")).select(
         "ts", "instance", "x.metric",
         F.create_map(F.lit("kind"), F.lit("user")).alias("labels"), "x.value")
+
+
+def alert_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sample of every alert metric per event, for ten instances."""
+    e = events(spark, sf_dir)
+    n, v = F.col("event_id"), F.col("value")
+    kind = F.col("event_type")
+    gauges = {
+        "wal_lsn_lag_bytes": v * 400_000, "pg_connection_status": F.when(kind == "error", 0.0).otherwise(1.0),
+        "wal_standby_ack_failures_total": F.expr("event_id div 7") % 40,
+        "auth_circuit_breaker_state": F.when(kind == "view", 1.0).when(kind == "click", 2.0).otherwise(0.0),
+        "auth_breaker_stale_subscribers": n % 3, "subscriber_disconnects_total": n % 200 * 50,
+        "tx_dropped_total": F.expr("event_id div 10"), "process_open_fds": v, "process_max_fds": F.lit(300.0),
+        "heap_alloc_bytes": v * 1_000_000,
+    }
+    reasons = {"subscriber_disconnects_total": "slow_consumer", "tx_dropped_total": "multi_root"}
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.create_map(F.lit("reason"), F.lit(reasons.get(m, ""))).alias("labels"),
+                              x.cast("double").alias("value")) for m, x in gauges.items()])
+    return e.select("ts", F.concat(F.lit("i"), (F.col("user_id") % 10).cast("string")).alias("instance"),
+                    F.explode(rows).alias("x")).select("ts", "instance", "x.*")
+
+
+def received(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals per subscriber with some repeats and some steps back in commit order."""
+    n = F.col("event_id")
+    tx = F.when((n % 23 == 0) & (n >= 20), n - 20).when((n % 17 == 0) & (n >= 40), n - 40).otherwise(n)
+    return events(spark, sf_dir).select(
+        F.concat(F.lit("r"), (n % 20).cast("string")).alias("sub_id"), n.alias("arrival"),
+        F.lit("e").alias("session_id"), tx.alias("tx_id"), _commit_lsn(tx).alias("commit_lsn"),
+        F.col("ts").alias("received_at"), "value", "event_type")
+
+
+def drifting_changes(changes: DataFrame) -> DataFrame:
+    """The feed with some lines written in the transaction of the order after next."""
+    order = F.substring_index("pk", "-", 1).cast("bigint")
+    line = F.substring_index("pk", "-", -1).cast("bigint")
+    moved = (F.col("table_name") == "lineitem") & (order % 7 == 0) & (line == 3)
+    tx = _tx_id(order + 2)
+    return (changes.withColumn("_moved", moved)
+            .withColumn("tx_id", F.when(F.col("_moved"), tx).otherwise(F.col("tx_id")))
+            .withColumn("session_id", _session(F.col("tx_id"))).withColumn("commit_lsn", _commit_lsn(F.col("tx_id")))
+            .drop("_moved"))
+
+
+def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON text per customer, some broken, some without a user."""
+    k = F.col("c_custkey")
+    key = k.cast("string")
+    user = F.when(k % 13 == 0, "").otherwise(F.concat(F.lit("u"), key))
+    tables = (F.when(k % 3 == 0, '{"orders": ["id", "status"], "lineitem": ["qty"]}')
+              .when(k % 3 == 1, '{"orders": ["total"]}').otherwise("{}"))
+    first = (F.when(k % 5 == 1, ', "initial_data": null')
+             .when(k % 5 == 2, F.concat(F.lit(', "initial_data": {"n" : '), key, F.lit(', "t": [1, "a b"]}')))
+             .when(k % 5 == 3, F.concat(F.lit(', "initial_data": "v'), key, F.lit('"')))
+             .when(k % 5 == 4, F.concat(F.lit(', "initial_data": ['), key, F.lit(', 1.50]'))).otherwise(""))
+    text = F.concat(F.lit('{"user_id": "'), user, F.lit('", "tables": '), tables, F.lit(', "roots": ["x"], "ttl_seconds": '),
+                    (k % 7 * 10).cast("string"), first, F.when(k % 11 == 0, "").otherwise("}"))
+    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("doc"))
+
+
+def channel_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text line per customer: keys, wildcards, comments, blanks and invalid names."""
+    k = F.col("c_custkey")
+    key = k.cast("string")
+    line = (F.when(k % 9 == 0, F.concat(F.lit("# note "), key)).when(k % 9 == 1, "   ")
+            .when(k % 9 == 2, F.concat(F.lit("  lineitem/all  "))).when(k % 9 == 3, F.concat(F.lit("Bad-Name/"), key))
+            .when(k % 9 == 4, F.concat(F.lit("orders/"), F.repeat(F.lit("x"), 250 + (k % 10).cast("int"))))
+            .when(k % 9 == 5, F.lit("orders")).otherwise(F.concat(F.lit("orders/"), key)))
+    return table(spark, sf_dir, "customer").select(k.alias("line_no"), line.alias("value"))
+
+
+def frame_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded frames, one per event: data frames, errors, heartbeats and broken ones."""
+    n = F.col("event_id")
+    key = n.cast("string")
+    text = (F.when(n % 6 == 0, ":").when(n % 6 == 1, F.concat(F.lit("event: tx\nid: "), key))
+            .when(n % 6 == 2, F.concat(F.lit(':c\nevent: error\ndata: {"reason":"r'), key, F.lit('"}')))
+            .when(n % 6 == 3, F.concat(F.lit("event: tx\nevent: other\ndata:{\"n\":"), key, F.lit("}\ndata: second")))
+            .otherwise(F.concat(F.lit("event: tx\nid: "), key, F.lit('\ndata: {"tx_id":'), key, F.lit("}"))))
+    return events(spark, sf_dir).select(
+        n.alias("frame_no"), F.concat(F.lit("ch"), (F.col("user_id") % 12).cast("string")).alias("channel"), text.alias("value"))
+
+
+def exposition_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric text lines, one per event, labelled and plain, some not finite or malformed."""
+    n = F.col("event_id")
+    whole = F.floor("value").cast("bigint").cast("string")
+    name = F.concat(F.lit("m_"), F.col("event_type"))
+    text = (F.when(n % 10 == 0, F.concat(F.lit("# HELP "), name)).when(n % 10 == 1, F.concat(name, F.lit(" NaN")))
+            .when(n % 10 == 2, F.concat(name, F.lit('{le="+Inf"} +Inf'))).when(n % 10 == 3, F.concat(name, F.lit(" ++.e")))
+            .when(n % 10 == 4, F.concat(name, F.lit("  "), whole, F.lit(" 1640000000000")))
+            .when(n % 10 == 5, F.concat(name, F.lit(" "), whole, F.lit("e1")))
+            .otherwise(F.concat(name, F.lit('{type="a",b="c d"} '), whole)))
+    return events(spark, sf_dir).select(n.alias("line_no"), text.alias("value"))
+
+
+def position_series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(current, confirmed) positions as ``X/Y`` text per session."""
+    from .functions import lsn_text
+    n = F.col("event_id")
+    at = F.when(n % 2 == 0, n).otherwise(n - 3).cast("decimal(20,0)") * F.lit(3_000_000_000).cast("decimal(20,0)")
+    rows = events(spark, sf_dir).filter("event_id >= 3").select(
+        F.concat(F.lit("p"), (F.col("user_id") % 8).cast("string")).alias("session_id"), "ts", "event_id",
+        lsn_text(at).alias("lsn_text"))
+    return rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1")
+
+
+def refresh_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refresh outcomes per subscription of some customers."""
+    k = F.col("o_custkey")
+    status = F.when(k % 6 == 0, 403).when(k % 6 == 1, 503).otherwise(200)
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("c"), k.cast("string")).alias("sub_id"), (F.col("o_orderkey") * 250).alias("lsn"),
+        status.alias("status"), F.lit(None).cast("string").alias("error"), (F.col("o_orderkey") % 2 == 0).alias("exhausted"))
