@@ -70,7 +70,8 @@ def _order_rows(spark, sf_dir) -> DataFrame:
         F.when(F.col("o_orderstatus") == "O", "insert").when(F.col("o_orderstatus") == "P", "update")
         .otherwise("delete").alias("op"),
         key.cast("string").alias("pk"), F.lit("id").alias("pk_col"), F.lit(0).cast("bigint").alias("n"),
-        "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate", "o_orderpriority")
+        "o_custkey", "o_totalprice", "o_orderstatus", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"),
+        "o_orderpriority")
 
 
 def _line_rows(spark, sf_dir) -> DataFrame:
@@ -304,7 +305,7 @@ def messages(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame
 # ---- frames derived from the events table ------------------------------------------
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events")
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
