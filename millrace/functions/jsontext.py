@@ -58,6 +58,38 @@ def json_embed(text: Column) -> Column:
     return F.when(single & in_object.isNotNull(), bind(json_compact(text), html_escape))
 
 
+_JSON_TOKEN = r'"(?:[^"\\]|\\.)*+"|[{}\[\]:,]|[^{}\[\]:,"]++'
+
+
+def json_member(text: Column, name: str) -> Column:
+    """Compacted raw text of one member of a top-level object, null when it is missing.
+
+    Parsing the member as a value would rewrite numbers (``1.50`` -> ``1.5``); walking the
+    tokens keeps them. Offsets are folded, the text is cut once.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("pos"), F.lit("").alias("before"), F.lit("").alias("key"),
+                     F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+    def step(s: Column, t: Column) -> Column:
+        top = s["depth"] == 1
+        is_key = top & s["before"].isin("{", ",") & F.startswith(t, F.lit('"'))
+        opens = top & (t == ":") & (s["key"] == f'"{name}"')
+        closes = top & t.isin(",", "}") & (s["first"] > 0) & (s["last"] == 0)
+        return F.struct(
+            (s["depth"] + F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)).alias("depth"),
+            (s["pos"] + F.length(t)).alias("pos"), t.alias("before"),
+            F.when(is_key, t).when(t == ",", "").otherwise(s["key"]).alias("key"),
+            F.when(opens, s["pos"] + 1).otherwise(s["first"]).alias("first"),
+            F.when(opens, 0).when(closes, s["pos"]).otherwise(s["last"]).alias("last"))
+
+    def cut(compact: Column) -> Column:
+        tokens = F.regexp_extract_all(compact, F.lit(_JSON_TOKEN), F.lit(0))
+        return bind(F.aggregate(tokens, start, step), lambda s: F.when(
+            s["last"] > 0, F.substring(compact, s["first"], s["last"] - s["first"])))
+
+    return bind(json_compact(text), cut)
+
+
 def _trim_fraction(text: Column) -> Column:
     return F.when(F.instr(text, ".") > 0, F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import json_embed
+from ..functions.jsontext import json_member
 
 
 def parse_policies(docs: DataFrame, text: str = "doc") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -12,14 +13,10 @@ def parse_policies(docs: DataFrame, text: str = "doc") -> tuple[DataFrame, DataF
     ``initial_data`` stays raw JSON text, a ``roots`` member is ignored.
     """
     # fixed values: members of a document
-    schema = "user_id string, tables map<string,array<string>>, ttl_seconds int, initial_data string, _bad string"
+    schema = "user_id string, tables map<string,array<string>>, ttl_seconds int, _bad string"
     parsed = docs.withColumn("_d", F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     whole = json_embed(F.col(text)).isNotNull()
-    # a string value loses its quotes when read as text: quote it again
-    value = F.try_variant_get(F.try_parse_json(text), "$.initial_data", "variant")
-    listed = F.to_json(F.array("_d.initial_data"))
-    raw = F.when(F.schema_of_variant(value) == "STRING", F.substring(listed, F.lit(2), F.length(listed) - 2)) \
-        .otherwise(F.col("_d.initial_data"))
+    raw = json_member(F.col(text), "initial_data")
     reason = (F.when(~whole | F.col("_d").isNull() | F.col("_d._bad").isNotNull(), "bad_json")
               .when(F.coalesce(F.col("_d.user_id"), F.lit("")) == "", "no_user"))
     row = F.struct(F.coalesce(reason, F.lit("")).alias("reason"), raw.alias("initial_data"), F.col("_d.user_id").alias("user_id"),
