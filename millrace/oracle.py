@@ -457,5 +457,53 @@ cut AS (SELECT sub_id, lsn, reason FROM (SELECT c.*, row_number() OVER (PARTITIO
   CASE WHEN s.end_lsn IS NULL OR c.lsn <= s.end_lsn THEN c.reason END AS reason FROM sub s LEFT JOIN cut c ON c.sub_id = s.sub_id""")
 
 
+# ---- permission backend and streams ------------------------------------------------
+
+add("breaker_timeline", CALLS + """,
+b AS (SELECT backend, epoch_us(ts) // 3600000000 AS bucket, count(CASE WHEN result = 'unavailable' THEN 1 END) AS f, count(*) AS n FROM calls GROUP BY 1, 2),
+bw AS (SELECT *, coalesce(sum(f) OVER w, 0) AS pf, coalesce(sum(n) OVER w, 0) AS pn FROM b
+  WINDOW w AS (PARTITION BY backend ORDER BY bucket RANGE BETWEEN 29 PRECEDING AND 1 PRECEDING)),
+p AS (SELECT c.backend, epoch_us(c.ts) AS us, c.health, c.result <> 'unavailable' AS good,
+  bw.pf + count(CASE WHEN c.result = 'unavailable' THEN 1 END) OVER w AS f, bw.pn + count(*) OVER w AS n
+  FROM calls c JOIN bw ON bw.backend = c.backend AND bw.bucket = epoch_us(c.ts) // 3600000000
+  WINDOW w AS (PARTITION BY c.backend, epoch_us(c.ts) // 3600000000 ORDER BY c.ts)),
+trip AS (SELECT backend, us FROM p WHERE n >= 20 AND f > n * 0.25),
+probe AS (SELECT backend, us, good FROM p WHERE health),
+nxt AS (SELECT DISTINCT backend, CAST(-1 AS BIGINT) AS us FROM p UNION ALL SELECT backend, us FROM probe),
+after_close AS (SELECT x.backend, x.us, min(t.us) AS open_us FROM nxt x JOIN trip t ON t.backend = x.backend AND t.us > x.us GROUP BY 1, 2),
+opens AS (SELECT DISTINCT backend, us FROM trip UNION SELECT backend, us FROM probe),
+after_open AS (SELECT o.backend, o.us, min(q.us) AS probe_us, arg_min(q.good, q.us) AS good
+  FROM opens o JOIN probe q ON q.backend = o.backend AND q.us >= o.us + 7200000000 GROUP BY 1, 2),
+walk AS (
+  SELECT backend, CAST(-1 AS BIGINT) AS us, 0 AS state FROM (SELECT DISTINCT backend FROM p)
+  UNION ALL
+  SELECT w.backend, CAST(coalesce(c.open_us, o.probe_us) AS BIGINT), CASE WHEN w.state = 0 THEN 1 WHEN o.good THEN 0 ELSE 1 END
+  FROM walk w LEFT JOIN after_close c ON w.state = 0 AND c.backend = w.backend AND c.us = w.us
+  LEFT JOIN after_open o ON w.state = 1 AND o.backend = w.backend AND o.us = w.us
+  WHERE c.open_us IS NOT NULL OR o.probe_us IS NOT NULL),
+steps AS (SELECT w.backend, w.us, w.state FROM walk w WHERE us >= 0
+  UNION ALL SELECT w.backend, w.us, 2 FROM walk w JOIN probe q ON q.backend = w.backend AND q.us = w.us
+    WHERE w.state = 0 OR EXISTS (SELECT 1 FROM walk v JOIN after_open o ON o.backend = v.backend AND o.us = v.us
+      WHERE v.backend = w.backend AND v.state = 1 AND o.probe_us = w.us AND v.us >= 0))""",
+    """SELECT backend, make_timestamp(us) AS at, CAST(state AS BIGINT) AS state,
+  CASE state WHEN 0 THEN 'closed' WHEN 1 THEN 'open' ELSE 'half-open' END AS label FROM steps""")
+SQL["breaker_timeline"] = SQL["breaker_timeline"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+add("stream_src", MSG, f"""SELECT session_id, kind, count(*) AS n, {check('seq')} FROM (
+  SELECT session_id, op AS kind, seq FROM chg
+  UNION ALL SELECT 's' || (tx_id // 5000), 'begin', tx_id * 100000 + 10 FROM txs
+  UNION ALL SELECT 's' || (tx_id // 5000), 'commit', tx_id * 100000 + CASE WHEN tx_id % 40 = 0 THEN 199999 ELSE 99999 END FROM txs
+  UNION ALL SELECT session_id, 'relation', seq FROM rel) GROUP BY session_id, kind""")
+add("stream_assemble", CHG, f"SELECT tx_id, count(*) AS n, {check('seq')} FROM chg WHERE tx_id % 50 NOT IN (7, 9) GROUP BY tx_id")
+SQL["stream_route"] = SQL["outcome_counts"]
+SQL["stream_mirror"] = SQL["snapshot_delta"]
+add("stream_dedupe", "", """SELECT DISTINCT 'r' || (event_id % 20) AS sub_id,
+  CASE WHEN event_id % 23 = 0 AND event_id >= 20 THEN event_id - 20 WHEN event_id % 17 = 0 AND event_id >= 40 THEN event_id - 40 ELSE event_id END AS tx_id FROM events""")
+add("stream_failure_rate", CALLS, """SELECT backend, make_timestamp(CAST((epoch_us(ts) // 3600000000 - i) * 3600000000 AS BIGINT)) AS window_start,
+  count(CASE WHEN result = 'unavailable' THEN 1 END) AS failures, count(*) AS total,
+  round(count(CASE WHEN result = 'unavailable' THEN 1 END) / count(*), 6) AS rate
+FROM calls, range(30) AS r(i) GROUP BY 1, 2""")
+
+
 def build() -> dict[str, str]:
     return dict(SQL)

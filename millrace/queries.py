@@ -10,7 +10,9 @@ from .plans import fanout
 from .schemas import TX
 from .session import configure, fresh_path, stage
 from .sources import (assign_channels, parse_channels, parse_frames, parse_metrics_text, parse_policies,
-                      read_messages, valid_channels, write_deliveries)
+                      read_messages, stream_messages, valid_channels, write_deliveries)
+from .streaming import jobs as S
+from .streaming.breaker import BreakerConfig, breaker_states
 
 LSN_SPAN = 1 << 18
 REGISTRY = {}
@@ -149,7 +151,8 @@ def multi_root(spark, d):
 @query
 def whitelist(spark, d):
     versions, grants = W.policies(spark, d)
-    rows = R.policy_asof(changes_of(spark, d).join(grants.select("policy_id").distinct(), how="cross"), versions)
+    every = F.explode(F.array(*[F.lit(p).cast("bigint") for p in W.POLICY_TABLES]))
+    rows = R.policy_asof(changes_of(spark, d).withColumn("policy_id", every), versions)
     kept = R.apply_whitelist(rows, grants)
     cells = kept.select("policy_id", "version", "table_name", "op", F.explode_outer("data").alias("col", "value"))
     return cells.groupBy("policy_id", "version", "table_name", "op", "col").agg(
@@ -383,9 +386,9 @@ def mirror_reset(spark, d):
 @query
 def snapshot_delta(spark, d):
     rows = users_of(spark, d)
-    cut = rows.agg(F.expr("max(commit_lsn) div 2").alias("snapshot_lsn"))
-    base = M.build_mirror(rows.join(F.broadcast(cut)).filter("commit_lsn <= snapshot_lsn").drop("snapshot_lsn"))
-    return M.snapshot_delta(base.join(F.broadcast(cut)), rows).select("pk", "col", "value")
+    cut = rows.agg(F.expr("max(commit_lsn) div 2")).scalar()
+    base = M.build_mirror(rows.filter(F.col("commit_lsn") <= cut))
+    return M.snapshot_delta(base.withColumn("snapshot_lsn", cut), rows).select("pk", "col", "value")
 
 
 @query
@@ -563,3 +566,88 @@ def revocation(spark, d):
     versions, grants = W.policies(spark, d)
     cut = X.revocation_cutoff(subs_of(spark, d), versions, grants, W.refresh_calls(spark, d))
     return cut.select("sub_id", big("end_lsn"), "reason")
+
+
+# ---- permission backend and streams ------------------------------------------------
+
+BREAKER = BreakerConfig(bucket_s=3600, floor=20, threshold=0.25, cooldown_s=7200)
+
+
+@query
+def breaker_timeline(spark, d):
+    return breaker_states(W.auth_calls(spark, d), BREAKER).select("backend", "at", "state", "label")
+
+
+def _in_order(frames, path):
+    """Write frames one after the other, so that a stream reads them in this order."""
+    for i, frame in enumerate(frames):
+        frame.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _thirds(df, col):
+    top = df.agg(F.max(col)).first()[0]
+    return [df.filter((F.col(col) > F.lit(top * i // 3 if i else -1)) & (F.col(col) <= F.lit(top * (i + 1) // 3)))
+            for i in range(3)]
+
+
+@query
+def stream_src(spark, d):
+    path = _in_order(_thirds(messages_of(spark, d), "seq"), fresh_path(spark, "log"))
+    out = fresh_path(spark, "streamed")
+    S.run(stream_messages(spark, path, max_files=1).writeStream.format("parquet").option("path", out),
+          fresh_path(spark, "chk"))
+    return read_messages(spark, out).groupBy("session_id", "kind").agg(F.count("*").alias("n"), checksum("seq"))
+
+
+@query
+def stream_assemble(spark, d):
+    path = _in_order(_thirds(messages_of(spark, d, dirty=True), "seq"), fresh_path(spark, "log"))
+    out = fresh_path(spark, "assembled")
+    stream = S.stream_assemble(stream_messages(spark, path, max_files=1))
+    S.run(stream.writeStream.format("parquet").option("path", out), fresh_path(spark, "chk"))
+    return spark.read.parquet(out).groupBy("tx_id").agg(F.count("*").alias("n"), checksum("seq"))
+
+
+@query
+def stream_route(spark, d):
+    changes = changes_of(spark, d)
+    path = _in_order(_thirds(changes, "commit_lsn"), fresh_path(spark, "changes"))
+    out = fresh_path(spark, "routed")
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    S.run(S.stream_route(stream, lambda s: subs_of(s, d), lambda s: W.policies(s, d), out, W.MAX_CHANGES),
+          fresh_path(spark, "chk"))
+    return U.outcome_counts(S.read_outcomes(spark, out), ["kind", "outcome"]).select(
+        "kind", "outcome", "n_pairs", big("n_delivered"))
+
+
+@query
+def stream_mirror(spark, d):
+    users = users_of(spark, d)
+    path = _in_order(_thirds(users, "commit_lsn"), fresh_path(spark, "users"))
+    out = fresh_path(spark, "mirror")
+    stream = spark.readStream.schema(users.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    S.run(S.stream_mirror(stream, out), fresh_path(spark, "chk"))
+    return S.read_mirror(spark, out).select("pk", "col", "value")
+
+
+@query
+def stream_dedupe(spark, d):
+    rows = W.received(spark, d).select("sub_id", *TX, "received_at", "arrival")
+    path = _in_order(_thirds(rows, "arrival"), fresh_path(spark, "received"))
+    out = fresh_path(spark, "deduped")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    S.run(S.stream_dedupe(stream, "received_at", "14 days").writeStream.format("parquet").option("path", out),
+          fresh_path(spark, "chk"))
+    return spark.read.parquet(out).select("sub_id", "tx_id")
+
+
+@query
+def stream_failure_rate(spark, d):
+    calls = W.auth_calls(spark, d)
+    path = _in_order(_thirds(calls.withColumn("us", F.unix_micros("ts")), "us"), fresh_path(spark, "calls"))
+    out = fresh_path(spark, "rates")
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    S.run(S.stream_failure_rate(stream, "30 hours", "1 hour", "2 days", out), fresh_path(spark, "chk"))
+    return S.read_failure_rate(spark, out).select(
+        "backend", "window_start", "failures", "total", F.round("rate", 6).alias("rate"))

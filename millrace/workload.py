@@ -258,8 +258,12 @@ def messages(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame
              .withColumn("old_tuple", F.when(gone, key_only)))
     cols = ["okey", "tx_id", "oid", "op", "n", "new_tuple", "old_tuple"]
     tx = F.col("tx_id")
+    # the lander stamps rows with what their begin announced; without a begin it has nothing
+    known = (tx % 50 != 9) if dirty else F.lit(True)
     rows = orders.select(*cols).unionByName(lines.select(*cols)).select(
-        _session(tx).alias("session_id"), _seq().alias("seq"), F.col("op").alias("kind"), tx.alias("xid"),
+        _session(tx).alias("session_id"), _seq().alias("seq"), F.col("op").alias("kind"), F.when(known, tx).alias("xid"),
+        F.when(known, _commit_lsn(tx)).cast("decimal(20,0)").alias("commit_lsn"),
+        F.when(known, _commit_ts(tx)).alias("commit_ts"),
         F.col("oid").alias("relation_oid"), "new_tuple", "old_tuple")
 
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("okey"))
