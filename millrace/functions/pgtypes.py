@@ -23,6 +23,11 @@ _TS = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2})(?:\.(\d+))?"
 _ZONE = r"(Z|[+-]\d{2}(?::\d{2})?| UTC| \+0000)$"
 
 
+def _number(text: Column, kind: str) -> Column:
+    # an empty match must be null before the cast: a failing cast raises inside, per value
+    return F.nullif(text, F.lit("")).try_cast(kind)
+
+
 def pg_int(text: Column) -> Column:
     return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint").cast("string"))
 
@@ -83,9 +88,9 @@ def _seconds(value: Column) -> Column:
 
 def _clock_iso(rest: Column) -> Column:
     sign = F.when(F.regexp_extract(rest, _CLOCK, 1) == "-", -1).otherwise(1)
-    clock = F.concat(_part(F.regexp_extract(rest, _CLOCK, 2).try_cast("bigint") * sign, "H"),
-                     _part(F.regexp_extract(rest, _CLOCK, 3).try_cast("bigint") * sign, "M"),
-                     bind(F.regexp_extract(rest, _CLOCK, 4).try_cast("double") * sign, _seconds))
+    clock = F.concat(_part(_number(F.regexp_extract(rest, _CLOCK, 2), "bigint") * sign, "H"),
+                     _part(_number(F.regexp_extract(rest, _CLOCK, 3), "bigint") * sign, "M"),
+                     bind(_number(F.regexp_extract(rest, _CLOCK, 4), "double") * sign, _seconds))
     return F.when(rest == "", "").otherwise(
         bind(clock, lambda c: F.when(c == "", "").otherwise(F.concat(F.lit("T"), c))))
 
@@ -95,7 +100,7 @@ def pg_interval_iso(text: Column) -> Column:
     def convert(s: Column) -> Column:
         rest, dates = s, []
         for letter, pattern in _UNITS.items():
-            dates.append(_part(F.coalesce(F.regexp_extract(s, pattern, 1).try_cast("int"), F.lit(0)), letter))
+            dates.append(_part(F.coalesce(_number(F.regexp_extract(s, pattern, 1), "int"), F.lit(0)), letter))
             rest = F.regexp_replace(rest, pattern, " ")
         # null when what remains is neither empty nor a clock
         clock = bind(F.trim(rest), lambda r: F.when((r == "") | r.rlike(_CLOCK), _clock_iso(r)))

@@ -127,24 +127,30 @@ def _with_columns(changes: DataFrame, grants: DataFrame) -> DataFrame:
     return salted_join(changes, grants, [*CLASS, "table_name"], [*TX, "seq"])
 
 
-def survives(op: Column, data: Column, pk_col: Column, columns: Column) -> Column:
-    """Whether a change of a granted table is still worth sending.
+def survives(op: Column, names: Column, pk_col: Column, columns: Column) -> Column:
+    """Whether a change (with its column ``names``) of a granted table is still worth sending.
 
     Inserts and deletes always are; an update needs a listed column besides the key.
     """
-    named = F.arrays_overlap(F.array_remove(F.coalesce(F.map_keys(data), F.array().cast("array<string>")), pk_col),
-                             columns)
-    return op.isin("insert", "delete") | ((op == "update") & F.coalesce(named, F.lit(False)))
+    others = F.array_remove(F.coalesce(names, F.array().cast("array<string>")), pk_col)
+    return op.isin("insert", "delete") | ((op == "update") & F.coalesce(F.arrays_overlap(others, columns), F.lit(False)))
 
 
 def visible(data: Column, pk_col: Column, columns: Column) -> Column:
     return F.map_filter(data, lambda k, v: (k == pk_col) | F.array_contains(columns, k))
 
 
-def whitelisted(changes: DataFrame, grants: DataFrame) -> DataFrame:
+def whitelisted(changes: DataFrame, grants: DataFrame, names: Column | None = None) -> DataFrame:
     """Surviving changes with the granted ``columns``; the payload is not narrowed yet."""
+    names = F.map_keys("data") if names is None else names
     return _with_columns(changes, grants).filter(
-        survives(F.col("op"), F.col("data"), F.col("pk_col"), F.col("columns")))
+        survives(F.col("op"), names, F.col("pk_col"), F.col("columns")))
+
+
+def without_payload(changes: DataFrame) -> DataFrame:
+    """What counting needs of a change: an update's column ``names`` instead of its values."""
+    return changes.select(*TX, "seq", "schema_name", "table_name", "op", "pk", "pk_col",
+                          F.when(F.col("op") == "update", F.map_keys("data")).alias("names"))
 
 
 def apply_whitelist(changes: DataFrame, grants: DataFrame) -> DataFrame:
@@ -188,11 +194,14 @@ def anchor_survives(classes: DataFrame, rows: DataFrame) -> DataFrame:
     ``rows`` are the ``kept_rows`` of the same classes.
     """
     by_class = [*TX, "schema_name", *CLASS]
-    tables = rows.groupBy(*by_class, "table_name").agg(F.sum("n_anchor").alias("n_anchor"))
-    totals = rows.groupBy(*by_class).agg(F.sum("n_anchor").alias("n_kept"))
-    exact = classes.filter("kind = 'exact'").join(rows, [*by_class, "table_name", "pk"], "left")
-    wildcard = classes.filter("kind = 'wildcard'").join(tables, [*by_class, "table_name"], "left")
-    return (exact.unionByName(wildcard).join(totals, by_class, "left")
+    tables = rows.groupBy(*by_class, "table_name").agg(F.sum("n_anchor").alias("n"))
+    # one entry per table of the schema that the transaction touches
+    totals = tables.groupBy(*by_class).agg(
+        F.sum("n").alias("n_kept"), F.map_from_entries(F.collect_list(F.struct("table_name", "n"))).alias("per_table"))
+    counted = classes.join(totals, by_class, "left")
+    exact = counted.filter("kind = 'exact'").join(rows, [*by_class, "table_name", "pk"], "left")
+    wildcard = counted.filter("kind = 'wildcard'").withColumn("n_anchor", F.col("per_table")[F.col("table_name")])
+    return (exact.unionByName(wildcard).drop("per_table")
             .withColumn("n_anchor", F.coalesce("n_anchor", F.lit(0)))
             .withColumn("n_kept", F.coalesce("n_kept", F.lit(0))))
 
