@@ -5,6 +5,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import auth_result, lsn_diff
+from ..session import stage
 from . import chunked
 from .skew import salted_join
 
@@ -154,7 +155,8 @@ def alert_episodes(samples: DataFrame, rules: list[Rule], scrape_s: int) -> Data
         rows = one if rows is None else rows.unionByName(one)
     keys, order = ["rule", "instance"], ["_us"]
     span = 86_400 * MICRO
-    rows = rows.withColumn("_us", _us("ts"))
+    # the passes below read the verdicts several times: evaluate the rules once
+    rows = stage(rows.withColumn("_us", _us("ts")), "verdicts")
     rows = chunked.previous(rows, keys, order, ["_us", "holds"], "_before", span)
     goes_on = F.col("_before.holds") & (F.col("_us") - F.col("_before._us") <= 2 * scrape_s * MICRO)
     start = F.when(F.col("holds") & ~F.coalesce(goes_on, F.lit(False)), F.col("_us"))

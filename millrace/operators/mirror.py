@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import chunked
 from .skew import salted_join
 
-ROW = ["schema_name", "table_name", "pk"]
+ROW = ["pk", "table_name", "schema_name"]  # most telling first, see schemas.TX
 
 
 def cells(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def cells(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
 def latest_cells(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Last write per cell. A plain aggregation: a row written by a third of all changes is
     reduced to one value per column before the shuffle."""
-    return rows.groupBy(*(by or []), *ROW, "col").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
+    return rows.groupBy("pk", "col", *(by or []), *ROW[1:]).agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
 
 
 def standing(latest: DataFrame, by: list[str] | None = None) -> DataFrame:

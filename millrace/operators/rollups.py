@@ -25,7 +25,7 @@ def fan_out(touched: DataFrame, tables: DataFrame, subs: DataFrame) -> DataFrame
     exact = subs.filter("kind = 'exact'").groupBy("schema_name", "table_name", "pk").agg(F.count("*").alias("_n"))
     wild = subs.filter("kind = 'wildcard'").groupBy("schema_name", "table_name").agg(F.count("*").alias("_n"))
     by_row = salted_join(touched.select(*TX, "schema_name", "table_name", "pk"), exact,
-                         ["schema_name", "table_name", "pk"], TX, salts=4).select(*TX, "_n")
+                         ["pk", "table_name", "schema_name"], TX, salts=4).select(*TX, "_n")
     by_table = salted_join(tables.select(*TX, "schema_name", "table_name"), wild,
                            ["schema_name", "table_name"], TX, how="left", salts=64).select(*TX, "_n")
     return by_row.unionByName(by_table).groupBy(*TX).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_subs"))

@@ -35,7 +35,7 @@ def live_at(commit_lsn: Column, start_lsn: Column, end_lsn: Column) -> Column:
 
 def touched_rows(changes: DataFrame) -> DataFrame:
     """One row per (transaction, schema, table, pk); aggregated before the shuffle."""
-    return changes.groupBy(*TX, "schema_name", "table_name", "pk").agg(
+    return changes.groupBy(*TX, "pk", "table_name", "schema_name").agg(
         F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
@@ -67,7 +67,7 @@ def match_exact(touched: DataFrame, subs: DataFrame) -> DataFrame:
     """Row-level matches: touched rows x exact subscriptions on schema, table and pk."""
     exact = subs.filter(F.col("kind") == "exact")
     return salted_join(touched.select(*TX, "schema_name", "table_name", "pk"), exact,
-                       ["schema_name", "table_name", "pk"], TX, salts=4)
+                       ["pk", "table_name", "schema_name"], TX, salts=4)
 
 
 def match_wildcard(tables: DataFrame, subs: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def first_violation(classes: DataFrame, subs: DataFrame) -> DataFrame:
 def _by_anchor(classes: DataFrame, subs: DataFrame, spread: list[str]) -> DataFrame:
     """Classes x subscriptions of the same anchor and policy (pk is null for wildcards)."""
     filled = F.coalesce("pk", F.lit(""))
-    keys = ["kind", "schema_name", "table_name", "_pk", "policy_id"]
+    keys = ["_pk", "policy_id", "table_name", "schema_name", "kind"]
     return salted_join(classes.withColumn("_pk", filled), subs.withColumn("_pk", filled).drop("pk"),
                        keys, spread, salts=64).drop("_pk")
 

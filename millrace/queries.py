@@ -527,7 +527,8 @@ def counter_rate(spark, d):
 
 @query
 def alert_episodes(spark, d):
-    return X.alert_episodes(W.alert_samples(spark, d), X.RULES, 3600).select(
+    samples = landed(spark, d, "samples", W.alert_samples)
+    return X.alert_episodes(samples, X.RULES, 3600).select(
         "rule", "instance", "started_at", "ended_at", "n_samples")
 
 

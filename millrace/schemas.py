@@ -35,5 +35,6 @@ MESSAGES = T.StructType([
 ])
 
 # One transaction is identified by session, xid and commit position: xid alone wraps.
-TX = ["session_id", "tx_id", "commit_lsn"]
+# The most telling column comes first: sorts and sort-based joins compare by its prefix.
+TX = ["tx_id", "commit_lsn", "session_id"]
 CHANGE_OPS = ["insert", "update", "delete"]

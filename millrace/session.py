@@ -35,9 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = os.path.join(tempfile.gettempdir(), "millrace-shared")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return os.path.join(tempfile.gettempdir(), "millrace-shared")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
