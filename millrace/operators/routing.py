@@ -184,26 +184,29 @@ def class_changes(changes: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def kept_rows(kept: DataFrame) -> DataFrame:
-    """Surviving changes per class, table and row."""
-    return kept.groupBy(*TX, "schema_name", *CLASS, "table_name", "pk").agg(F.count("*").alias("n_anchor"))
+    """Surviving changes of each class, reduced to what counting needs (no shuffle)."""
+    return kept.select(*TX, *CLASS, "schema_name", "table_name", "pk")
 
 
 def anchor_survives(classes: DataFrame, rows: DataFrame) -> DataFrame:
     """Add to each class ``n_anchor`` and ``n_kept``: surviving changes of its anchor and in all.
 
-    ``rows`` are the ``kept_rows`` of the same classes.
+    ``rows`` are the ``kept_rows`` of the same classes. Counts per table serve all table
+    anchors at once; only rows that a row anchor follows are counted by key.
     """
-    by_class = [*TX, "schema_name", *CLASS]
-    tables = rows.groupBy(*by_class, "table_name").agg(F.sum("n_anchor").alias("n"))
+    by_class = [*TX, *CLASS, "schema_name"]
+    by_row = [*by_class, "table_name", "pk"]
+    tables = rows.groupBy(*by_class, "table_name").agg(F.count("*").alias("n"))
     # one entry per table of the schema that the transaction touches
     totals = tables.groupBy(*by_class).agg(
-        F.sum("n").alias("n_kept"), F.map_from_entries(F.collect_list(F.struct("table_name", "n"))).alias("per_table"))
-    counted = classes.join(totals, by_class, "left")
-    exact = counted.filter("kind = 'exact'").join(rows, [*by_class, "table_name", "pk"], "left")
-    wildcard = counted.filter("kind = 'wildcard'").withColumn("n_anchor", F.col("per_table")[F.col("table_name")])
-    return (exact.unionByName(wildcard).drop("per_table")
-            .withColumn("n_anchor", F.coalesce("n_anchor", F.lit(0)))
-            .withColumn("n_kept", F.coalesce("n_kept", F.lit(0))))
+        F.sum("n").alias("n_kept"), F.map_from_entries(F.collect_list(F.struct("table_name", "n"))).alias("_tables"))
+    exact = classes.filter("kind = 'exact'")
+    followed = rows.join(exact.select(*by_row).distinct(), by_row).groupBy(*by_row).agg(F.count("*").alias("_n"))
+    wildcard = classes.filter("kind = 'wildcard'").withColumn("_n", F.lit(None).cast("bigint"))
+    both = exact.join(followed, by_row, "left").unionByName(wildcard).join(totals, by_class, "left")
+    anchor = F.when(F.col("kind") == "exact", F.col("_n")).otherwise(F.col("_tables")[F.col("table_name")])
+    return (both.withColumn("n_anchor", F.coalesce(anchor, F.lit(0)))
+            .withColumn("n_kept", F.coalesce("n_kept", F.lit(0))).drop("_n", "_tables"))
 
 
 def class_outcomes(classes: DataFrame, max_changes: int = MAX_CHANGES, over_bytes: DataFrame | None = None) -> DataFrame:
