@@ -496,6 +496,7 @@ add("stream_src", MSG, f"""SELECT session_id, kind, count(*) AS n, {check('seq')
   UNION ALL SELECT session_id, 'relation', seq FROM rel) GROUP BY session_id, kind""")
 add("stream_assemble", CHG, f"SELECT tx_id, count(*) AS n, {check('seq')} FROM chg WHERE tx_id % 50 NOT IN (7, 9) GROUP BY tx_id")
 SQL["stream_route"] = SQL["outcome_counts"]
+SQL["stream_breaker"] = SQL["breaker_timeline"]
 SQL["stream_mirror"] = SQL["snapshot_delta"]
 add("stream_dedupe", "", """SELECT DISTINCT 'r' || (event_id % 20) AS sub_id,
   CASE WHEN event_id % 23 = 0 AND event_id >= 20 THEN event_id - 20 WHEN event_id % 17 = 0 AND event_id >= 40 THEN event_id - 40 ELSE event_id END AS tx_id FROM events""")

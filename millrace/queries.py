@@ -12,7 +12,7 @@ from .session import configure, fresh_path, stage
 from .sources import (assign_channels, parse_channels, parse_frames, parse_metrics_text, parse_policies,
                       read_messages, stream_messages, valid_channels, write_deliveries)
 from .streaming import jobs as S
-from .streaming.breaker import BreakerConfig, breaker_states
+from .streaming.breaker import BreakerConfig, breaker_states, read_timeline, stream_breaker as stream_breaker_job
 
 LSN_SPAN = 1 << 18
 REGISTRY = {}
@@ -587,9 +587,9 @@ def _in_order(frames, path):
 
 
 def _thirds(df, col):
-    top = df.agg(F.max(col)).first()[0]
-    return [df.filter((F.col(col) > F.lit(top * i // 3 if i else -1)) & (F.col(col) <= F.lit(top * (i + 1) // 3)))
-            for i in range(3)]
+    low, top = df.agg(F.min(col), F.max(col)).first()
+    cuts = [low - 1, *[low + (top - low) * i // 3 for i in (1, 2)], top]
+    return [df.filter((F.col(col) > F.lit(a)) & (F.col(col) <= F.lit(b))) for a, b in zip(cuts, cuts[1:])]
 
 
 @query
@@ -652,3 +652,13 @@ def stream_failure_rate(spark, d):
     S.run(S.stream_failure_rate(stream, "30 hours", "1 hour", "2 days", out), fresh_path(spark, "chk"))
     return S.read_failure_rate(spark, out).select(
         "backend", "window_start", "failures", "total", F.round("rate", 6).alias("rate"))
+
+
+@query
+def stream_breaker(spark, d):
+    calls = W.auth_calls(spark, d)
+    path = _in_order(_thirds(calls.withColumn("us", F.unix_micros("ts")), "us"), fresh_path(spark, "calls"))
+    out = fresh_path(spark, "breaker")
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    S.run(stream_breaker_job(stream, BREAKER, out), fresh_path(spark, "chk"))
+    return read_timeline(spark, out).select("backend", "at", "state", "label")

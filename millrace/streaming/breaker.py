@@ -9,11 +9,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import auth_result, breaker_label
 from ..operators import chunked
 from ..operators.metrics import MICRO, call_buckets
+from ..session import stage
 
 # fixed value: the user id of probe calls
 PROBE_USER = "_health"
@@ -30,13 +32,21 @@ class BreakerConfig:
     cooldown_s: int = 30
 
 
-def trip_points(calls: DataFrame, cfg: BreakerConfig) -> DataFrame:
-    """(backend, at_us, trips, probe_ok): probes, and the first call of each stretch that would trip."""
-    buckets = call_buckets(calls, cfg.bucket_s)
+def trip_points(calls: DataFrame, cfg: BreakerConfig, history: DataFrame | None = None) -> DataFrame:
+    """(backend, at_us, trips, probe_ok): probes, and the first call of each stretch that would trip.
+
+    ``history`` holds bucket counts (backend, bucket, successes, failures) of earlier calls.
+    """
+    nothing = F.lit(0).cast("bigint")
+    buckets = call_buckets(calls, cfg.bucket_s).withColumn("old_s", nothing).withColumn("old_f", nothing)
+    if history is not None:
+        old = history.withColumn("old_s", F.col("successes")).withColumn("old_f", F.col("failures"))
+        counts = ["successes", "failures", "old_s", "old_f"]
+        buckets = buckets.unionByName(old).groupBy("backend", "bucket").agg(*[F.sum(c).alias(c) for c in counts])
     near = chunked.with_lookback(buckets, "bucket", cfg.n_buckets, cfg.n_buckets * 256)
     before = Window.partitionBy("backend", "_piece").orderBy("bucket").rangeBetween(-(cfg.n_buckets - 1), -1)
-    earlier = (near.withColumn("_f", F.coalesce(F.sum("failures").over(before), F.lit(0)))
-               .withColumn("_s", F.coalesce(F.sum("successes").over(before), F.lit(0)))
+    earlier = (near.withColumn("_f", F.coalesce(F.sum("failures").over(before), nothing) + F.col("old_f"))
+               .withColumn("_s", F.coalesce(F.sum("successes").over(before), nothing) + F.col("old_s"))
                .filter("not _context").select("backend", "bucket", "_f", "_s"))
     failed = auth_result(F.col("status"), F.col("error")) == "unavailable"
     rows = calls.select("backend", F.unix_micros("ts").alias("at_us"), failed.alias("failed"),
@@ -76,24 +86,73 @@ class Breaker:
         return [2, self.state]
 
 
-def breaker_states(calls: DataFrame, cfg: BreakerConfig = BreakerConfig()) -> DataFrame:
-    """(backend, at, step, state, label) of every state change; all backends start closed."""
+def breaker_states(calls: DataFrame, cfg: BreakerConfig = BreakerConfig(), history: DataFrame | None = None,
+                   start: DataFrame | None = None) -> DataFrame:
+    """(backend, at, step, state, label) of every state change.
+
+    Backends start closed, or as ``start`` (backend, state, opened_us) says.
+    """
     cooldown = cfg.cooldown_s * MICRO
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend, breaker = None, None
         for part in parts:  # sorted by backend and time, one batch in memory
             out = []
-            for name, at_us, trips, probe_ok in part.itertuples(index=False, name=None):
+            for name, at_us, trips, probe, start_state, opened_us in part.itertuples(index=False, name=None):
                 if name != backend:
                     backend, breaker = name, Breaker(cooldown)
-                states = breaker.feed(at_us, bool(trips), None if probe_ok is None else bool(probe_ok))
+                if start_state >= 0:
+                    breaker = Breaker(cooldown, start_state, opened_us)
+                    continue
+                states = breaker.feed(at_us, bool(trips), None if probe < 0 else probe == 1)
                 out.extend((name, at_us, i, s) for i, s in enumerate(states))
             yield pd.DataFrame(out, columns=["backend", "at_us", "step", "state"])
 
-    points = trip_points(calls, cfg).select("backend", "at_us", "trips", "probe_ok")
+    points = trip_points(calls, cfg, history).select(
+        "backend", "at_us", "trips", F.coalesce(F.col("probe_ok").cast("int"), F.lit(-1)).alias("probe"),
+        F.lit(-1).alias("start_state"), F.lit(0).cast("bigint").alias("opened_us"))
+    if start is not None:
+        points = points.unionByName(start.select(
+            "backend", F.lit(-(1 << 62)).alias("at_us"), F.lit(False).alias("trips"), F.lit(-1).alias("probe"),
+            F.col("state").cast("int").alias("start_state"), "opened_us"))
     # a bounded number of rows per backend and bucket: the order within a backend is inherent
     ordered = points.repartition("backend").sortWithinPartitions("backend", "at_us")
     return (ordered.mapInPandas(walk, "backend string, at_us bigint, step int, state int")
             .withColumn("at", F.timestamp_micros("at_us")).withColumn("label", breaker_label(F.col("state")))
             .withColumn("state", F.col("state").cast("bigint")))
+
+
+def stream_breaker(calls: DataFrame, cfg: BreakerConfig, path: str) -> DataStreamWriter:
+    """Timeline per micro-batch of calls in time order, written to ``path/timeline``.
+
+    What a batch needs of the past is small and kept beside it: each backend's last bucket
+    counts and its state. A retried batch reads its predecessor and overwrites its own folders.
+    """
+    def one(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = stage(batch, "calls")
+        history = start = None
+        if batch_id:
+            history = spark.read.parquet(f"{path}/history/batch={batch_id - 1}")
+            start = spark.read.parquet(f"{path}/state/batch={batch_id - 1}")
+        breaker_states(rows, cfg, history, start).write.mode("overwrite").parquet(f"{path}/timeline/batch={batch_id}")
+        steps = spark.read.parquet(f"{path}/timeline/batch={batch_id}").select(
+            "backend", F.struct("at_us", "step").alias("_at"), "state", F.when(F.col("state") == 1, F.col("at_us")).alias("opened_us"))
+        counts = call_buckets(rows, cfg.bucket_s)
+        if start is not None:
+            first = F.struct(F.lit(-(1 << 62)).alias("at_us"), F.lit(0).alias("step"))
+            steps = steps.unionByName(start.select("backend", first.alias("_at"), "state", "opened_us"))
+            counts = counts.unionByName(history).groupBy("backend", "bucket").agg(
+                F.sum("successes").alias("successes"), F.sum("failures").alias("failures"))
+        last = steps.groupBy("backend").agg(F.max_by("state", "_at").alias("state"),
+                                            F.coalesce(F.max("opened_us"), F.lit(0)).alias("opened_us"))
+        last.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        newest = counts.agg(F.max("bucket")).scalar()
+        (counts.filter(F.col("bucket") > newest - cfg.n_buckets)
+         .write.mode("overwrite").parquet(f"{path}/history/batch={batch_id}"))
+
+    return calls.writeStream.foreachBatch(one)
+
+
+def read_timeline(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/timeline")
