@@ -112,7 +112,7 @@ RULES = [
     Rule("slow_consumer_rate", "subscriber_disconnects_total", ">", 0.1, 600, "rate", 300, {"reason": "slow_consumer"}),
     Rule("multi_root_drops", "tx_dropped_total", ">", 0, 300, "rate", 300, {"reason": "multi_root"}),
     Rule("fd_pressure", "process_open_fds", ">", 0.8, 600, other="process_max_fds", divide=True),
-    Rule("heap_growth", "heap_alloc_bytes", ">", 100 * MIB, 1800, "delta", 1800),
+    Rule("heap_growth", "go_memstats_heap_alloc_bytes", ">", 100 * MIB, 1800, "delta", 1800),
 ]
 
 

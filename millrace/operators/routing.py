@@ -103,22 +103,22 @@ def expand_tx(pairs: DataFrame, changes: DataFrame) -> DataFrame:
 def policy_asof(rows: DataFrame, versions: DataFrame) -> DataFrame:
     """Add the policy version in force: the newest with ``refresh_lsn < commit_lsn``.
 
-    Versions become position intervals; rows before the first version are dropped.
+    Versions become position intervals, with one of no version in front of the first. Every row
+    stays: before the first version, or without any, ``version`` is null and grants nothing.
     """
     later = Window.partitionBy("policy_id").orderBy("refresh_lsn")
     spans = versions.select("policy_id", "version", F.col("refresh_lsn").alias("_from"),
                             F.lead("refresh_lsn").over(later).alias("_to"))
+    before = versions.groupBy("policy_id").agg(F.min("refresh_lsn").alias("_to")).select(
+        "policy_id", F.lit(None).cast(versions.schema["version"].dataType).alias("version"),
+        F.lit(-(1 << 62)).cast("long").alias("_from"), "_to")
+    spans = spans.unionByName(before)
     if fits(versions, BROADCAST_POLICIES):
-        joined = rows.join(F.broadcast(spans), "policy_id")
+        joined = rows.join(F.broadcast(spans), "policy_id", "left")
     else:
-        joined = salted_join(rows, spans, ["policy_id"], TX)
+        joined = salted_join(rows, spans, ["policy_id"], TX, how="left")
     inside = (F.col("commit_lsn") > F.col("_from")) & (F.col("_to").isNull() | (F.col("commit_lsn") <= F.col("_to")))
-    return joined.filter(inside).drop("_from", "_to")
-
-
-def granted(changes: DataFrame, grants: DataFrame) -> DataFrame:
-    """Keep changes whose table the policy version lists (row kept as is)."""
-    return changes.join(grants.select(*CLASS, "table_name").distinct(), [*CLASS, "table_name"], "left_semi")
+    return joined.filter(F.col("_from").isNull() | inside).drop("_from", "_to")
 
 
 def _with_columns(changes: DataFrame, grants: DataFrame) -> DataFrame:

@@ -265,7 +265,8 @@ frag AS (SELECT c.*, '{{"op":"' || c.op || '","table":"' || c.table_name || '","
 ev AS (SELECT tx_id, schema_name, count(*) AS n, '{{"tx_id":' || tx_id || ',"commit_ts":"' || {RFC.format('min(commit_ts)')} || '","changes":['
     || string_agg(f, ',' ORDER BY seq) || ']}}' AS payload FROM frag GROUP BY tx_id, schema_name),
 evb AS (SELECT *, CAST(strlen(payload) + 25 + length(CAST(tx_id AS VARCHAR)) - 2 AS BIGINT) AS frame_bytes FROM ev)"""
-add("encode_events", EVENT, "SELECT tx_id, schema_name, frame_bytes, md5(payload) AS payload_md5 FROM evb WHERE n <= 10")
+add("encode_events", EVENT, """SELECT tx_id, schema_name, frame_bytes,
+  CASE WHEN n <= 10 THEN md5(payload) END AS payload_md5, CASE WHEN n > 10 THEN 'too_many_changes' END AS reason FROM evb""")
 add("payload_cap", EVENT, """SELECT schema_name, frame_bytes > 1500 AS over_cap, count(*) AS n, CAST(sum(frame_bytes) AS BIGINT) AS frame_bytes,
   CAST(sum(n) AS BIGINT) AS n_changes FROM evb GROUP BY 1, 2""")
 

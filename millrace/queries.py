@@ -340,8 +340,12 @@ def terminal_events(spark, d):
 
 @query
 def encode_events(spark, d):
-    events = D.encode_events(changes_of(spark, d), ["schema_name"], W.MAX_CHANGES)
-    return events.select("tx_id", "schema_name", "frame_bytes", F.md5("payload").alias("payload_md5"))
+    changes, caps = changes_of(spark, d), (["schema_name"], W.MAX_CHANGES)
+    events = D.encode_events(changes, *caps).select(
+        "tx_id", "schema_name", "frame_bytes", F.md5("payload").alias("payload_md5"), F.lit(None).cast("string").alias("reason"))
+    rejected = D.rejected_events(changes, *caps).select(
+        "tx_id", "schema_name", "frame_bytes", F.lit(None).cast("string").alias("payload_md5"), "reason")
+    return events.unionByName(rejected)
 
 
 @query

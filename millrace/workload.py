@@ -381,7 +381,7 @@ def alert_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "auth_circuit_breaker_state": F.when(kind == "view", 1.0).when(kind == "click", 2.0).otherwise(0.0),
         "auth_breaker_stale_subscribers": n % 3, "subscriber_disconnects_total": n % 200 * 50,
         "tx_dropped_total": F.expr("event_id div 10"), "process_open_fds": v, "process_max_fds": F.lit(300.0),
-        "heap_alloc_bytes": v * 1_000_000,
+        "go_memstats_heap_alloc_bytes": v * 1_000_000,
     }
     reasons = {"subscriber_disconnects_total": "slow_consumer", "tx_dropped_total": "multi_root"}
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.create_map(F.lit("reason"), F.lit(reasons.get(m, ""))).alias("labels"),

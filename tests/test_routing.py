@@ -138,3 +138,12 @@ def test_whitelist_cases(spark):
     _, grants = policies(spark, grants=[(1, 1, "users", ["v"])])
     seen = {r.tx_id: r.data for r in R.apply_whitelist(tagged, grants).collect()}
     assert seen == {1: {"id": '"x"', "v": '"x"'}, 3: {"id": '"x"', "v": '"x"'}, 4: None, 7: {}}
+
+
+def test_transactions_without_a_policy_in_force_are_silent(spark):
+    versions, grants = policies(spark, versions=[(1, 1, 20)])
+    cs = changes(spark, [(1, "users", "insert", "a"), (2, "users", "insert", "a"), (3, "users", "insert", "a")])
+    known = subs(spark, [("e", "users", "a"), ("w", "users", None), ("none", "users", None, 0, 9)])
+    got = sorted((r.sub_id, r.tx_id, r.outcome) for r in fanout.route(cs, known, versions, grants).outcomes().collect())
+    assert got == [("e", 1, "silent"), ("e", 2, "silent"), ("e", 3, "delivered"), ("none", 1, "silent"), ("none", 2, "silent"),
+                   ("none", 3, "silent"), ("w", 1, "silent"), ("w", 2, "silent"), ("w", 3, "delivered")]
