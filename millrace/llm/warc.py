@@ -176,6 +176,9 @@ def read(index: DataFrame) -> DataFrame:
     record taken at its offset. page_id, url, payload (null for a revisit), payload_bytes,
     payload_digest (of the header; a response's is checked), record_type, refers_to."""
     frames = index.groupBy("path", "frame").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))  # bounded by a frame's size
+    # a row of ``frames`` is small and its work is not: tasks by number of frames, not by their bytes
+    frames = frames.repartition(max(1, -(-index.select("path", "frame").distinct().count() // 32)), "path", "frame") \
+        .sortWithinPartitions("path", "frame")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()),
                         ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
