@@ -2,30 +2,39 @@
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from .common import batch, texts
+from .common import batch, runs, texts
 
 MARK = "▁"
+PART = 500  # rows that are packed together
 
 
-class ChunkTable(dict):
-    """Marked word -> what the model makes of it, each worked out once.
+@dataclass(frozen=True)
+class Settings:
+    """Bounds of a block: distinct chunks, characters, rows. They bound a task's memory and change no result;
+    one text longer than that is a block of its own. Larger blocks repeat fewer words."""
+    chunks: int = 1_000_000
+    characters: int = 64_000_000
+    rows: int = 200_000
+
+
+class Pieces:
+    """The model, and how texts are cut into chunks: white-space marks with the word that follows
+    them, and line feeds.
 
-    A text is cut into chunks: white-space marks with the word that follows them, and line feeds.
     This is exact for a BPE model whose pieces hold marks only in front and hold no line feed, so
-    that no merge can cross a cut; both are checked against the vocabulary. ``make`` gets the
-    chunk, its ids and its decoded text. The table is emptied at ``limit`` chunks, which bounds
-    a worker's memory and changes no result.
+    that no merge can cross a cut; both are checked against the vocabulary.
     """
 
-    def __init__(self, model_path: str, make: Callable = lambda chunk, ids, text: ids, limit: int = 400_000):
+    def __init__(self, model_path: str):
         import sentencepiece
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        self.make, self.limit = make, limit
         size = self.model.get_piece_size()
         pieces = [self.model.id_to_piece(i) for i in range(size) if not self.model.is_byte(i)]
         if any(MARK in p.lstrip(MARK) for p in pieces):
@@ -39,28 +48,147 @@ class ChunkTable(dict):
         self.lead = "\n"
         self.lead_ids = self.model.encode(self.lead)
         self.end = self.model.eos_id()
+        self.type = np.dtype("<u2" if size <= 1 << 16 else "<i4")
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of a text, the model's mark in front included; none for an empty text."""
         return self.cut(" " + text.replace(MARK, " ")) if text else []
 
-    def rows(self, texts: list[str]) -> list[list]:
-        """For each text what was made of its chunks, in order of position."""
-        cut = [self.chunks(t) for t in texts]
-        distinct = set().union(*cut)
-        if len(self) + len(distinct.difference(self)) > self.limit:
-            self.clear()
-        new = list(distinct.difference(self))
-        for lo in range(0, len(new), 10_000):
-            part = new[lo:lo + 10_000]
-            ids = [i[len(self.lead_ids):] for i in self.model.encode([self.lead + c for c in part], num_threads=1)]
-            decoded = self.model.decode([self.lead_ids + i for i in ids], num_threads=1)
-            self.update((c, self.make(c, i, d[len(self.lead):])) for c, i, d in zip(part, ids, decoded))
-        get = self.__getitem__
-        return [list(map(get, c)) for c in cut]
-
-
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        return [i[len(self.lead_ids):] for i in self.model.encode([self.lead + c for c in chunks], num_threads=1)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """Texts of chunks; the first chunk of a whole text begins with a space that isn't part of it."""
+        return [d[len(self.lead):] for d in self.model.decode([self.lead_ids + i for i in ids], num_threads=1)]
+
+
+def _packed(rows: pa.RecordBatch, at: list[list[int]]) -> bytes:
+    """Rows with the numbers of their chunks, compressed."""
+    whole = pa.RecordBatch.from_arrays([*rows.columns, pa.array(at, pa.list_(pa.int32()))], names=[*rows.schema.names, "at"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(whole)
+    return sink.getvalue().to_pybytes()
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], pieces: Pieces, text: str, kept: list[str] | None, s: Settings) -> Iterator[tuple]:
+    """(block, its distinct chunks by number, packed rows with the ``kept`` columns) for each block of a task.
+
+    Without ``kept`` nothing is packed. A block ends by its own rows only, wherever batches end, and
+    its name is a hash of its first column and chunks, so reading the rows twice gives it twice.
+    """
+    numbers, parts, name, n, size = {}, [], hashlib.blake2b(digest_size=8), 0, 0
+
+    def close():
+        name.update("\0".join(numbers).encode())
+        return int.from_bytes(name.digest(), "little", signed=True), list(numbers), parts
+
+    for b in batches:
+        for lo in range(0, b.num_rows, PART):
+            part, at, first = b.slice(lo, PART), [], 0
+            column, keys = part.column(part.schema.names.index(text)).to_pylist(), part.column(0).to_pylist()
+            for i, t in enumerate(column):
+                put = numbers.setdefault
+                at.append([put(c, len(numbers)) for c in pieces.chunks(t or "")])
+                name.update(f"{keys[i]} {len(at[-1])} ".encode())
+                n, size = n + 1, size + len(t or "")
+                full = len(numbers) >= s.chunks or size >= s.characters or n >= s.rows
+                if full or i == len(column) - 1:
+                    if kept is not None:
+                        parts.append(_packed(part.slice(first, i + 1 - first).select(kept), at))
+                    at, first = [], i + 1
+                if full:
+                    yield close()
+                    numbers, parts, name, n, size = {}, [], hashlib.blake2b(digest_size=8), 0, 0
+    if n:
+        yield close()
+
+
+class Block:
+    """Rows of a block beside what the model made of its chunks."""
+
+    def __init__(self, group: pa.Table, pieces: Pieces):
+        numbers, values = group.column("number").to_numpy(), group.column("value").combine_chunks()
+        _, first = np.unique(numbers, return_index=True)  # sorted; equal blocks of repeated rows have equal chunks
+        own = first[numbers[first] >= 0]
+        parts = np.flatnonzero(numbers < 0)
+        if not len(parts) or len(own) != -numbers[parts[0]] - 1:
+            raise RuntimeError("the documents came in another order when read again: stage them first")
+        held = values.take(pa.array(own)).to_pylist()
+        self.pieces = pieces
+        self.ids = np.frombuffer(b"".join(held), pieces.type).astype(np.int32)
+        self.start = np.cumsum([0] + [len(h) // pieces.type.itemsize for h in held])
+        self.packed = values.take(pa.array(parts))
+
+    def per_chunk(self, make: Callable) -> list:
+        """``make`` gets ids of chunks, some thousands at once."""
+        out, flat, start = [], self.ids.tolist(), self.start.tolist()
+        for lo in range(0, len(start) - 1, 10_000):
+            edges = start[lo:lo + 10_001]
+            out += make([flat[a:b] for a, b in zip(edges, edges[1:])])
+        return out
+
+    def parts(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Kept columns, numbers of all chunks, and where each row's begin and the last's end."""
+        for p in self.packed:
+            rows = pa.ipc.open_stream(p.as_buffer()).read_next_batch()
+            at = rows.column(rows.num_columns - 1)
+            yield rows.select(rows.schema.names[:-1]), at.values.to_numpy(), at.offsets.to_numpy()
+
+    def joined(self, at: np.ndarray, rows: np.ndarray) -> pa.ListArray:
+        """The ids of rows, their chunks' ids in order of position and the end id."""
+        n = self.start[at + 1] - self.start[at]
+        place = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(self.start[at] - place[:-1], n) + np.arange(place[-1])]
+        edges = place[rows]
+        return pa.ListArray.from_arrays(pa.array(edges + np.arange(len(edges)), pa.int32()),
+                                        pa.array(np.insert(ids, edges[1:], self.pieces.end), pa.int32()))
+
+
+def over_blocks(docs: DataFrame, model_path: str, text: str, kept: list[str], make: Callable, schema, s: Settings) -> DataFrame:
+    """Rows that ``make`` yields from every ``Block`` of ``docs``.
+
+    The chunk table has a row for each distinct chunk of each block. It is shuffled by chunk, where
+    equal chunks lie side by side and are segmented once; the ids go to the block that asked, where
+    they meet the block's rows, which travel as chunk numbers instead of texts. A chunk that all
+    texts share has one row per block. ``docs`` is read twice and must give the same rows in the
+    same order, as files do; a block whose readings differ fails the job.
+    """
+    docs = docs if docs.columns[0] != text else docs.select(*[c for c in docs.columns if c != text], text)
+    of_chunks = pa.schema([("block", pa.int64()), ("number", pa.int64()), ("chunk", pa.string())])
+    of_values = pa.schema([("block", pa.int64()), ("number", pa.int64()), ("value", pa.binary())])
+
+    def chunk_rows(batches):
+        for block, chunks, _ in _blocks(batches, Pieces(model_path), text, None, s):
+            for lo in range(0, len(chunks), 100_000):
+                part = chunks[lo:lo + 100_000]
+                yield batch(of_chunks, np.full(len(part), block), np.arange(lo, lo + len(part)), part)
+
+    def packed_rows(batches):
+        for block, chunks, parts in _blocks(batches, Pieces(model_path), text, kept, s):
+            for p in parts:  # below zero, and telling the number of chunks to come
+                yield batch(of_values, [block], [-len(chunks) - 1], [p])
+
+    def segmented(batches):
+        pieces = Pieces(model_path)
+        for b in batches:
+            coded = b.column(2).dictionary_encode()
+            ids = [np.array(i, pieces.type).tobytes() for i in pieces.segment(coded.dictionary.to_pylist())]
+            yield batch(of_values, b.column(0), b.column(1), pa.array(ids, pa.binary()).take(coded.indices))
+
+    def assembled(batches):
+        pieces = Pieces(model_path)
+        for _, group in runs(batches, 1):
+            yield from make(Block(group, pieces))
+
+    values = "block long, number long, value binary"
+    table = (docs.mapInArrow(chunk_rows, "block long, number long, chunk string")
+             .repartition("chunk").sortWithinPartitions("chunk").mapInArrow(segmented, values))
+    return (docs.mapInArrow(packed_rows, values).unionByName(table)
+            .repartition("block").sortWithinPartitions("block").mapInArrow(assembled, schema))
+
+
+def encode(docs: DataFrame, model_path: str, settings: Settings = Settings()) -> DataFrame:
     """doc_id, ids (with the end id) and decoded, the text that the ids decode to.
 
     The ids of a text are its chunks' ids in order of position; a null or empty text has only the
@@ -68,55 +196,46 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
-    def work(batches):
-        table = ChunkTable(model_path, lambda chunk, ids, text: (ids, text))
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                all_ids, decoded = [], []
-                for made in table.rows(part.column(1).to_pylist()):
-                    all_ids.append([i for ids, _ in made for i in ids] + [table.end])
-                    decoded.append("".join(t for _, t in made)[1:])
-                yield batch(schema, part.column(0), all_ids, decoded)
+    def make(block):
+        decoded = block.per_chunk(block.pieces.decode)
+        for rows, at, edges in block.parts():
+            made = ["".join([decoded[i] for i in at[a:b].tolist()])[1:] for a, b in zip(edges, edges[1:])]
+            yield batch(schema, rows.column(0), block.joined(at, edges), made)
 
-    return texts(docs).mapInArrow(work, "doc_id long, ids array<int>, decoded string")
+    return over_blocks(texts(docs), model_path, "text", ["doc_id"], make, "doc_id long, ids array<int>, decoded string", settings)
 
 
-def digests(docs: DataFrame, model_path: str) -> DataFrame:
+def digests(docs: DataFrame, model_path: str, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of ``encode``, without shipping the ids."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
-    def work(batches):
-        table = ChunkTable(model_path, lambda chunk, ids, text: (len(ids), " ".join(map(str, ids)), text))
-        end = str(table.end)
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part, rows = b.slice(lo, 500), []
-                for doc_id, made in zip(part.column(0).to_pylist(), table.rows(part.column(1).to_pylist())):
-                    written = " ".join([m[1] for m in made] + [end])
-                    decoded = "".join([m[2] for m in made])[1:]
-                    rows.append((doc_id, sum([m[0] for m in made]) + 1, hashlib.sha256(written.encode()).hexdigest(),
-                                 hashlib.sha256(decoded.encode()).hexdigest()))
-                yield batch(schema, *zip(*rows))
+    def make(block):
+        decoded = block.per_chunk(block.pieces.decode)
+        written = block.per_chunk(lambda ids: [" ".join(map(str, i)) for i in ids])
+        n, end = np.diff(block.start), str(block.pieces.end)
+        for rows, at, edges in block.parts():
+            total = np.concatenate([[0], np.cumsum(n[at])])[edges]
+            own = [at[a:b].tolist() for a, b in zip(edges, edges[1:])]
+            yield batch(schema, rows.column(0), np.diff(total) + 1, [sha(" ".join([written[i] for i in o] + [end])) for o in own],
+                        [sha("".join([decoded[i] for i in o])[1:]) for o in own])
+
+    return over_blocks(texts(docs), model_path, "text", ["doc_id"], make,
+                       "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", settings)
 
-    return texts(docs).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
+def with_ids(docs: DataFrame, model_path: str, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` with ids and n_tokens of their texts appended; columns of these names are replaced.
 
-def with_ids(docs: DataFrame, model_path: str) -> DataFrame:
-    """The rows of ``docs`` with ids and n_tokens of their texts appended, in one pass over the rows."""
+    All columns travel with the chunk numbers, compressed.
+    """
     names = [c for c in docs.columns if c not in ("ids", "n_tokens")]
-    fields = docs.select(*names).schema
-
-    def work(batches):
-        table = ChunkTable(model_path)
-        at = names.index("text")
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                b = whole.slice(lo, 500)
-                made = table.rows([t or "" for t in b.column(at).to_pylist()])
-                ids = [[i for chunk in m for i in chunk] + [table.end] for m in made]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())],
-                                                 names=[*names, "ids", "n_tokens"])
-
-    out = type(fields)(fields.fields).add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType())
-    return docs.select(*names).mapInArrow(work, out)
+    out = T.StructType(docs.select(*names).schema.fields).add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType())
+
+    def make(block):
+        for rows, at, edges in block.parts():
+            ids = block.joined(at, edges)
+            columns = dict(zip(rows.schema.names, rows.columns)) | {"ids": ids, "n_tokens": pa.array(np.diff(ids.offsets.to_numpy()), pa.int64())}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in out.names], names=out.names)
+
+    return over_blocks(docs.select(*names), model_path, "text", names, make, out, settings)

@@ -109,13 +109,25 @@ def test_pieces_equal_the_library(spark, odd):
     import sentencepiece
     path = queries.tokenizer()
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    table = pieces.ChunkTable(path, lambda chunk, ids, text: (ids, text), limit=50)
+    plain = pieces.Pieces(path)
     letters = " \n\t▁aéß中　\xa0\x00😀<0x0A></s>\r.the​"
-    for _ in range(300):
-        text = "".join(RNG.choice(letters) for _ in range(RNG.randrange(30)))
-        made = table.rows([text])[0]
-        ids = [i for a, _ in made for i in a]
-        assert ids == model.encode(text) and "".join(t for _, t in made)[1:] == model.decode(ids)
+    made_up = ["".join(RNG.choice(letters) for _ in range(RNG.randrange(30))) for _ in range(300)]
+    for text in made_up:
+        ids = plain.segment(plain.chunks(text))
+        assert sum(ids, []) == model.encode(text) and "".join(plain.decode(ids))[1:] == model.decode(sum(ids, []))
+    # blocks that end at any row, and the table joined back by position
+    table = spark.createDataFrame(list(enumerate(made_up)), "doc_id long, text string").repartition(3)
+    for bounds in (pieces.Settings(), pieces.Settings(chunks=40), pieces.Settings(characters=1), pieces.Settings(rows=7)):
+        got = {r.doc_id: (r.ids, r.decoded) for r in pieces.encode(table, path, bounds).collect()}
+        assert got == {i: (model.encode(t) + [2], model.decode(model.encode(t))) for i, t in enumerate(made_up)}
+    import hashlib
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for r in pieces.digests(table, path, pieces.Settings(chunks=40)).collect():
+        ids = model.encode(made_up[r.doc_id]) + [2]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(model.decode(ids)))
+    assert pieces.digests(odd.limit(0), path).count() == 0
+    same = spark.createDataFrame([("", 1)] * 50 + [("a b", 2)] * 50, "text string, ids int")  # repeated rows, text first
+    assert sorted((r.text, r.n_tokens) for r in pieces.with_ids(same, path, pieces.Settings(rows=5)).collect()) == [("", 1)] * 50 + [("a b", 3)] * 50
     rows = {r.doc_id: r for r in pieces.encode(odd, path).filter("doc_id > 1").collect()}
     assert all(rows[i].ids == model.encode(ODD[i]) + [2] and rows[i].decoded == model.decode(rows[i].ids) for i in range(2, len(ODD)))
     assert pieces.digests(odd, path).filter("n_tokens = 1").count() == 4 and pieces.with_ids(odd, path).count() == odd.count()
