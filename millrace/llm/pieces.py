@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -13,15 +14,19 @@ from .common import batch, runs, texts
 
 MARK = "▁"
 PART = 500  # rows that are packed together
+AT = "chunk numbers of a packed row"
+BUCKETS, ROWS = -1, -2  # kinds of a block's rows, beside the numbers of buckets
 
 
 @dataclass(frozen=True)
 class Settings:
     """Bounds of a block: distinct chunks, characters, rows. They bound a task's memory and change no result;
-    one text longer than that is a block of its own. Larger blocks repeat fewer words."""
+    one text longer than that is a block of its own. Larger blocks repeat fewer words. table: chunks of one
+    bucket that are held at once; with enough shuffle partitions no bucket has more, and each is segmented once."""
     chunks: int = 1_000_000
     characters: int = 64_000_000
     rows: int = 200_000
+    table: int = 1_000_000
 
 
 class Pieces:
@@ -48,7 +53,7 @@ class Pieces:
         self.lead = "\n"
         self.lead_ids = self.model.encode(self.lead)
         self.end = self.model.eos_id()
-        self.type = np.dtype("<u2" if size <= 1 << 16 else "<i4")
+        self.lists = pa.list_(pa.uint16() if size <= 1 << 16 else pa.int32())
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of a text, the model's mark in front included; none for an empty text."""
@@ -62,15 +67,24 @@ class Pieces:
         return [d[len(self.lead):] for d in self.model.decode([self.lead_ids + i for i in ids], num_threads=1)]
 
 
-def _packed(rows: pa.RecordBatch, at: list[list[int]]) -> bytes:
-    """Rows with the numbers of their chunks, compressed."""
-    whole = pa.RecordBatch.from_arrays([*rows.columns, pa.array(at, pa.list_(pa.int32()))], names=[*rows.schema.names, "at"])
+def _packed(**columns) -> bytes:
+    """Columns as one compressed value."""
+    whole = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_batch(whole)
     return sink.getvalue().to_pybytes()
 
 
+def _unpacked(value: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(value.as_buffer()).read_next_batch()
+
+
+def _buckets(chunks: list[str], n: int) -> np.ndarray:
+    """Share of the chunk table that each chunk belongs to."""
+    return np.fromiter((zlib.crc32(c.encode()) % n for c in chunks), np.int32, len(chunks))
+
+
 def _blocks(batches: Iterable[pa.RecordBatch], pieces: Pieces, text: str, kept: list[str] | None, s: Settings) -> Iterator[tuple]:
     """(block, its distinct chunks by number, packed rows with the ``kept`` columns) for each block of a task.
 
@@ -95,7 +109,8 @@ def _blocks(batches: Iterable[pa.RecordBatch], pieces: Pieces, text: str, kept:
                 full = len(numbers) >= s.chunks or size >= s.characters or n >= s.rows
                 if full or i == len(column) - 1:
                     if kept is not None:
-                        parts.append(_packed(part.slice(first, i + 1 - first).select(kept), at))
+                        rows = part.slice(first, i + 1 - first).select(kept)
+                        parts.append(_packed(**dict(zip(kept, rows.columns)), **{AT: pa.array(at, pa.list_(pa.int32()))}))
                     at, first = [], i + 1
                 if full:
                     yield close()
@@ -108,17 +123,20 @@ class Block:
     """Rows of a block beside what the model made of its chunks."""
 
     def __init__(self, group: pa.Table, pieces: Pieces):
-        numbers, values = group.column("number").to_numpy(), group.column("value").combine_chunks()
-        _, first = np.unique(numbers, return_index=True)  # sorted; equal blocks of repeated rows have equal chunks
-        own = first[numbers[first] >= 0]
-        parts = np.flatnonzero(numbers < 0)
-        if not len(parts) or len(own) != -numbers[parts[0]] - 1:
+        kinds, values = group.column("kind").to_numpy(), group.column("value").combine_chunks()
+        found, first = np.unique(kinds, return_index=True)  # sorted; equal blocks of repeated rows have equal chunks
+        named = dict(zip(found.tolist(), first.tolist()))
+        bucket = _unpacked(values[named[BUCKETS]]).column(0).to_numpy() if BUCKETS in named else None
+        held = [_unpacked(values[named[k]]).column(0) for k in found[found >= 0].tolist()]
+        if bucket is None or sum(map(len, held)) != len(bucket):
             raise RuntimeError("the documents came in another order when read again: stage them first")
-        held = values.take(pa.array(own)).to_pylist()
+        place = np.empty(len(bucket), np.int64)  # the table's rows come by bucket, in each by number
+        place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+        lists = pa.concat_arrays(held).take(pa.array(place)) if held else pa.array([], pa.list_(pa.uint16()))
         self.pieces = pieces
-        self.ids = np.frombuffer(b"".join(held), pieces.type).astype(np.int32)
-        self.start = np.cumsum([0] + [len(h) // pieces.type.itemsize for h in held])
-        self.packed = values.take(pa.array(parts))
+        self.ids = lists.values.to_numpy().astype(np.int32)
+        self.start = lists.offsets.to_numpy().astype(np.int64)
+        self.packed = [values[i] for i in np.flatnonzero(kinds == ROWS).tolist()]
 
     def per_chunk(self, make: Callable) -> list:
         """``make`` gets ids of chunks, some thousands at once."""
@@ -131,8 +149,8 @@ class Block:
     def parts(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """Kept columns, numbers of all chunks, and where each row's begin and the last's end."""
         for p in self.packed:
-            rows = pa.ipc.open_stream(p.as_buffer()).read_next_batch()
-            at = rows.column(rows.num_columns - 1)
+            rows = _unpacked(p)
+            at = rows.column(AT)
             yield rows.select(rows.schema.names[:-1]), at.values.to_numpy(), at.offsets.to_numpy()
 
     def joined(self, at: np.ndarray, rows: np.ndarray) -> pa.ListArray:
@@ -148,42 +166,51 @@ class Block:
 def over_blocks(docs: DataFrame, model_path: str, text: str, kept: list[str], make: Callable, schema, s: Settings) -> DataFrame:
     """Rows that ``make`` yields from every ``Block`` of ``docs``.
 
-    The chunk table has a row for each distinct chunk of each block. It is shuffled by chunk, where
-    equal chunks lie side by side and are segmented once; the ids go to the block that asked, where
-    they meet the block's rows, which travel as chunk numbers instead of texts. A chunk that all
-    texts share has one row per block. ``docs`` is read twice and must give the same rows in the
-    same order, as files do; a block whose readings differ fails the job.
+    The chunk table lies in buckets by a hash of the chunk, as many as there are shuffle partitions.
+    Each block asks each bucket for its distinct chunks, in one packed row; the bucket segments every
+    distinct chunk once and answers the block, where the ids meet the block's rows, which travel as
+    chunk numbers instead of texts. A chunk that all texts share is asked for once per block.
+    ``docs`` is read twice and must give the same rows in the same order, as files do; a block whose
+    readings differ fails the job.
     """
     docs = docs if docs.columns[0] != text else docs.select(*[c for c in docs.columns if c != text], text)
-    of_chunks = pa.schema([("block", pa.int64()), ("number", pa.int64()), ("chunk", pa.string())])
-    of_values = pa.schema([("block", pa.int64()), ("number", pa.int64()), ("value", pa.binary())])
+    n_buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("value", pa.binary())])
+    given = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("value", pa.binary())])
 
-    def chunk_rows(batches):
+    def questions(batches):
         for block, chunks, _ in _blocks(batches, Pieces(model_path), text, None, s):
-            for lo in range(0, len(chunks), 100_000):
-                part = chunks[lo:lo + 100_000]
-                yield batch(of_chunks, np.full(len(part), block), np.arange(lo, lo + len(part)), part)
+            bucket = _buckets(chunks, n_buckets)
+            found, first = np.unique(np.sort(bucket), return_index=True)
+            by_bucket = pa.array(chunks, pa.string()).take(pa.array(np.argsort(bucket, kind="stable")))
+            for k, lo, hi in zip(found.tolist(), first.tolist(), [*first.tolist()[1:], len(chunks)]):
+                yield batch(asked, [k], [block], [_packed(chunk=by_bucket.slice(lo, hi - lo))])
 
     def packed_rows(batches):
         for block, chunks, parts in _blocks(batches, Pieces(model_path), text, kept, s):
-            for p in parts:  # below zero, and telling the number of chunks to come
-                yield batch(of_values, [block], [-len(chunks) - 1], [p])
+            yield batch(given, [block], [BUCKETS], [_packed(bucket=pa.array(_buckets(chunks, n_buckets)))])
+            for p in parts:
+                yield batch(given, [block], [ROWS], [p])
 
-    def segmented(batches):
-        pieces = Pieces(model_path)
+    def answers(batches):
+        pieces, table, last = Pieces(model_path), {}, None
         for b in batches:
-            coded = b.column(2).dictionary_encode()
-            ids = [np.array(i, pieces.type).tobytes() for i in pieces.segment(coded.dictionary.to_pylist())]
-            yield batch(of_values, b.column(0), b.column(1), pa.array(ids, pa.binary()).take(coded.indices))
+            for bucket, block, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                chunks = _unpacked(value).column(0).to_pylist()
+                new = [c for c in chunks if c not in table] if bucket == last else chunks
+                if bucket != last or len(table) + len(new) > s.table:
+                    table, new, last = {}, chunks, bucket
+                table.update(zip(new, pieces.segment(new)))
+                yield batch(given, [block], [bucket], [_packed(ids=pa.array([table[c] for c in chunks], pieces.lists))])
 
     def assembled(batches):
         pieces = Pieces(model_path)
         for _, group in runs(batches, 1):
             yield from make(Block(group, pieces))
 
-    values = "block long, number long, value binary"
-    table = (docs.mapInArrow(chunk_rows, "block long, number long, chunk string")
-             .repartition("chunk").sortWithinPartitions("chunk").mapInArrow(segmented, values))
+    values = "block long, kind int, value binary"
+    table = (docs.mapInArrow(questions, "bucket int, block long, value binary")
+             .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answers, values))
     return (docs.mapInArrow(packed_rows, values).unionByName(table)
             .repartition("block").sortWithinPartitions("block").mapInArrow(assembled, schema))
 
