@@ -441,7 +441,7 @@ b AS (SELECT backend, epoch_us(ts) // 3600000000 AS bucket, count(CASE WHEN resu
 add("stale", "", """SELECT user_id, max(ts) AS last_at, (user_id % 20 + 1) * 3600 AS ttl_s, round((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) / 1e6, 3) AS age_s
 FROM events GROUP BY user_id HAVING (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) / 1e6 > (user_id % 20 + 1) * 3600""")
 add("lsn_lag", """x AS (SELECT 'p' || (user_id % 8) AS s, ts, event_id, event_id % 2 = 0 AS cur,
-  (CASE WHEN event_id % 2 = 0 THEN event_id ELSE event_id - 3 END) * 3000000000 AS lsn FROM events WHERE event_id >= 3)""",
+  (CASE WHEN event_id % 2 = 0 THEN event_id + 3 ELSE event_id END) * 3000000000 AS lsn FROM events)""",
     """SELECT c.s AS session_id, c.ts, coalesce(c.lsn - d.lsn, 0) AS lag_bytes FROM (SELECT * FROM x WHERE cur) c
 ASOF LEFT JOIN (SELECT * FROM x WHERE NOT cur) d ON d.s = c.s AND d.ts <= c.ts""")
 add("steady_rate", """x AS (SELECT 'i' || (user_id % 10) AS instance, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-02')) / 1e6 AS t, event_id // 10 AS v FROM events),

@@ -468,8 +468,8 @@ def position_series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     """(current, confirmed) positions as ``X/Y`` text per session."""
     from .functions import lsn_text
     n = F.col("event_id")
-    at = F.when(n % 2 == 0, n).otherwise(n - 3).cast("decimal(20,0)") * F.lit(3_000_000_000).cast("decimal(20,0)")
-    rows = events(spark, sf_dir).filter("event_id >= 3").select(
+    at = F.when(n % 2 == 0, n + 3).otherwise(n).cast("decimal(20,0)") * F.lit(3_000_000_000).cast("decimal(20,0)")
+    rows = events(spark, sf_dir).select(
         F.concat(F.lit("p"), (F.col("user_id") % 8).cast("string")).alias("session_id"), "ts", "event_id",
         lsn_text(at).alias("lsn_text"))
     return rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1")
