@@ -4,8 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import auth_result
 from ..schemas import TX
-from . import chunked
-from .skew import salted_join
+from . import chunked, routing as R
 
 # fixed values: histogram bounds of the reported distributions
 TX_SIZE_BOUNDS = [1, 10, 100, 1000, 10000, 100000]
@@ -16,19 +15,25 @@ LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10]
 FEED_LENGTH = 200
 
 
-def fan_out(touched: DataFrame, tables: DataFrame, subs: DataFrame) -> DataFrame:
-    """Subscriptions matched per transaction, before any cutoff or guard; 0 when none.
+def fan_out(touched: DataFrame, tables: DataFrame, subs: DataFrame, span: int = chunked.DEFAULT_SPAN) -> DataFrame:
+    """Subscriptions matched per transaction (``n_exact``: row-level ones), before start and guards; 0 when none.
 
-    Subscriptions are counted per anchor first: a transaction meets each anchor once, so
-    the counts add up and no (transaction, subscription) pair is built.
+    A subscription counts up to its ``end_lsn`` and, where ``subs`` carry it, its ``violation_lsn``.
+    Subscriptions are counted per anchor: a transaction meets each anchor once, and a running
+    sum of the ended ones is taken off along the log, so no (transaction, subscription) pair is built.
     """
-    exact = subs.filter("kind = 'exact'").groupBy("schema_name", "table_name", "pk").agg(F.count("*").alias("_n"))
-    wild = subs.filter("kind = 'wildcard'").groupBy("schema_name", "table_name").agg(F.count("*").alias("_n"))
-    by_row = salted_join(touched.select(*TX, "schema_name", "table_name", "pk"), exact,
-                         ["pk", "table_name", "schema_name"], TX, salts=4).select(*TX, "_n")
-    by_table = salted_join(tables.select(*TX, "schema_name", "table_name"), wild,
-                           ["schema_name", "table_name"], TX, how="left", salts=64).select(*TX, "_n")
-    return by_row.unionByName(by_table).groupBy(*TX).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_subs"))
+    keys, nothing = R.LOG_KEYS, F.lit(0).cast("bigint")
+    met = R.met_anchors(touched, tables, subs).withColumn("_n", nothing).withColumn("_mark", F.lit(0))
+    last = F.least("end_lsn", "violation_lsn") if "violation_lsn" in subs.columns else F.col("end_lsn")
+    ends = R.by_log(subs).withColumn("commit_lsn", last.cast(met.schema["commit_lsn"].dataType)).filter("commit_lsn is not null")
+    marks = ends.groupBy(*keys, "commit_lsn").agg(F.count("*").alias("_n")).withColumn("_mark", F.lit(1))
+    # an end sorts behind the transaction at its position, which it still counts in
+    both = met.unionByName(marks, allowMissingColumns=True)
+    counted = chunked.running_sum(both, keys, ["commit_lsn", "_mark", "session_id", "tx_id"], {"_gone": F.col("_n")}, span)
+    there = F.col("n_anchored") - F.col("_gone")
+    found = counted.filter("_mark = 0").select(*TX, there.alias("n"), F.when(F.col("kind") == "exact", there).otherwise(nothing).alias("x"))
+    unmet = tables.select(*TX, nothing.alias("n"), nothing.alias("x"))
+    return found.unionByName(unmet).groupBy(*TX).agg(F.sum("n").alias("n_subs"), F.sum("x").alias("n_exact"))
 
 
 def outcome_counts(outcomes: DataFrame, by: list[str], cube: bool = False) -> DataFrame:

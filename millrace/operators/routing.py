@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schemas import TX
 from ..session import fits
+from . import chunked
 from .skew import salted_join
 
 ANCHOR = ["kind", "schema_name", "table_name", "pk"]
@@ -98,6 +99,94 @@ def expand_tx(pairs: DataFrame, changes: DataFrame) -> DataFrame:
     return changes.join(own, [*TX, "schema_name"]).withColumn("anchor", anchor)
 
 
+# ---- totals along the log, without pairs -------------------------------------------
+
+LOG_KEYS = ["_pk", "table_name", "schema_name", "kind"]
+# behind every position
+END = 1 << 62
+
+
+def by_log(df: DataFrame) -> DataFrame:
+    """Add ``_pk``: the key of the anchor's log, blank for wildcards."""
+    return df.withColumn("_pk", F.coalesce("pk", F.lit("")))
+
+
+def met_anchors(touched: DataFrame, tables: DataFrame, subs: DataFrame) -> DataFrame:
+    """One row per (transaction, anchor it meets) with ``n_anchored``, the anchor's subscriptions."""
+    groups = by_log(subs).groupBy(*LOG_KEYS).agg(F.count("*").alias("n_anchored"))
+    rows = touched.select(*TX, "schema_name", "table_name", F.col("pk").alias("_pk"), F.lit("exact").alias("kind"))
+    whole = tables.select(*TX, "schema_name", "table_name", F.lit("").alias("_pk"), F.lit("wildcard").alias("kind"))
+    return salted_join(rows, groups.filter("kind = 'exact'"), LOG_KEYS, TX, salts=4).unionByName(
+        salted_join(whole, groups.filter("kind = 'wildcard'"), LOG_KEYS, TX, salts=64))
+
+
+def totals_along(rows: DataFrame, subs: DataFrame, keys: list[str], values: dict[str, Column], span: int,
+                 nearest: str | None = None) -> DataFrame:
+    """Per subscription, ``at_start`` and ``at_last``: structs of sums (``sum_<value>``) over the rows
+    of its keys up to ``start_lsn`` and up to ``last_lsn`` (null: all).
+
+    ``nearest`` names a column whose value in the last row up to the position (``before``) and in
+    the first one behind it (``after``) is added. Running totals are read off at the distinct
+    positions asked for, so work is rows + subscriptions, not their product.
+    """
+    lsn = rows.schema["commit_lsn"].dataType
+    own = ["sub_id", "start_lsn", "last_lsn", *keys]
+    asked = subs.select(*own, F.explode(F.array(
+        F.struct(F.lit(True).alias("_first"), F.col("start_lsn").cast(lsn).alias("commit_lsn")),
+        F.struct(F.lit(False).alias("_first"), F.coalesce("last_lsn", F.lit(END)).cast(lsn).alias("commit_lsn"))))
+        .alias("_a")).select(*own, "_a.*")
+    near = [F.col(nearest).alias("_near")] if nearest else []
+    log = rows.select(*keys, "commit_lsn", *[c.alias(v) for v, c in values.items()], *near, F.lit(0).alias("_mark"))
+    marks = asked.select(*keys, "commit_lsn").distinct().withColumn("_mark", F.lit(1))
+    # marks sort behind the rows at their position
+    order, out = ["commit_lsn", "_mark"], [f"sum_{v}" for v in values]
+    found = chunked.running_sum(log.unionByName(marks, allowMissingColumns=True), keys, order,
+                                {f"sum_{v}": F.col(v) for v in values}, span)
+    if nearest:
+        found = chunked.fill_forward(found, keys, order, F.col("_near"), "before", span)
+        found = found.withColumn("_back", -F.col("commit_lsn")).withColumn("_rank", -F.col("_mark"))
+        found = chunked.fill_forward(found, keys, ["_back", "_rank"], F.col("_near"), "after", span)
+        out = [*out, "before", "after"]
+    read = salted_join(asked, found.filter("_mark = 1").select(*keys, "commit_lsn", *out), [*keys, "commit_lsn"], ["sub_id"])
+    held = F.struct(*out)
+    return read.groupBy(*own).agg(F.max(F.when(F.col("_first"), held)).alias("at_start"),
+                                  F.max(F.when(~F.col("_first"), held)).alias("at_last"))
+
+
+def within(value: str) -> Column:
+    """A total of ``totals_along`` behind the start and up to the last position; 0 if that comes first."""
+    inside = F.col("last_lsn").isNull() | (F.col("last_lsn") >= F.col("start_lsn"))
+    return F.when(inside, F.col(f"at_last.sum_{value}") - F.col(f"at_start.sum_{value}")).otherwise(F.lit(0).cast("bigint"))
+
+
+def _tx_totals(changes: DataFrame, subs: DataFrame, last: Column, span: int) -> DataFrame:
+    touched = touched_rows(changes)
+    met = met_anchors(touched, touched_tables(touched), subs)
+    one = {"n": F.lit(1).cast("bigint")}
+    return totals_along(met, by_log(subs).withColumn("last_lsn", last), LOG_KEYS, one, span, nearest="tx_id")
+
+
+def live_totals(changes: DataFrame, subs: DataFrame, span: int) -> DataFrame:
+    """``match_live`` by subscription, without its pairs: number of transactions, first and last in log order."""
+    found = _tx_totals(changes, subs, F.col("end_lsn"), span)
+    return found.select("sub_id", "kind", within("n").alias("n_tx"), F.col("at_start.after").alias("first_tx"),
+                        F.col("at_last.before").alias("last_tx")).filter("n_tx > 0")
+
+
+def start_totals(changes: DataFrame, subs: DataFrame, span: int) -> DataFrame:
+    """Matched transactions of each subscription behind its start and up to it, ended or not."""
+    found = _tx_totals(changes, subs, F.lit(None).cast("bigint"), span)
+    return found.select("sub_id", within("n").alias("n_after"), F.col("at_start.sum_n").alias("n_before")).filter(
+        "n_after + n_before > 0")
+
+
+def wildcard_totals(tables: DataFrame, subs: DataFrame) -> DataFrame:
+    """``match_wildcard`` by subscription: transactions are counted once per table."""
+    anchors = ["schema_name", "table_name"]
+    seen = tables.groupBy(*anchors).agg(F.count("*").alias("n_tx"), F.min("tx_id").alias("first_tx"), F.max("tx_id").alias("last_tx"))
+    return salted_join(_wildcard_side(subs), seen, anchors, ["sub_id"]).select("sub_id", "n_tx", "first_tx", "last_tx")
+
+
 # ---- policies ----------------------------------------------------------------------
 
 def policy_asof(rows: DataFrame, versions: DataFrame) -> DataFrame:

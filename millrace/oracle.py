@@ -103,7 +103,8 @@ FROM elig WHERE kind = 'wildcard' GROUP BY sub_id""")
 add("match_live", MATCH, """SELECT sub_id, kind, count(*) AS n_tx, min(tx_id) AS first_tx, max(tx_id) AS last_tx
 FROM elig WHERE lsn > start_lsn AND (end_lsn IS NULL OR lsn <= end_lsn) GROUP BY sub_id, kind""")
 add("eligible", MATCH, """SELECT tx_id, count(DISTINCT sub_id) AS n_pairs,
-  count(DISTINCT CASE WHEN kind = 'exact' THEN sub_id END) AS n_exact FROM elig GROUP BY tx_id""")
+  count(DISTINCT CASE WHEN kind = 'exact' THEN sub_id END) AS n_exact FROM elig
+WHERE end_lsn IS NULL OR lsn <= end_lsn GROUP BY tx_id""")
 add("start_cutoff", MATCH, """SELECT sub_id, count(CASE WHEN lsn > start_lsn THEN 1 END) AS n_after,
   count(CASE WHEN lsn <= start_lsn THEN 1 END) AS n_before FROM elig GROUP BY sub_id""")
 add("schema_scope", MATCH, """SELECT e.tx_id, e.sub_id, count(CASE WHEN c.schema_name = e.schema_name THEN 1 END) AS n_inside,
@@ -357,7 +358,8 @@ p AS (SELECT *, lag(tx) OVER (PARTITION BY sub_id ORDER BY a) AS b FROM r)""",
 
 # ---- rollups -----------------------------------------------------------------------
 
-add("fan_out", MATCH, """SELECT t.tx_id, count(e.sub_id) AS n_subs FROM (SELECT DISTINCT tx_id FROM chg) t LEFT JOIN elig e ON e.tx_id = t.tx_id GROUP BY t.tx_id""")
+add("fan_out", MATCH, """SELECT t.tx_id, count(e.sub_id) AS n_subs FROM (SELECT DISTINCT tx_id FROM chg) t LEFT JOIN elig e
+  ON e.tx_id = t.tx_id AND (e.end_lsn IS NULL OR e.lsn <= e.end_lsn) GROUP BY t.tx_id""")
 add("histogram", CHG, """, sz AS (SELECT session_id, tx_id, count(*) AS c FROM chg GROUP BY ALL)
 SELECT session_id, le, count(CASE WHEN b IS NULL OR c <= b THEN 1 END) AS n, CAST(sum(c) AS BIGINT) AS total
 FROM sz CROSS JOIN (VALUES ('1', 1), ('10', 10), ('100', 100), ('1000', 1000), ('10000', 10000), ('100000', 100000), ('+Inf', NULL)) AS v(le, b)

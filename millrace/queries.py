@@ -64,9 +64,7 @@ def outcome_counts(spark, d):
 
 @query
 def outcomes_by_sub(spark, d):
-    return routed(spark, d).outcomes().groupBy("sub_id", "outcome").agg(
-        F.count("*").alias("n_pairs"), F.sum("n_delivered").cast("bigint").alias("n_delivered"),
-        F.sum("n_beyond_anchor").cast("bigint").alias("n_beyond_anchor"))
+    return fanout.outcome_totals(routed(spark, d), LSN_SPAN)
 
 
 @query
@@ -98,29 +96,24 @@ def match_exact(spark, d):
 @query
 def match_wildcard(spark, d):
     tables = R.touched_tables(R.touched_rows(changes_of(spark, d)))
-    return R.match_wildcard(tables, subs_of(spark, d)).groupBy("sub_id").agg(
-        F.count("*").alias("n_tx"), F.min("tx_id").alias("first_tx"), F.max("tx_id").alias("last_tx"))
+    return R.wildcard_totals(tables, subs_of(spark, d))
 
 
 @query
 def match_live(spark, d):
-    return R.match_live(changes_of(spark, d), subs_of(spark, d)).groupBy("sub_id", "kind").agg(
-        F.count("*").alias("n_tx"), F.min("tx_id").alias("first_tx"), F.max("tx_id").alias("last_tx"))
+    return R.live_totals(changes_of(spark, d), subs_of(spark, d), LSN_SPAN)
 
 
 @query
 def eligible(spark, d):
-    pairs = R.eligible(changes_of(spark, d), subs_of(spark, d))
-    return pairs.groupBy("tx_id").agg(
-        F.count("*").alias("n_pairs"), F.count(F.when(F.col("kind") == "exact", 1)).alias("n_exact"))
+    touched = R.touched_rows(changes_of(spark, d))
+    found = U.fan_out(touched, R.touched_tables(touched), subs_of(spark, d), LSN_SPAN).filter("n_subs > 0")
+    return found.select("tx_id", big("n_subs", "n_pairs"), big("n_exact"))
 
 
 @query
 def start_cutoff(spark, d):
-    pairs = R.eligible(changes_of(spark, d), subs_of(spark, d))
-    return pairs.groupBy("sub_id").agg(
-        F.count(F.when(R.after_start(F.col("commit_lsn"), F.col("start_lsn")), 1)).alias("n_after"),
-        F.count(F.when(~R.after_start(F.col("commit_lsn"), F.col("start_lsn")), 1)).alias("n_before"))
+    return R.start_totals(changes_of(spark, d), subs_of(spark, d), LSN_SPAN)
 
 
 @query
@@ -446,7 +439,7 @@ def audit_order(spark, d):
 @query
 def fan_out(spark, d):
     touched = R.touched_rows(changes_of(spark, d))
-    return U.fan_out(touched, R.touched_tables(touched), subs_of(spark, d)).select("tx_id", big("n_subs"))
+    return U.fan_out(touched, R.touched_tables(touched), subs_of(spark, d), LSN_SPAN).select("tx_id", big("n_subs"))
 
 
 def _le_text():
@@ -583,11 +576,16 @@ def breaker_timeline(spark, d):
     return breaker_states(W.auth_calls(spark, d), BREAKER).select("backend", "at", "state", "label")
 
 
-def _in_order(frames, path):
-    """Write frames one after the other, so that a stream reads them in this order."""
-    for i, frame in enumerate(frames):
-        frame.coalesce(1).write.mode("append").parquet(path)
-    return path
+def _replayed(frames, path, writer):
+    """Land frames one after the other, each in parallel; after each the stream goes on from its checkpoint."""
+    checkpoint = fresh_path(frames[0].sparkSession, "chk")
+    for frame in frames:
+        frame.write.mode("append").parquet(path)
+        S.run(writer(path), checkpoint)
+
+
+def _files(out):
+    return lambda stream: stream.writeStream.format("parquet").option("path", out)
 
 
 def _thirds(df, col):
@@ -598,71 +596,67 @@ def _thirds(df, col):
 
 @query
 def stream_src(spark, d):
-    path = _in_order(_thirds(messages_of(spark, d), "seq"), fresh_path(spark, "log"))
     out = fresh_path(spark, "streamed")
-    S.run(stream_messages(spark, path, max_files=1).writeStream.format("parquet").option("path", out),
-          fresh_path(spark, "chk"))
+    _replayed(_thirds(messages_of(spark, d), "seq"), fresh_path(spark, "log"),
+              lambda path: _files(out)(stream_messages(spark, path)))
     return read_messages(spark, out).groupBy("session_id", "kind").agg(F.count("*").alias("n"), checksum("seq"))
 
 
 @query
 def stream_assemble(spark, d):
-    path = _in_order(_thirds(messages_of(spark, d, dirty=True), "seq"), fresh_path(spark, "log"))
     out = fresh_path(spark, "assembled")
-    stream = S.stream_assemble(stream_messages(spark, path, max_files=1))
-    S.run(stream.writeStream.format("parquet").option("path", out), fresh_path(spark, "chk"))
+    _replayed(_thirds(messages_of(spark, d, dirty=True), "seq"), fresh_path(spark, "log"),
+              lambda path: _files(out)(S.stream_assemble(stream_messages(spark, path))))
     return spark.read.parquet(out).groupBy("tx_id").agg(F.count("*").alias("n"), checksum("seq"))
 
 
 @query
 def stream_route(spark, d):
-    changes = changes_of(spark, d)
-    path = _in_order(_thirds(changes, "commit_lsn"), fresh_path(spark, "changes"))
-    out = fresh_path(spark, "routed")
-    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    S.run(S.stream_route(stream, lambda s: subs_of(s, d), lambda s: W.policies(s, d), out, W.MAX_CHANGES),
-          fresh_path(spark, "chk"))
+    changes, out = changes_of(spark, d), fresh_path(spark, "routed")
+    _replayed(_thirds(changes, "commit_lsn"), fresh_path(spark, "changes"),
+              lambda path: S.stream_route(spark.readStream.schema(changes.schema).parquet(path), lambda s: subs_of(s, d),
+                                          lambda s: W.policies(s, d), out, W.MAX_CHANGES))
     return U.outcome_counts(S.read_outcomes(spark, out), ["kind", "outcome"]).select(
         "kind", "outcome", "n_pairs", big("n_delivered"))
 
 
 @query
 def stream_mirror(spark, d):
-    users = users_of(spark, d)
-    path = _in_order(_thirds(users, "commit_lsn"), fresh_path(spark, "users"))
-    out = fresh_path(spark, "mirror")
-    stream = spark.readStream.schema(users.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    S.run(S.stream_mirror(stream, out), fresh_path(spark, "chk"))
+    users, out = users_of(spark, d), fresh_path(spark, "mirror")
+    _replayed(_thirds(users, "commit_lsn"), fresh_path(spark, "users"),
+              lambda path: S.stream_mirror(spark.readStream.schema(users.schema).parquet(path), out))
     return S.read_mirror(spark, out).select("pk", "col", "value")
 
 
 @query
 def stream_dedupe(spark, d):
     rows = W.received(spark, d).select("sub_id", *TX, "received_at", "arrival")
-    path = _in_order(_thirds(rows, "arrival"), fresh_path(spark, "received"))
     out = fresh_path(spark, "deduped")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    S.run(S.stream_dedupe(stream, "received_at", "14 days").writeStream.format("parquet").option("path", out),
-          fresh_path(spark, "chk"))
+    _replayed(_thirds(rows, "arrival"), fresh_path(spark, "received"), lambda path: _files(out)(
+        S.stream_dedupe(spark.readStream.schema(rows.schema).parquet(path), "received_at", "14 days")))
     return spark.read.parquet(out).select("sub_id", "tx_id")
 
 
+def _call_slices(spark, d):
+    return [f.drop("us") for f in _thirds(W.auth_calls(spark, d).withColumn("us", F.unix_micros("ts")), "us")]
+
+
+def _call_stream(spark, frames, path):
+    return spark.readStream.schema(frames[0].schema).parquet(path)
+
+
 @query
 def stream_failure_rate(spark, d):
-    calls = W.auth_calls(spark, d)
-    path = _in_order(_thirds(calls.withColumn("us", F.unix_micros("ts")), "us"), fresh_path(spark, "calls"))
-    out = fresh_path(spark, "rates")
-    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    S.run(S.stream_failure_rate(stream, "30 hours", "1 hour", "2 days", out), fresh_path(spark, "chk"))
+    frames, out = _call_slices(spark, d), fresh_path(spark, "rates")
+    _replayed(frames, fresh_path(spark, "calls"), lambda path: S.stream_failure_rate(
+        _call_stream(spark, frames, path), "30 hours", "1 hour", "2 days", out))
     return S.read_failure_rate(spark, out).select(
         "backend", "window_start", "failures", "total", F.round("rate", 6).alias("rate"))
 
 
 @query
 def stream_breaker(spark, d):
-    calls = W.auth_calls(spark, d)
-    path = _in_order(_thirds(calls.withColumn("us", F.unix_micros("ts")), "us"), fresh_path(spark, "calls"))
-    out = fresh_path(spark, "breaker")
-    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    S.run(stream_breaker_job(stream, BREAKER, out), fresh_path(spark, "chk"))
+    frames, out = _call_slices(spark, d), fresh_path(spark, "breaker")
+    _replayed(frames, fresh_path(spark, "calls"),
+              lambda path: stream_breaker_job(_call_stream(spark, frames, path), BREAKER, out))
     return read_timeline(spark, out).select("backend", "at", "state", "label")
