@@ -2,7 +2,7 @@
 
 import pytest
 
-from millrace.operators import routing as R
+from millrace.operators import rollups as U, routing as R
 from millrace.plans import fanout
 
 CHANGE = ("session_id string, tx_id bigint, commit_lsn bigint, seq bigint, schema_name string, table_name string, op string, "
@@ -147,3 +147,50 @@ def test_transactions_without_a_policy_in_force_are_silent(spark):
     got = sorted((r.sub_id, r.tx_id, r.outcome) for r in fanout.route(cs, known, versions, grants).outcomes().collect())
     assert got == [("e", 1, "silent"), ("e", 2, "silent"), ("e", 3, "delivered"), ("none", 1, "silent"), ("none", 2, "silent"),
                    ("none", 3, "silent"), ("w", 1, "silent"), ("w", 2, "silent"), ("w", 3, "delivered")]
+
+
+LOG = [(1, "users", "insert", "42"), (2, "users", "update", "42"), (2, "items", "insert", "7"), (3, "users", "insert", "42"),
+       (3, "users", "insert", "43"), (4, "items", "insert", "8"), (5, "users", "update", "42", ["id"])]
+PEOPLE = [("a", "users", "42"), ("b", "users", "42", 20), ("c", "users", None, 0, 1, 20), ("d", "items", None, 20, 1, 10),
+          ("e", "users", "42", 0, 1, 10), ("f", "users", None, 30), ("g", "users", "44"), ("h", "items", None, 60)]
+
+
+def test_ended_subscriptions_leave_the_fan_out(spark):
+    touched = R.touched_rows(changes(spark, [(n, "users", "insert", "42") for n in (1, 2, 3)]))
+    people = subs(spark, [("a", "users", "42", 0, 1, 10), ("b", "users", None, 0, 1, 20), ("c", "users", "42", 50)])
+    found = U.fan_out(touched, R.touched_tables(touched), people, 16)
+    assert {(r.tx_id, r.n_subs, r.n_exact) for r in found.collect()} == {(1, 3, 2), (2, 2, 1), (3, 1, 1)}
+
+
+def test_violations_leave_the_fan_out(spark):
+    touched = R.touched_rows(changes(spark, [(1, "users", "insert", "42"), (2, "users", "insert", "42"), (3, "items", "insert", "1")]))
+    people = subs(spark, [("a", "users", "42")]).selectExpr("*", "10L as violation_lsn")
+    found = U.fan_out(touched, R.touched_tables(touched), people, 16)
+    assert {(r.tx_id, r.n_subs) for r in found.collect()} == {(1, 1), (2, 0), (3, 0)}
+
+
+@pytest.mark.parametrize("span", [8, 1 << 20])
+@pytest.mark.parametrize("max_changes", [1, 100])
+def test_outcome_totals_equal_pairs(spark, span, max_changes):
+    run = routed(spark, LOG, PEOPLE, max_changes, versions=[(1, 1, 15)])
+    pairs = run.outcomes().groupBy("sub_id", "outcome").agg(
+        {"*": "count", "n_delivered": "sum", "n_beyond_anchor": "sum"}).select(
+        "sub_id", "outcome", "count(1)", "sum(n_delivered)", "sum(n_beyond_anchor)")
+    totals = fanout.outcome_totals(run, span).select("sub_id", "outcome", "n_pairs", "n_delivered", "n_beyond_anchor")
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, pairs.collect()))
+
+
+@pytest.mark.parametrize("span", [8, 1 << 20])
+def test_log_totals_equal_pairs(spark, span):
+    log, people = changes(spark, LOG), subs(spark, PEOPLE)
+    seen = {}
+    for r in R.match_live(log, people).collect():
+        seen.setdefault(r.sub_id, []).append(r.tx_id)
+    live = {(r.sub_id, r.n_tx, r.first_tx, r.last_tx) for r in R.live_totals(log, people, span).collect()}
+    assert live == {(s, len(t), min(t), max(t)) for s, t in seen.items()}
+    cut = {}
+    for r in R.eligible(log, people).collect():
+        n = cut.setdefault(r.sub_id, [0, 0])
+        n[0 if r.commit_lsn > r.start_lsn else 1] += 1
+    assert {(r.sub_id, r.n_after, r.n_before) for r in R.start_totals(log, people, span).collect()} == {
+        (s, *n) for s, n in cut.items()}
