@@ -114,11 +114,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one document of each component, that with the smallest doc_id.
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one document of each component of ``found``, that with the smallest doc_id.
 
     Rows that repeat a kept doc_id are one row; rows without doc_id always stay.
     """
-    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept")
-    return found.dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept")
+    return rows.dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``keep_least`` of ``near_duplicates``."""
+    return keep_least(docs, near_duplicates(docs))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, lm, neighbours, passages, pieces, pii, queries, simhash, toxicity, urlfilter, warc
+from millrace.llm import decontaminate, lm, nearcopies, neighbours, passages, pieces, pii, queries, simhash, toxicity, urlfilter, warc
 from millrace.llm.common import components
 
 RNG = random.Random(5)
@@ -227,6 +227,28 @@ def test_simhash_equals_brute_force(spark, odd):
         assert sorted(tree.within(q, 2)) == [i for i, v in enumerate(values) if (q ^ v).bit_count() <= 2]
 
 
+def five_word_jaccard(a, b):
+    a, b = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_stage_drops_copies_from_jaccard_0_8_on(spark):
+    import corpus_pipeline
+    rows, alike = [], set()
+    for i in range(150):
+        base = prose(200).split()
+        copy = list(base)
+        for at in RNG.sample(range(200), 1 + i % 8):
+            copy[at] = "changed"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        if five_word_jaccard(base, copy) >= 0.8:
+            alike.add(2 * i + 1)
+    rows += [(1000, prose(3)), (1001, None), (1002, ""), (None, rows[0][1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert 40 < len(alike) < 130 and left == {i for i, _ in rows} - alike - {1002}
+
+
 def test_neighbours_recall_copies_and_unusable_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16))
