@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, edit verification."""
+"""Benchmark decontamination: grams that must remain under the edits allowed, edit verification."""
 
 from dataclasses import dataclass
 
@@ -7,9 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import batch, texts
-from .words import hashed
-
-PAD = np.uint64(0)
+from .words import hashed, mixed
 
 
 @dataclass(frozen=True)
@@ -17,123 +15,112 @@ class Settings:
     """Parameters of the search.
 
     similarity: an item is found if some stretch of the text is within
-    ``(1 - similarity) * words`` word edits of it. repeats, samples: independent walks per
-    window, and sampled positions of a walk that make up its key. Windows overlap by half, so a
-    leak holds one to seven of them; tests measure the recall at 10 and 20 % scattered edits.
-    min_item_words: shorter items have no five-word shingle and are not looked for.
-    block_items: benchmark items per pass over the documents.
+    ``(1 - similarity) * words`` word edits of it, whatever its length. gram: most words of a gram.
+    min_item_words: shorter items are not looked for. block_items: benchmark items per pass over the
+    documents. block_hits: about the most gram hits looked at together.
     """
     similarity: float = 0.8
-    repeats: int = 8
-    samples: int = 4
+    gram: int = 3
     min_item_words: int = 5
     block_items: int = 2000
+    block_hits: int = 2_000_000
 
 
-def width(n: int) -> int:
-    """Window of an item of n words: the largest power of three up to two thirds of n. Windows
-    start every half width, so any stretch of n words holds a whole window."""
-    w = 1
-    while 9 * w <= 2 * n:
-        w *= 3
-    return w
-
+def plan(n: int, settings: Settings) -> tuple[int, int, int]:
+    """(edits, words of a gram, grams that remain at least) for an item of n words.
 
-def walk_keys(windows: np.ndarray, turn: int, samples: int) -> np.ndarray:
-    """One CGK walk over each row of ``windows`` (n x w words), hashed at sampled positions.
-
-    Step j emits the word under the pointer and then moves the pointer by a random bit of (j, word),
-    so that walks over texts a few edits apart fall back into step and their outputs differ in few
-    places (Hamming). The samples come one from each of equal parts of the first 1.5 w steps, in
-    which the pointer stays within the window but for rare walks; those emit the pad word.
+    An edit destroys at most q of the item's n - q + 1 grams of q words, so a stretch within k edits
+    holds n - q + 1 - k * q of them or more; the longest grams of which one remains are taken.
     """
-    n, w = windows.shape
-    rng = np.random.default_rng([turn, w])
-    cuts = np.linspace(0, max(1.5 * w, samples), samples + 1).astype(int)
-    sampled = {int(rng.integers(a, b)) for a, b in zip(cuts, cuts[1:])}
-    bits = rng.permutation(64).astype(np.uint64)  # the bit of a word's hash that moves the pointer
-    flat = np.empty((n, w + 1), np.uint64)
-    flat[:, :w], flat[:, w] = windows, PAD
-    flat = flat.ravel()
-    at = np.arange(n, dtype=np.int64) * (w + 1)
-    end, word, one = at + w, np.empty(n, np.uint64), np.uint64(1)
-    keys = np.full(n, 0x9E3779B97F4A7C15 + 2 * turn, np.uint64)
-    for j in range(max(sampled) + 1):
-        np.take(flat, at, out=word, mode="clip")
-        if j in sampled:
-            keys ^= word
-            keys *= np.uint64(0xFF51AFD7ED558CCD)
-            keys ^= keys >> np.uint64(29)
-        word >>= bits[j % 64]
-        word &= one
-        at += word.view(np.int64)
-        if j >= w - 1:
-            np.minimum(at, end, out=at)
+    most = int((1 - settings.similarity) * n + 1e-9)
+    for q in range(min(settings.gram, n), 0, -1):
+        if (least := n - q + 1 - most * q) >= 1:
+            return most, q, least
+    return most, 1, 1
+
+
+def gram_keys(words: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of the q words from each place on."""
+    keys = np.zeros(max(0, len(words) - q + 1), np.uint64)
+    for k in range(q):
+        keys = mixed(keys * np.uint64(31) + words[k:k + len(keys)])
     return keys
 
 
 class Block:
-    """LSH tables of a bounded set of items, sent to the tasks."""
+    """Gram tables of a bounded set of items, sent to the tasks."""
 
     def __init__(self, items: list[tuple[int, str]], settings: Settings):
-        self.settings, self.items = settings, []
-        by_width: dict[int, list] = {}
+        self.settings, self.items, plans = settings, [], []
+        grams: dict[int, list] = {}
         for item_id, text in items:
             tokens = hashed([text or ""])[0]
             if len(tokens) >= settings.min_item_words:
+                plans.append(plan(len(tokens), settings))
+                grams.setdefault(plans[-1][1], []).append((len(self.items), gram_keys(tokens, plans[-1][1])))
                 self.items.append((item_id, tokens))
-                by_width.setdefault(width(len(tokens)), []).append(len(self.items) - 1)
+        self.most, _, self.least = np.array(plans, np.int64).reshape(-1, 3).T
         self.tables = []
-        for w, members in by_width.items():
-            # every offset of an item, as the windows of a document start anywhere in a leak
-            views = [np.lib.stride_tricks.sliding_window_view(self.items[m][1], w) for m in members]
-            which = np.concatenate([np.full(len(v), m) for v, m in zip(views, members)])
-            offset = np.concatenate([np.arange(len(v)) for v in views])
-            for turn in range(settings.repeats):
-                keys = walk_keys(np.concatenate(views), turn, settings.samples)
-                order = np.argsort(keys, kind="stable")
-                near = np.zeros(1 << 20, bool)
-                near[(keys >> np.uint64(44)).astype(np.int64)] = True
-                self.tables.append((w, turn, keys[order], which[order], offset[order], near))
+        for q, members in grams.items():
+            keys = np.concatenate([k for _, k in members])
+            which = np.repeat([m for m, _ in members], [len(k) for _, k in members])
+            offset = np.concatenate([np.arange(len(k)) for _, k in members])
+            order = np.argsort(keys, kind="stable")
+            near = np.zeros(1 << 22, bool)
+            near[(keys >> np.uint64(42)).astype(np.int64)] = True
+            self.tables.append((q, keys[order], which[order], offset[order], near))
 
     def search(self, flat: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text number, item_id, first word, words, edits) of the best stretch for each text and
         item; ``flat`` holds the words of all texts, text i from ``starts[i]`` to ``starts[i + 1]``."""
-        lengths = np.diff(starts)
-        found: dict[tuple[int, int], set[int]] = {}
-        last = None
-        for w, turn, keys, which, offset, near in self.tables:
-            if w != last:
-                step = max(1, w // 2)
-                counts = np.maximum(0, (lengths - w) // step + 1)
-                owner = np.repeat(np.arange(len(lengths)), counts)
-                within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                at, last = starts[owner] + within * step, w
-                view = np.lib.stride_tricks.sliding_window_view(flat, w) if len(flat) >= w else np.zeros((0, w), np.uint64)
-            for lo in range(0, len(at), 4096):
-                part = at[lo:lo + 4096]
-                mine = walk_keys(view[part], turn, self.settings.samples)
-                hit = np.flatnonzero(near[(mine >> np.uint64(44)).astype(np.int64)])
-                if not len(hit):
-                    continue
-                left, right = np.searchsorted(keys, mine[hit], "left"), np.searchsorted(keys, mine[hit], "right")
-                for h, a, b in zip(hit[left < right], left[left < right], right[left < right]):
-                    doc = int(owner[lo + h])
-                    for k in range(a, b):
-                        found.setdefault((doc, int(which[k])), set()).add(int(part[h] - starts[doc] - offset[k]))
+        found: dict[tuple[int, int], list[int]] = {}
+        for q, keys, which, offset, near in self.tables:
+            mine = gram_keys(flat, q)
+            at = np.flatnonzero(near[(mine >> np.uint64(42)).astype(np.int64)])
+            owner = np.searchsorted(starts, at, "right") - 1
+            inside = at + q <= starts[owner + 1]
+            at, owner = at[inside], owner[inside]
+            left = np.searchsorted(keys, mine[at], "left")
+            counts = np.searchsorted(keys, mine[at], "right") - left
+            at, owner, left, counts = (x[counts > 0] for x in (at, owner, left, counts))
+            lo, total = 0, np.cumsum(counts)
+            while lo < len(at):  # whole texts, up to block_hits at a time
+                hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + self.settings.block_hits, "right"))
+                last = owner[min(max(hi, lo + 1), len(at)) - 1]
+                if hi < len(at) and owner[hi] == last and owner[lo] != last:
+                    last -= 1
+                hi = int(np.searchsorted(owner, last, "right"))
+                n = counts[lo:hi]
+                entry = np.repeat(left[lo:hi] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                text, item = np.repeat(owner[lo:hi], n), which[entry]
+                place = np.repeat(at[lo:hi] - starts[owner[lo:hi]], n) - offset[entry]
+                for t, m, p in self.aligned(text, item, place):
+                    found.setdefault((t, m), []).append(p)
+                lo = hi
         out = []
         for (doc, m), places in sorted(found.items()):
             item_id, item = self.items[m]
-            if best := verify(flat[starts[doc]:starts[doc + 1]], item, places, int((1 - self.settings.similarity) * len(item) + 1e-9)):
+            if best := verify(flat[starts[doc]:starts[doc + 1]], item, places, int(self.most[m])):
                 out.append((doc, item_id, *best))
         return out
 
+    def aligned(self, text: np.ndarray, item: np.ndarray, place: np.ndarray):
+        """(text, item, place) from which on as many hits as must remain lie within the edits, as an
+        edit moves the place where the item would start by one word at most."""
+        order = np.lexsort((place, item, text))
+        text, item, place = text[order], item[order], place[order]
+        end = np.arange(len(text)) + self.least[item] - 1
+        ok = np.flatnonzero(end < len(text))
+        end = end[ok]
+        ok = ok[(text[ok] == text[end]) & (item[ok] == item[end]) & (place[end] - place[ok] <= self.most[item[ok]])]
+        return zip(text[ok].tolist(), item[ok].tolist(), place[ok].tolist())
+
 
-def verify(text: np.ndarray, item: np.ndarray, places: set[int], most: int) -> tuple[int, int, int] | None:
+def verify(text: np.ndarray, item: np.ndarray, places: list[int], most: int) -> tuple[int, int, int] | None:
     """(first word, words, edits) of the stretch nearest to the item around the places where it is
     expected to start, if it is within ``most`` word edits; the first of equals."""
     best, done = None, None
-    for place in sorted(places):
+    for place in sorted(set(places)):
         if done is not None and place <= done:
             continue
         done = place + most  # the stretch below covers starts up to here
@@ -178,7 +165,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     """doc_id, item_id, first_word, n_words, edits: the nearest stretch of each text to each item it
     holds, within the edits that ``settings.similarity`` allows.
 
-    Words are lower-cased runs of ASCII letters and digits and of non-ASCII characters. The
+    Every such pair is found: a stretch within the edits holds a known number of the item's grams at
+    nearly the same place (``plan``), and all that do are verified. Words are lower-cased runs of ASCII letters and digits and of non-ASCII characters. The
     benchmark is the query set: it is taken in blocks of ``block_items`` in id order, and each block
     meets all documents, so what a task holds has a fixed bound. Null and empty texts and items
     match nothing. A repeated item_id is searched once for each of its texts; repeated documents

@@ -168,6 +168,28 @@ def test_verification_is_the_edit_distance_and_search_reaches_its_recall(spark,
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def edited(words, edits, kinds="sid"):
+    out = list(words)
+    for at in sorted(RNG.sample(range(len(words)), edits), reverse=True):
+        kind = RNG.choice(kinds)
+        out[at:at + (kind != "i")] = [] if kind == "d" else ["zzz"]
+    return out
+
+
+def test_leaks_are_found_at_every_length_and_accepted_edit_rate():
+    lengths = [*range(5, 62), 81, 122, 150, 243, 365, 400, 500]
+    items = [(n, prose(4 * n).split()[:n]) for n in lengths]
+    block = decontaminate.Block([(n, " ".join(w)) for n, w in items], decontaminate.Settings())
+    small = decontaminate.Block([(n, " ".join(w)) for n, w in items], decontaminate.Settings(block_hits=3))
+    for kinds in ("s", "sid"):
+        for rate in (0, 0.1, 0.2):
+            around = prose(60).split()
+            texts = [" ".join(around[:n % 50] + edited(w, int(rate * n + 1e-9), kinds) + around[n % 50:]) for n, w in items]
+            found = block.search(*decontaminate.hashed(texts))
+            assert {f[1] for f in found if lengths[f[0]] == f[1]} == set(lengths)
+            assert all(f[4] <= int(f[1] * 0.2 + 1e-9) for f in found) and small.search(*decontaminate.hashed(texts)) == found
+
+
 def test_toxicity_on_held_out_labels(spark, odd):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
