@@ -162,11 +162,41 @@ KINDS = [
     ("card", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", card),
 ]
 NAMES = [name for name, _, _ in KINDS]
+FORMS = [(name, re.compile(form)) for name, form, _ in KINDS]
 FORM = re.compile("|".join(f"(?P<{name}>{form})" for name, form, _ in KINDS))
 MAKE = {name: make for name, _, make in KINDS}
 HINT = re.compile(r"\d").search  # every form but an address by mail needs a digit
 
 
+# Characters of an account number by country, and digits behind the country code where all numbers have as many.
+IBAN_LENGTH = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 "
+    "GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 "
+    "MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
+PHONE_DIGITS = {"1": 10, "7": 10, "31": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "52": 10, "61": 9, "91": 10,
+                "351": 9, "420": 9}
+
+
+def ends(kind: str, form: re.Pattern, text: str, m: re.Match) -> list[int]:
+    """Ends to try for a value that starts with the match ``m``: the length its country has, then the
+    longest first, where a group of characters ends."""
+    if kind not in ("iban", "phone", "card"):
+        return [m.end()]
+    inside = str.isalnum if kind == "iban" else str.isdigit
+    found = [e for e in range(m.end(), m.start(), -1)
+             if inside(text[e - 1]) and not (e < len(text) and inside(text[e])) and form.fullmatch(text, m.start(), e)]
+    size = {e: sum(map(str.isalnum, text[m.start():e])) for e in found}
+    if kind == "iban":
+        if known := IBAN_LENGTH.get(text[m.start():m.start() + 2]):
+            return [e for e in found if size[e] == known] + [e for e in found[:1] if size[e] != known]
+    if kind == "phone":
+        code = re.match(r"\d+", text[m.start() + 1:m.end()])[0]
+        planned = {len(c) + n for c, n in PHONE_DIGITS.items() if code.startswith(c)}
+        day = dict(FORMS)["date"].search(text, m.start(), m.end() + 6)  # a date behind the number is none of its groups
+        found.sort(key=lambda e: (bool(day) and e > day.start(), size[e] not in planned))
+    return found
+
+
 class Masker:
     """Pseudonyms of a text; the last values seen are kept, which changes no result."""
 
@@ -181,21 +211,31 @@ class Masker:
             self.known[at] = MAKE[kind](self.cipher, text)
         return self.known[at]
 
+    def value(self, text: str, start: int) -> tuple[str, int, str] | None:
+        """(kind, end, pseudonym) of the first valid value at a place, over all kinds and lengths."""
+        for kind, form in FORMS:
+            if m := form.match(text, start):
+                for end in ends(kind, form, text, m):
+                    if (new := self.one(kind, text[start:end])) is not None:
+                        return kind, end, new
+        return None
+
     def mask(self, text: str) -> tuple[str, dict[str, int]]:
         found: dict[str, int] = {}
         if "@" not in text and not HINT(text):
             return text, found
         out, at, pos = [], 0, 0
         while m := FORM.search(text, pos):
-            new = self.one(m.lastgroup, m[0])
-            if new is None:  # not valid: look again behind the first character
+            valid = self.value(text, m.start())
+            if valid is None:  # look again behind the first character
                 pos = m.start() + 1
                 while pos < m.end() and text[pos].isdigit() and text[pos - 1].isdigit():
                     pos += 1
                 continue
+            kind, end, new = valid
             out += [text[at:m.start()], new]
-            at = pos = m.end()
-            found[m.lastgroup] = found.get(m.lastgroup, 0) + 1
+            at = pos = end
+            found[kind] = found.get(kind, 0) + 1
         return "".join(out) + text[at:], found
 
 

@@ -90,6 +90,21 @@ def test_pseudonyms_keep_format_validity_and_links(spark, odd):
     assert kept[8] == ODD[8]
 
 
+def test_pseudonyms_of_values_next_to_characters_of_their_class():
+    masker = pii.Masker(b"k")
+    for kind, value, behind in (
+            ("card", "4111 1111 1111 1111", (" 12/27", " 123", " 2024-02-29", "-12", " A")),
+            ("iban", "DE89 3704 0044 0532 0130 00", (" BIC COBADEFF", " I paid", " 2024-02-29", " 17", " EUR 4")),
+            ("phone", "+1 (017) 555-7713", (" 2024-02-29", " 24 times", " 12 34", ".")),
+            ("phone", "+49 30 901820", (" 2024-02-29 12", " x"))):
+        alone, found = masker.mask(value)
+        assert found == {kind: 1} and alone != value
+        for more in behind:
+            new, found = masker.mask(f"see {value}{more}")
+            assert found[kind] == 1 and new.startswith(f"see {alone}") and found.get("date", 0) == more.startswith(" 2024-"), (value, more, new)
+    assert masker.mask("4111 1111 1111 1112 12/27")[1] == {} and masker.mask("DE89 3704 0044 0532 0130 01 BIC")[1].get("iban") is None
+
+
 def test_url_intervals_and_longest_active_key(spark):
     at = lambda d: f"2024-01-{d:02} 00:00:00"
     entries = spark.createDataFrame([
