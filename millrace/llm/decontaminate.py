@@ -1,5 +1,6 @@
 """Benchmark decontamination: grams that must remain under the edits allowed, edit verification."""
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,16 +17,25 @@ class Settings:
 
     similarity: an item is found if some stretch of the text is within
     ``(1 - similarity) * words`` word edits of it, whatever its length. gram: most words of a gram.
-    min_item_words: shorter items are not looked for. block_items: benchmark items per pass over the
-    documents. block_hits: about the most gram hits looked at together.
+    block_items: benchmark items per pass over the documents. block_hits: about the most gram hits
+    looked at together.
     """
     similarity: float = 0.8
     gram: int = 3
-    min_item_words: int = 5
     block_items: int = 2000
     block_hits: int = 2_000_000
 
 
+# Han, kana, Thai, Lao, Burmese and Khmer are written without spaces.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+                      "\uff66-\uff9f\U00020000-\U0003ffff])")
+
+
+def words_of(texts_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``hashed`` with each character of a script without spaces as a word."""
+    return hashed([t if t.isascii() else UNSPACED.sub(r" \1 ", t) for t in texts_])
+
+
 def plan(n: int, settings: Settings) -> tuple[int, int, int]:
     """(edits, words of a gram, grams that remain at least) for an item of n words.
 
@@ -54,8 +64,8 @@ class Block:
         self.settings, self.items, plans = settings, [], []
         grams: dict[int, list] = {}
         for item_id, text in items:
-            tokens = hashed([text or ""])[0]
-            if len(tokens) >= settings.min_item_words:
+            tokens = words_of([text or ""])[0]
+            if len(tokens):
                 plans.append(plan(len(tokens), settings))
                 grams.setdefault(plans[-1][1], []).append((len(self.items), gram_keys(tokens, plans[-1][1])))
                 self.items.append((item_id, tokens))
@@ -166,7 +176,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     holds, within the edits that ``settings.similarity`` allows.
 
     Every such pair is found: a stretch within the edits holds a known number of the item's grams at
-    nearly the same place (``plan``), and all that do are verified. Words are lower-cased runs of ASCII letters and digits and of non-ASCII characters. The
+    nearly the same place (``plan``), and all that do are verified. Words are lower-cased runs of ASCII letters and digits and of non-ASCII characters, and
+    each character of a script without spaces; items of fewer than five are found by equality. The
     benchmark is the query set: it is taken in blocks of ``block_items`` in id order, and each block
     meets all documents, so what a task holds has a fixed bound. Null and empty texts and items
     match nothing. A repeated item_id is searched once for each of its texts; repeated documents
@@ -193,7 +204,7 @@ def _search(docs: DataFrame, block: Block) -> DataFrame:
         for b in batches:
             ids, all_texts = b.column(0).to_pylist(), b.column(1)
             for lo in range(0, len(ids), 500):
-                rows = [(ids[lo + r[0]], *r[1:]) for r in sent.value.search(*hashed(all_texts.slice(lo, 500).to_pylist()))]
+                rows = [(ids[lo + r[0]], *r[1:]) for r in sent.value.search(*words_of(all_texts.slice(lo, 500).to_pylist()))]
                 yield batch(schema, *(zip(*rows) if rows else [[]] * 5))
 
     return texts(docs).mapInArrow(work, "doc_id long, item_id long, first_word long, n_words long, edits long")

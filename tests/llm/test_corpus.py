@@ -205,6 +205,15 @@ def test_leaks_are_found_at_every_length_and_accepted_edit_rate():
             assert all(f[4] <= int(f[1] * 0.2 + 1e-9) for f in found) and small.search(*decontaminate.hashed(texts)) == found
 
 
+def test_leaks_of_short_items_and_of_scripts_without_spaces():
+    items = [(1, "zo"), (2, "zo Za"), (3, "zu za zi ze"), (4, "床前明月光疑是地上霜"), (5, "月光")]
+    block = decontaminate.Block(items, decontaminate.Settings())
+    found = lambda t: {(f[1], f[2], f[3], f[4]) for f in block.search(*decontaminate.words_of([t]))}
+    assert found("x ZO za y") == {(1, 1, 1, 0), (2, 1, 2, 0)} and found("zozo zu za zi") == set()
+    assert found("a zu za zi ze, b") == {(3, 1, 4, 0)}
+    assert found("李白：床前明月光疑是地上霜，举头") == {(4, 3, 10, 0), (5, 6, 2, 0)} and {f[0] for f in found("床前明日光疑是山上霜")} == {4}
+
+
 def test_toxicity_on_held_out_labels(spark, odd):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
