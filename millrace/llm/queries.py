@@ -4,18 +4,18 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, lm, neighbours, passages, pieces, pii, simhash, toxicity, urlfilter, warc
-from ..session import configure
+from . import decontaminate, lm, neighbours, passages, pieces, pii, resample, simhash, spelling, tokenfiles, toxicity, urlfilter, warc
+from ..session import configure, fresh_path
 
 PII_KEY = b"fixed key of the registered queries"
 
 
-def tokenizer() -> str:
-    """Path of the SentencePiece model; MILLRACE_PIECES names another one."""
-    if path := os.environ.get("MILLRACE_PIECES"):
+def tokenizer(setting: str = "MILLRACE_PIECES", name: str = "piece_bpe_32k.model") -> str:
+    """Path of the SentencePiece model, or of another public vocabulary; ``setting`` in the environment names another file."""
+    if path := os.environ.get(setting):
         return path
     import public_tokenizers
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -153,6 +153,21 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the benchmark's texts."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "token-ids")
+    tokenfiles.write(table(spark, sf_dir, "documents"), folder, tokenizer("MILLRACE_WORDS", "word_bpe_49k.json"))
+    return tokenfiles.digests(spark, folder)
+
+
 REGISTRY = {f.__name__: f for f in (op1_passages, op2_pseudonyms, op3_url_filter, op4_pieces, op5_leaks, op6_toxicity, op7_warc,
-                                    op8_simhash, op9_neighbours, op10_cross_entropy)}
+                                    op8_simhash, op9_neighbours, op10_cross_entropy, op11_resample, op12_spelling, op13_token_orc)}
 SQL = {"op3_url_filter": OP3_SQL, "op7_warc": OP7_SQL}
