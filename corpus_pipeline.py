@@ -1,11 +1,11 @@
 """A training-data pipeline over ``documents``: each stage reads what the one before wrote.
 
-Toxicity, near copies, benchmark decontamination, pseudonyms, SentencePiece encoding.
+Toxicity, SimHash near-dedup, benchmark decontamination, pseudonyms, SentencePiece encoding.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, nearcopies, pieces, pii, toxicity
+from millrace.llm import decontaminate, pieces, pii, simhash, toxicity
 from millrace.llm.queries import PII_KEY, table, tokenizer
 from millrace.session import stage
 
@@ -18,10 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8), that with the smallest doc_id.
-
-    Such copies lie about 10 of 64 SimHash bits apart, too far for blocks of bits; see ``nearcopies``."""
-    return nearcopies.keep_one(docs).select(*COLUMNS)
+    """One document of each group that SimHash links (three-word shingles, two bits at most), that with the smallest doc_id."""
+    return simhash.keep_one(docs).select(*COLUMNS)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
