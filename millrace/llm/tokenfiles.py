@@ -3,6 +3,7 @@
 import functools
 import os
 import re
+import struct
 import zlib
 from dataclasses import dataclass
 
@@ -22,61 +23,69 @@ SCHEMA = "part int, doc_id long, at long, n_tokens int, ids array<int>"
 class Settings:
     """file: characters of text behind a file. stripe: bytes of a stripe, which is what a task reads. stride: rows
     between the entries of a row index. false_hits: share of the ids that a Bloom filter takes for held wrongly.
-    table: different chunks, and words, whose ids a Python worker keeps; beyond that it begins anew."""
+    table: different words whose ids a Python worker keeps; beyond that it begins anew."""
     file: int = 64_000_000
     stripe: int = 8 << 20
     stride: int = 1000
     false_hits: float = 0.01
-    table: int = 500_000
+    table: int = 1_000_000
 
 
 class Encoder(dict):
-    """Ids of chunks, as the bytes of little-endian integers, by a tokenizer that drops white space.
+    """Ids of words, as the bytes of little-endian integers, by a tokenizer that drops white space.
 
-    Texts are cut at spaces and line feeds, which no piece crosses, so a different chunk is encoded once and its ids
-    are put together by position. Chunks of printable ASCII and the letters from U+00C0 to U+00FF, where lower
-    case and normal form act on single characters, are split into words as the tokenizer does, and its model
-    reads each different word once; it reads other chunks whole. Both ways are compared on the way in.
+    Texts of printable ASCII, white space and the letters from U+00C0 to U+00FF, where lower case and normal form
+    act on single characters, are split into words as the tokenizer does; its model reads each different word
+    once, and the ids are put together by position. Of other texts the library itself reads those chunks between
+    spaces and line feeds, which no piece crosses, that hold other characters. Both ways are compared on the way in.
     """
 
     def __init__(self, path: str, size: int):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
-        self.library, self.size, self.words = Tokenizer.from_file(path), size, {}
+        self.library, self.size, self.odd = Tokenizer.from_file(path), size, {}
         self.model = self.library.model
         letters = "".join(map(chr, range(0xC0, 0x100))).replace("\xd7", "").replace("\xf7", "")
         small = "a-z" + "".join(sorted(set(letters.lower())))
+        space = r" \t\n\r\x0b\x0c"
+        self.plain = re.compile(f"[{space}!-~{letters}]*").fullmatch
+        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{small}]+|[0-9]|[^{space}{small}0-9]+").findall
         self.cut = re.compile(r"[^ \n]+").findall
-        self.plain = re.compile(rf"(?!.*<\|)[!-~{letters}]+").fullmatch
-        self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{small}]+|[0-9]|[^{small}0-9]+").findall
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.spelling = str.maketrans({c: spell(c)[0][0] for c in letters.lower()})
-        sample = ["Ab", "cd's.Don'T", "ÉÀßÿ's", "'s,0_", "x<|y|>", "Z", "a12-é'll"]
-        if any(self[c] != self.whole(c) for c in sample) or self.whole(" \n".join(sample)) != b"".join(map(self.whole, sample)):
+        sample = ["Ab", "cd's.Don'T", "ÉÀßÿ's", "'s,0_", "x<|y|>", "Z\t\x0b1", "中a", "a12-é'll"]
+        if any(self.text(t) != self.whole(t) for t in [*sample, " \n".join(sample)]):
             raise ValueError("the tokenizer reads text across white space or splits words in another way")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
-    def word(self, word: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(word.translate(self.spelling))], "<i4").tobytes()
-        self.words[word] = ids
+    def __missing__(self, word: str) -> bytes:
+        found = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.spelling))]
+        ids = self[word] = struct.pack(f"<{len(found)}i", *found)
         return ids
 
-    def __missing__(self, chunk: str) -> bytes:
-        known = self.words
-        ids = b"".join([known.get(w) or self.word(w) for w in self.split(chunk.lower())]) if self.plain(chunk) else self.whole(chunk)
-        self[chunk] = ids
-        return ids
-
-    def encode(self, rows: list[str], end: int) -> list[np.ndarray]:
-        """Ids of each text, the end id behind them."""
-        for held in (self, self.words):
+    def chunk(self, chunk: str) -> bytes:
+        if "<|" not in chunk and self.plain(chunk):
+            return b"".join(map(self.__getitem__, self.split(chunk.lower())))
+        if chunk not in self.odd:
+            self.odd[chunk] = self.whole(chunk)
+        return self.odd[chunk]
+
+    def text(self, text: str) -> bytes:
+        if "<|" not in text and self.plain(text):
+            return b"".join(map(self.__getitem__, self.split(text.lower())))
+        return b"".join(map(self.chunk, self.cut(text)))
+
+    def encode(self, rows: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, the end id behind each, and where each text's begin and the last's end."""
+        for held in (self, self.odd):
             if len(held) > self.size:
                 held.clear()
-        last = np.array([end], "<i4").tobytes()
-        return [np.frombuffer(b"".join(map(self.__getitem__, self.cut(t))) + last, "<i4") for t in rows]
+        last = struct.pack("<i", end)
+        made = [self.text(t) + last for t in rows]
+        return np.frombuffer(b"".join(made), "<i4"), np.cumsum([0, *[len(m) // 4 for m in made]])
 
 
 @functools.cache
@@ -103,14 +112,13 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end: int = 1, s: Se
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 some = b.slice(lo, 500)
-                ids = known.encode(some.column(1).to_pylist(), end)
-                edges = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
-                yield batch(schema, np.full(len(ids), part, np.int32), some.column(0), edges[:-1] + at, np.diff(edges).astype(np.int32),
-                            pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(ids), pa.int32())))
+                ids, edges = known.encode(some.column(1).to_pylist(), end)
+                yield batch(schema, np.full(len(edges) - 1, part, np.int32), some.column(0), edges[:-1] + at, np.diff(edges).astype(np.int32),
+                            pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32())))
                 at += int(edges[-1])
 
-    order = [F.asc_nulls_first("doc_id"), F.asc("text")]
-    (rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(work, SCHEMA)
+    first = F.asc_nulls_first("doc_id")  # alone: the sampled keys of the ranges go to the driver
+    (rows.repartitionByRange(n, first).sortWithinPartitions(first, F.asc("text")).mapInArrow(work, SCHEMA)
      .write.options(**{"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": s.stride, "orc.stripe.size": s.stripe,
                        "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": s.false_hits}).orc(folder))
 
