@@ -6,11 +6,13 @@ import ipaddress
 import re
 from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 
 ROUNDS = 8
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 class Cipher:
@@ -26,35 +28,54 @@ class Cipher:
             return x
         a = isqrt(n - 1) + 1
         b = -(-n // a)
-        size = (n.bit_length() + 15) // 8 + 8
+        width = (n.bit_length() + 7) // 8
+        head = f"{label}|".encode() + n.to_bytes(width, "big")
         while True:
             left, right = divmod(x, b)
             for turn in range(ROUNDS):
                 mod, source = (a, right) if turn % 2 == 0 else (b, left)
-                digest = hashlib.blake2b(f"{label}|{n}|{turn}|{source}".encode(), key=self.key, digest_size=min(64, size)).digest()
+                # 64 bits more than a half has, so that all its digits change and none is likelier
+                add = int.from_bytes(self.stream(head, turn, source.to_bytes(width, "big"), width + 8), "big")
                 if turn % 2 == 0:
-                    left = (left + int.from_bytes(digest, "big")) % mod
+                    left = (left + add) % mod
                 else:
-                    right = (right + int.from_bytes(digest, "big")) % mod
+                    right = (right + add) % mod
             x = left * b + right
             if x < n:
                 return x
 
-    def characters(self, text: str, label: str, keep: str = "", digits: str = "0123456789") -> str:
-        """Digits become digits, small letters small letters, capitals capitals; the rest stays."""
-        lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-        sets = [None if c in keep else next((s for s in (digits, lower, upper) if c in s), None) for c in text]
-        x, n = 0, 1
-        for c, s in zip(text, sets):
-            if s:
-                x, n = x * len(s) + s.index(c), n * len(s)
-        x = self.permute(x, n, f"{label}|{len(text)}")
-        out = list(text)
-        for i in range(len(text) - 1, -1, -1):
-            if s := sets[i]:
-                x, r = divmod(x, len(s))
-                out[i] = s[r]
-        return "".join(out)
+    def stream(self, head: bytes, turn: int, source: bytes, size: int) -> bytes:
+        return hashlib.shake_256(self.key + head + bytes([turn]) + source).digest(size)
+
+    def characters(self, text: str, label: str, sets: tuple[str, ...] = (DIGITS, LOWER, UPPER)) -> str:
+        """Digits become digits, small letters small letters, capitals capitals; the rest stays.
+
+        A Feistel network over the characters themselves: in each round one half's places are turned within their
+        sets by numbers drawn from the other half, as many as there are places, so any length is changed
+        throughout, in linear time.
+        """
+        code = np.zeros(128, np.int64)
+        size = np.zeros(128, np.int64)
+        base = np.zeros(128, np.int64)
+        letters = "".join(sets)
+        for members in sets:
+            for i, c in enumerate(members):
+                code[ord(c)], size[ord(c)], base[ord(c)] = i, len(members), letters.index(members)
+        out = np.frombuffer(text.encode("utf-32-le"), "<u4").copy()
+        small = np.where(out < 128, out, 0)
+        places = np.flatnonzero(size[small])
+        radix, value, offset = (table[small[places]] for table in (size, code, base))
+        head = f"{label}|{len(text)}|".encode() + radix.astype(np.uint8).tobytes()
+        half = len(places) // 2
+        sides = [(slice(None, half), slice(half, None)), (slice(half, None), slice(None, half))]
+        for turn in range(ROUNDS):
+            source, target = sides[turn % 2]
+            n = len(radix[target])
+            add = np.frombuffer(self.stream(head, turn, value[source].astype(np.uint8).tobytes(), 4 * n), "<u4")
+            value[target] = (value[target] + add) % radix[target]
+        table = np.frombuffer(letters.encode("utf-32-le"), "<u4")
+        out[places] = table[offset + value]
+        return out.tobytes().decode("utf-32-le")
 
 
 def fill(form: str, digits: str) -> str:
@@ -80,13 +101,24 @@ def card(cipher: Cipher, text: str) -> str | None:
     return fill(text, payload + luhn_digit(payload))
 
 
+# Calling codes of one and two digits; all others have three.
+SHORT_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+               "81 82 84 86 90 91 92 93 94 95 98".split()}
+
+
+def calling_code(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+
+
 def phone(cipher: Cipher, text: str) -> str | None:
-    """North American and international numbers with a plus sign; the country code stays."""
-    country, rest = re.match(r"(\+\d{1,3})(.*)", text, re.S).groups()
-    digits = "".join(filter(str.isdigit, rest))
-    if not 7 <= len(digits) <= 12:
+    """North American and international numbers with a plus sign; the country code of the number plan stays, so
+    that all spellings of a number get the same digits."""
+    digits = "".join(filter(str.isdigit, text))
+    code = calling_code(digits)
+    rest = digits[len(code):]
+    if not 7 <= len(rest) <= 12:
         return None
-    return country + fill(rest, str(cipher.permute(int(digits), 10 ** len(digits), "phone" + country)).zfill(len(digits)))
+    return fill(text, code + str(cipher.permute(int(rest), 10 ** len(rest), "phone" + code)).zfill(len(rest)))
 
 
 def address(cipher: Cipher, text: str) -> str | None:
@@ -145,8 +177,7 @@ def secret(cipher: Cipher, text: str) -> str | None:
     if len(value) < 8 or not any(map(str.isdigit, value)):
         return None
     if re.fullmatch("[0-9a-f]+", value):
-        x = cipher.permute(int(value, 16), 16 ** len(value), "hex")
-        return name + f"{x:0{len(value)}x}"
+        return name + cipher.characters(value, "hex", (DIGITS + "abcdef",))
     return name + cipher.characters(value, "secret")
 
 
@@ -163,7 +194,12 @@ KINDS = [
 ]
 NAMES = [name for name, _, _ in KINDS]
 FORMS = [(name, re.compile(form)) for name, form, _ in KINDS]
-FORM = re.compile("|".join(f"(?P<{name}>{form})" for name, form, _ in KINDS))
+# Addresses by mail are looked for from each @ backwards: the run before one may be long.
+FORM = re.compile("|".join(f"(?:{form})" for name, form, _ in KINDS if name != "email"))
+NAME = 16  # more than the longest name of a secret and the sign behind it
+LOCAL = "".join(sorted({*DIGITS, *LOWER, *UPPER, *"._%+-"}))
+LOCAL_START = re.compile(r"\b[A-Za-z0-9]")
+DOMAIN = re.compile(r"@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b")
 MAKE = {name: make for name, _, make in KINDS}
 HINT = re.compile(r"\d").search  # every form but an address by mail needs a digit
 
@@ -211,34 +247,61 @@ class Masker:
             self.known[at] = MAKE[kind](self.cipher, text)
         return self.known[at]
 
-    def value(self, text: str, start: int) -> tuple[str, int, str] | None:
-        """(kind, end, pseudonym) of the first valid value at a place, over all kinds and lengths."""
+    def value(self, text: str, start: int, mail_end: int | None) -> tuple[str, int, str] | None:
+        """(kind, end, pseudonym) of the first valid value at a place, over all kinds and lengths. ``mail_end``:
+        where a mail address that starts there ends."""
         for kind, form in FORMS:
-            if m := form.match(text, start):
-                for end in ends(kind, form, text, m):
-                    if (new := self.one(kind, text[start:end])) is not None:
-                        return kind, end, new
+            if kind == "email":
+                found = [mail_end] if mail_end else []
+            else:
+                found = ends(kind, form, text, m) if (m := form.match(text, start)) else []
+            for end in found:
+                if (new := self.one(kind, text[start:end])) is not None:
+                    return kind, end, new
         return None
 
     def mask(self, text: str) -> tuple[str, dict[str, int]]:
         found: dict[str, int] = {}
         if "@" not in text and not HINT(text):
             return text, found
-        out, at, pos = [], 0, 0
-        while m := FORM.search(text, pos):
-            valid = self.value(text, m.start())
-            if valid is None:  # look again behind the first character
-                pos = m.start() + 1
+        out, at, mails, numbers = [], 0, addresses(text), -1
+        mail, m, pos = next(mails, None), None, 0  # pos: where other values are looked for next
+        while True:
+            while mail and (begins := LOCAL_START.search(text, max(mail[0], at), mail[1])) is None:
+                mail = next(mails, None)
+            if numbers < pos:
+                m = FORM.search(text, pos)
+                numbers = m.start() if m else len(text)
+            start = min(numbers, begins.start()) if mail else numbers
+            if start == len(text):
+                break
+            valid = self.value(text, start, mail[2] if mail and begins.start() == start else None)
+            if valid:
+                kind, end, new = valid
+                out += [text[at:start], new]
+                at = pos = end
+                found[kind] = found.get(kind, 0) + 1
+            elif failed := FORMS[0][1].match(text, start):
+                # a secret without digits: but for an address only a secret whose name ends it can begin in it
+                pos = max(start + 1, failed.end() - NAME)
+            else:  # look again behind the first character
+                pos = start + 1
                 while pos < m.end() and text[pos].isdigit() and text[pos - 1].isdigit():
                     pos += 1
-                continue
-            kind, end, new = valid
-            out += [text[at:m.start()], new]
-            at = pos = end
-            found[kind] = found.get(kind, 0) + 1
         return "".join(out) + text[at:], found
 
 
+def addresses(text: str):
+    """(where the run of local-part characters before an @ begins, the @, end of the domain behind it) of every @
+    with a domain."""
+    last = 0
+    for m in re.finditer("@", text):
+        before = text[last:m.start()]
+        if domain := DOMAIN.match(text, m.start()):
+            yield last + len(before.rstrip(LOCAL)), m.start(), domain.end()
+        last = m.end()
+
+
 def pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` with the valid personal values of ``text_col`` replaced, and n_<kind> for each kind.
 

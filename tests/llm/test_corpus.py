@@ -105,6 +105,46 @@ def test_pseudonyms_of_values_next_to_characters_of_their_class():
     assert masker.mask("4111 1111 1111 1112 12/27")[1] == {} and masker.mask("DE89 3704 0044 0532 0130 01 BIC")[1].get("iban") is None
 
 
+def test_secrets_of_any_length_are_changed_throughout():
+    masker, rng = pii.Masker(b"k"), random.Random(8)
+    for n in (8, 31, 128, 300, 1000, 4400, 20_000):
+        for letters, name in (("0123456789abcdef", "hex"), ("abcXYZ0123456789", "mixed")):
+            value = "".join(rng.choice(letters) for _ in range(n - 1)) + "7"
+            new, found = masker.mask("token=" + value)
+            assert found == {"secret": 1} and len(new) == n + 6
+            same = [a == b for a, b in zip(value, new[6:])]
+            parts = [same[i:i + 100] for i in range(0, n, 100)]
+            assert all(sum(p) <= 8 + len(p) / 5 for p in parts), (n, name)
+
+
+def test_character_permutations_are_one_to_one():
+    cipher = pii.Cipher(b"x")
+    for sets in ("0", "0a", "A0a", "a-0.0", "0000"):
+        classes = {"0": pii.DIGITS, "a": pii.LOWER, "A": pii.UPPER}
+        texts = ["".join(t) for t in itertools.product(*(classes.get(c, c) for c in sets))]
+        assert sorted(cipher.characters(t, "l") for t in texts) == sorted(texts)
+    assert cipher.characters("", "l") == "" and cipher.characters("é-", "l") == "é-"
+
+
+def test_spellings_of_a_phone_number_are_linked():
+    masker = pii.Masker(b"k")
+    for spellings in (["+1 555 123 4567", "+1-555-123-4567", "+15551234567", "+1 (555) 123-4567"], ["+442071234567", "+44 20 7123 4567"],
+                      ["+351 912 345 678", "+351912345678"]):
+        digits = {"".join(filter(str.isdigit, masker.mask(t)[0])) for t in spellings}
+        assert len(digits) == 1 and digits != {"".join(filter(str.isdigit, spellings[0]))}
+    assert [pii.calling_code(d) for d in ("15551234567", "442071234567", "351912345678", "7")] == ["1", "44", "351", "7"]
+
+
+def test_masking_takes_linear_time_and_overlapping_candidates():
+    import time
+    masker, begun = pii.Masker(b"k"), time.time()
+    for text in ("a." * 1_000_000 + " 1", "token=" * 300_000 + " 1", "1.2.3.4." * 50_000, "a@" * 300_000 + "1", "x.y@a." * 100_000 + "1"):
+        assert masker.mask(text) == (text, {})
+    assert time.time() - begun < 30
+    new, found = masker.mask("token=password: 'abc12345', token=xx-token='abc12345' token=abcdefgh@x.com")
+    assert found == {"secret": 2, "email": 1} and "abc12345" not in new and "@x.com" not in new
+
+
 def test_url_intervals_and_longest_active_key(spark):
     at = lambda d: f"2024-01-{d:02} 00:00:00"
     entries = spark.createDataFrame([
