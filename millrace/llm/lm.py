@@ -1,196 +1,232 @@
 """Language-model scores: cross-entropy difference of a target and a background bigram model."""
 
+import hashlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .common import batch, texts
-from .words import SPACE, hashed
+from .common import batch, runs, texts
+from .pieces import _packed, _unpacked
+from .words import SPACE, hashed, mixed
 
-START, OTHER = 0, 1  # numbers of the text start and of words outside the vocabulary
+START = 0  # stands for the context of a text's first word; no word hashes to it
+WORDS, BIGRAMS, ROWS = 0, 1, 2  # kinds of a block's rows
+ASK, GIVEN = "bucket int, kind int, block long, target boolean, value binary", "block long, kind int, bucket int, value binary"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """word_share, bigram_share: shares of all words at and above which a word is in the vocabulary
-    and a bigram in the models. They act alike at every size, and 1 / share bounds the entries:
-    no more than 200,000 words and 2,000,000 bigrams can reach them. prior: weight, in words, of the
-    word distribution in each context. flush: words counted in a task before it hands counts on."""
-    word_share: float = 5e-6
-    bigram_share: float = 5e-7
+    """prior: weight, in words, of the word distribution in each context. block: words that are worked on at once
+    (a longer text is worked on alone); bucket: characters of all texts behind one part of the count tables. Both
+    bound a task's memory and change no result."""
     prior: float = 50.0
-    flush: int = 4_000_000
-
-
-class Vocabulary:
-    """Hashes of the shared words, sorted; numbers start behind START and OTHER."""
+    block: int = 3_000_000
+    bucket: int = 32_000_000
+
+
+class Block:
+    """Words and bigrams of some texts: ``known``, the sorted hashes of its words and START; each word's number in
+    it, each word's context, and the sorted keys of the different bigrams with each word's number among them."""
+
+    def __init__(self, known: np.ndarray, word: np.ndarray, starts: np.ndarray):
+        self.known, self.word, self.starts = known, word, starts
+        self.context = np.zeros_like(word)
+        self.context[1:] = word[:-1]
+        self.context[starts[:-1][np.diff(starts) > 0]] = 0
+        pairs, self.pair = np.unique(self.context << 32 | word, return_inverse=True)
+        keys = mixed(mixed(known[pairs >> 32] ^ np.uint64(0x5851F42D4C957F2D)) + known[pairs & 0xFFFFFFFF])
+        self.keys, place = np.unique(keys, return_inverse=True)
+        self.pair = place[self.pair]
+
+    @classmethod
+    def of(cls, held: list[str]) -> "Block":
+        words, starts = hashed(held, SPACE)
+        known, number = np.unique(np.concatenate([[np.uint64(START)], words]), return_inverse=True)
+        return cls(known, number[1:].astype(np.int64), starts)
+
+    def counts(self) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """(kind, sorted keys, columns): of words how often each stands and how often another follows it, of bigrams how often."""
+        size = len(self.known)
+        yield WORDS, self.known, [np.bincount(self.word, minlength=size), np.bincount(self.context, minlength=size)]
+        yield BIGRAMS, self.keys, [np.bincount(self.pair, minlength=len(self.keys))]
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[tuple[int, list, Block]]:
+    """(name, doc_ids, block) of consecutive rows; a block ends by its own rows only, wherever batches end, and its name
+    is a hash of its place and rows, so that reading the rows twice gives it twice."""
+    ids, held, words = [], [], 0
+
+    def close(number):
+        name = hashlib.blake2b(f"{TaskContext.get().partitionId()} {number} {ids}".encode(), digest_size=8)
+        block = Block.of(held)
+        name.update(block.known.tobytes())
+        name.update(block.word.tobytes())
+        return int.from_bytes(name.digest(), "little", signed=True), ids, block
+
+    number = 0
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            n = len(t) // 6 + 1  # of words, about
+            if held and words + n > s.block:
+                yield close(number)
+                ids, held, words, number = [], [], 0, number + 1
+            ids.append(i)
+            held.append(t)
+            words += n
+    if held:
+        yield close(number)
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes.astype(np.uint64))
-        self.size = len(self.hashes) + 2
 
-    def numbers(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(words), OTHER, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at + 2, OTHER)
+def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
+    """Part of the count tables that holds each key; grows with the key, so sorted keys are sorted by part."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _words(batches, flush: int):
-    """Numbers of words and counts: every distinct word of a share of the task's texts."""
-    held, size = [], 0
-    for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            words, _ = hashed(b.column(0).slice(lo, 500).to_pylist(), SPACE)
-            held.append(words)
-            size += len(words)
-            if size >= flush:
-                yield np.unique(np.concatenate(held), return_counts=True)
-                held, size = [], 0
-    if size:
-        yield np.unique(np.concatenate(held), return_counts=True)
-
-
-def word_counts(rows: DataFrame, flush: int) -> DataFrame:
-    """word (hash), n over all texts."""
-    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
+def _questions(rows: DataFrame, n_buckets: int, target: bool, s: Settings) -> DataFrame:
+    """Counts of each block, a packed row for each kind and bucket."""
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("target", pa.bool_()), ("value", pa.binary())])
 
     def work(batches):
-        for words, n in _words(batches, flush):
-            yield batch(schema, words.view(np.int64), n)
-
-    return rows.select("text").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        for name, _, block in _blocks(batches, s):
+            for kind, keys, columns in block.counts():
+                bucket = _buckets(keys, n_buckets)
+                found, first = np.unique(bucket, return_index=True)
+                for k, lo, hi in zip(found.tolist(), first.tolist(), [*first.tolist()[1:], len(keys)]):
+                    steps = np.diff(keys[lo:hi], prepend=np.uint64(0))
+                    packed = _packed(key=pa.array(steps), **{f"n{i}": pa.array(c[lo:hi], pa.int32()) for i, c in enumerate(columns)})
+                    yield batch(schema, [k], [kind], [name], [target], [packed])
+
+    return rows.mapInArrow(work, ASK)
+
+
+def _answers(batches):
+    """For each block's row of a bucket the sums over all blocks, and over those of the target, of its counts."""
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("value", pa.binary())])
+    for (bucket, kind), group in runs(batches, 2):
+        held = [_unpacked(v) for v in group.column("value").combine_chunks()]
+        target = group.column("target").to_pylist()
+        edges = np.cumsum([0, *[h.num_rows for h in held]])
+        keys = np.concatenate([np.cumsum(h.column(0).to_numpy(), dtype=np.uint64) for h in held])
+        of_target = np.repeat(target, np.diff(edges))
+        keys, place = np.unique(keys, return_inverse=True)
+        sums = []
+        for i in range(1, held[0].num_columns):
+            n = np.concatenate([h.column(i).to_numpy() for h in held])
+            sums += [np.bincount(place[side], n[side], len(keys)).astype(np.int64) for side in (~of_target, of_target)]
+        for block, t, lo, hi in zip(group.column("block").to_pylist(), target, edges.tolist(), edges.tolist()[1:]):
+            if not t:
+                value = _packed(**{f"s{i}": pa.array(c[place[lo:hi]]) for i, c in enumerate(sums)})
+                yield batch(schema, [block], [kind], [bucket], [value])
+
+
+def _packed_rows(rows: DataFrame, s: Settings) -> DataFrame:
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("value", pa.binary())])
 
+    def work(batches):
+        for name, ids, block in _blocks(batches, s):
+            whole = _packed(doc_id=pa.array([ids], pa.list_(pa.int64())), known=pa.array([block.known]),
+                            word=pa.array([block.word.astype(np.int32)]), starts=pa.array([block.starts]))
+            yield batch(schema, [name], [ROWS], [0], [whole])
 
-def bigrams(texts_: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(context << 32 | word) of every word, and the text it is in; the first word's context is START."""
-    words, starts = hashed(texts_, SPACE)
-    numbers = vocabulary.numbers(words)
-    context = np.empty_like(numbers)
-    context[1:] = numbers[:-1]
-    lengths = np.diff(starts)
-    context[starts[:-1][lengths > 0]] = START
-    return context << 32 | numbers, np.repeat(np.arange(len(lengths)), lengths)
-
+    return rows.mapInArrow(work, GIVEN)
 
-def bigram_counts(rows: DataFrame, vocabulary: Vocabulary, flush: int) -> DataFrame:
-    """bigram, n (all texts) and t (target texts) from rows with text and is_target."""
-    schema = pa.schema([("bigram", pa.int64()), ("n", pa.int64()), ("t", pa.int64())])
-    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def counted(held):
-        pairs, target = (np.concatenate(x) for x in zip(*held))
-        pairs, at = np.unique(pairs, return_inverse=True)
-        return batch(schema, pairs, np.bincount(at), np.bincount(at, target).astype(np.int64))
+def word_counts(rows: DataFrame, s: Settings) -> DataFrame:
+    """word (hash), n over all texts."""
+    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
     def work(batches):
         held, size = [], 0
         for b in batches:
             for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                pairs, owner = bigrams(part.column(0).to_pylist(), sent.value)
-                held.append((pairs, part.column(1).to_numpy(zero_copy_only=False).astype(bool)[owner] if len(owner) else np.zeros(0, bool)))
-                size += len(pairs)
-                if size >= flush:
-                    yield counted(held)
+                words, _ = hashed(b.column(0).slice(lo, 500).to_pylist(), SPACE)
+                held.append(words)
+                size += len(words)
+                if size >= s.block:
+                    words, n = np.unique(np.concatenate(held), return_counts=True)
+                    yield batch(schema, words.view(np.int64), n)
                     held, size = [], 0
         if size:
-            yield counted(held)
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            yield batch(schema, words.view(np.int64), n)
 
-    return (rows.select("text", "is_target").mapInArrow(work, "bigram long, n long, t long").groupBy("bigram")
-            .agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
+    return rows.select("text").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Difference:
-    """Loss under the target minus loss under the background of each word in its context, in nats.
+def differences(block: Block, of_words: list[np.ndarray], of_bigrams: list[np.ndarray], size: int, total: tuple[int, int],
+                prior: float) -> np.ndarray:
+    """Loss under the target minus loss under the background of each word of a block in its context, in nats.
 
-    Both models have the same vocabulary and the same bigrams and are smoothed alike: a context's
-    counts plus ``prior`` words spread by the model's word distribution, itself smoothed by one word
-    spread evenly. The background's counts are scaled to the target's total, so that the prior
-    weighs the same in both.
+    Both models have the same vocabulary and are smoothed alike: a context's counts plus ``prior`` words spread by the
+    model's word distribution, itself smoothed by one word spread evenly. The background's counts are scaled
+    to the target's total, so that the prior weighs the same in both.
     """
-
-    def __init__(self, size: int, keys: np.ndarray, counts: np.ndarray, words: np.ndarray, prior: float):
-        """counts, words: columns (background, target) for each key and each number of a word."""
-        total = words.sum(0)
-        scale = np.divide(total[1], total, out=np.ones(2), where=total > 0)
-        words, counts = words * scale, counts * scale
-        spread = (words + 1 / size) / (words.sum(0) + 1)
-        context = keys >> 32
-        mass = np.stack([np.bincount(context, counts[:, i], size) for i in (0, 1)], axis=1)
-        # log of the weight of the word distribution in a context, and of the words
-        away = np.log(prior) - np.log(mass + prior)
-        self.keys = keys
-        self.seen = np.zeros(0, np.float32) if not len(keys) else _difference(np.log(counts + prior * spread[keys & 0xFFFFFFFF]) - np.log(mass[context] + prior))
-        self.context, self.word = _difference(away), _difference(np.log(spread))
-
-    def of(self, pairs: np.ndarray) -> np.ndarray:
-        out = self.context[pairs >> 32] + self.word[pairs & 0xFFFFFFFF]
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
-            known = self.keys[at] == pairs
-            out[known] = self.seen[at[known]]
-        return out
-
-
-def _difference(log_p: np.ndarray) -> np.ndarray:
-    """Target loss minus background loss from columns (background, target) of log probabilities."""
-    return (log_p[..., 0] - log_p[..., 1]).astype(np.float32)
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, settings: Settings = Settings()) -> tuple[Vocabulary, Difference]:
-    """Both models from the counts of all documents. ``target_ids``: doc_id of the target texts.
-
-    Words and bigrams are counted in tasks and summed by Spark; only entries at the shares of
-    ``settings``, whose number is bounded by those shares, come to the driver.
+    log_p = []
+    for side in (0, 1):  # background, target
+        scale = total[1] / total[side] if total[side] else 1.0
+        words, mass, pairs = of_words[side] * scale, of_words[2 + side] * scale, of_bigrams[side] * scale
+        spread = (words + 1 / size) / (total[side] * scale + 1)
+        log_p.append(np.log(pairs[block.pair] + (prior * spread)[block.word]) - np.log(mass + prior)[block.context])
+    return log_p[0] - log_p[1]
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, n_words and score of every row of ``docs`` (doc_id, text): the mean over all its words of the loss
+    difference (nats; lower is nearer to the target) of a model of the documents in ``target_ids`` (doc_id) and
+    one of all documents; 0 for a text without words.
+
+    Words are lower-cased runs between ASCII white space, told apart by 64-bit hashes. Every word and every bigram is
+    counted, whatever its frequency. The count tables lie in buckets by key, as many as the texts' size asks for;
+    each block of texts sends its own counts there in packed rows and gets the sums back, so a key that all texts
+    share is one entry per block. Null texts are empty. Repeated rows count, and each gets a score. Without target
+    documents every score is near zero, as the smoothed target model knows nothing. ``docs`` is read twice and must give
+    the same rows in the same order, as files do; a block whose readings differ fails the job.
     """
     rows = texts(docs)
-    words = stage(word_counts(rows, settings.flush), "words")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = words.filter(F.col("n") >= settings.word_share * total).select("word").toArrow()
-    vocabulary = Vocabulary(kept.column(0).to_numpy().view(np.uint64) if kept.num_rows else np.zeros(0, np.uint64))
-    targets = target_ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("is_target")).distinct()
+    n_buckets = 64 + (rows.agg(F.sum(F.length("text")).alias("n")).first().n or 0) // s.bucket
+    seen = word_counts(rows, s).agg(F.count("*").alias("size"), F.sum("n").alias("n")).first()
     # the target's ids grow with the corpus: one plan for every size, without a broadcast
-    marked = rows.join(targets.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    counts = stage(bigram_counts(marked, vocabulary, settings.flush), "bigrams")
-    per_word = counts.groupBy(F.col("bigram").bitwiseAND(F.lit(0xFFFFFFFF)).alias("w")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
-    sums = np.zeros((vocabulary.size, 2))
-    if per_word.num_rows:
-        sums[per_word.column(0).to_numpy()] = np.stack([per_word.column(i).to_numpy() for i in (1, 2)], axis=1)
-    common = counts.filter(F.col("n") >= settings.bigram_share * total).toArrow()
-    keys = common.column(0).to_numpy() if common.num_rows else np.zeros(0, np.int64)
-    order = np.argsort(keys)
-    pairs = np.stack([common.column(i).to_numpy() for i in (1, 2)], axis=1)[order] if common.num_rows else np.zeros((0, 2))
-    return vocabulary, Difference(vocabulary.size, keys[order], pairs.astype(float), sums, settings.prior)
-
-
-def scores(docs: DataFrame, vocabulary: Vocabulary, difference: Difference) -> DataFrame:
-    """doc_id, n_words and score, the mean over all words of the loss difference (nats; lower is nearer to
-    the target), 0 for a text without words. One pass without a shuffle; repeated rows each get a score.
-    """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64())])
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, difference))  # bounded by the shares
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    of_target = stage(_questions(rows.join(ids.hint("merge"), "doc_id", "left_semi"), n_buckets, True, s), "target-counts")
 
-    def work(batches):
-        known, loss = sent.value
+    def words_in(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                pairs, owner = bigrams(part.column(1).to_pylist(), known)
-                n = np.bincount(owner, minlength=part.num_rows)
-                sums = np.bincount(owner, loss.of(pairs), part.num_rows)
-                yield batch(schema, part.column(0), n, sums / np.maximum(n, 1))
-
-    return texts(docs).mapInArrow(work, "doc_id long, n_words long, score double")
+            n = [int(np.sum(_unpacked(v).column(1).to_numpy())) for v in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n"])
 
+    in_target = of_target.filter(F.col("kind") == WORDS).select("value").mapInArrow(words_in, "n long").agg(F.sum("n").alias("n")).first().n
+    size, total, prior = seen.size + 2, (seen.n or 0, in_target or 0), s.prior  # text starts and unseen words are entries too
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64())])
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``scores`` of all ``docs`` under models of the target documents and of all documents.
-
-    Words are lower-cased runs between ASCII white space. Null texts are empty. Without target
-    documents every score is near zero, as the smoothed target model knows nothing.
-    """
-    return scores(docs, *fit(docs, target_ids, settings))
+    def scored(batches):
+        for _, group in runs(batches, 1):
+            kind, bucket = group.column("kind").to_numpy(), group.column("bucket").to_numpy()
+            values = group.column("value").combine_chunks()
+            whole = [values[i] for i in np.flatnonzero(kind == ROWS).tolist()]
+            sums = {}
+            for k in (WORDS, BIGRAMS):
+                at = np.flatnonzero(kind == k)
+                parts = [_unpacked(values[i]) for i in at[np.argsort(bucket[at])].tolist()]
+                sums[k] = [np.concatenate([p.column(c).to_numpy() for p in parts]) for c in range(parts[0].num_columns)] if parts else [np.zeros(0)] * 2
+            if len(whole) != 1:
+                raise RuntimeError("the documents came in another order when read again: stage them first")
+            row = _unpacked(whole[0])
+            ids, known, word, starts = (row.column(i).values.to_numpy(zero_copy_only=False) if i else row.column(0).values for i in range(4))
+            block = Block(known, word.astype(np.int64), starts)
+            if len(sums[WORDS][0]) != len(block.known) or len(sums[BIGRAMS][0]) != len(block.keys):
+                raise RuntimeError("the documents came in another order when read again: stage them first")
+            n = np.diff(starts)
+            loss = differences(block, sums[WORDS], sums[BIGRAMS], size, total, prior)
+            mean = np.bincount(np.repeat(np.arange(len(n)), n), loss, len(n)) / np.maximum(n, 1)
+            for lo in range(0, len(n), 10_000):
+                yield batch(schema, ids.slice(lo, 10_000), n[lo:lo + 10_000], mean[lo:lo + 10_000])
+
+    asked = _questions(rows, n_buckets, False, s).unionByName(of_target)
+    given = asked.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answers, GIVEN)
+    return (_packed_rows(rows, s).unionByName(given).repartition("block").sortWithinPartitions("block")
+            .mapInArrow(scored, "doc_id long, n_words long, score double"))

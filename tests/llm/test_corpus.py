@@ -318,8 +318,7 @@ def five_word_jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_near_dedup_stage_drops_copies_from_jaccard_0_8_on(spark):
-    import corpus_pipeline
+def test_near_copies_are_dropped_from_jaccard_0_8_on(spark):
     rows, alike = [], set()
     for i in range(150):
         base = prose(200).split()
@@ -331,10 +330,25 @@ def test_near_dedup_stage_drops_copies_from_jaccard_0_8_on(spark):
             alike.add(2 * i + 1)
     rows += [(1000, prose(3)), (1001, None), (1002, ""), (None, rows[0][1])]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    left = {r.doc_id for r in nearcopies.keep_one(docs).collect()}
     assert 40 < len(alike) < 130 and left == {i for i, _ in rows} - alike - {1002}
 
 
+def test_near_dedup_stage_keeps_one_of_each_group_of_fingerprints(spark):
+    import corpus_pipeline
+    base = prose(300).split()
+    rows = [(i, prose(60)) for i in range(40)] + [(100 + i, rows_text) for i, rows_text in enumerate([" ".join(base)] * 5)]
+    rows += [(200 + i, " ".join(base[:i * 9] + ["new"] + base[i * 9:])) for i in range(20)] + [(300, None), (301, ""), (None, " ".join(base))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(r.doc_id if r.doc_id is not None else -1 for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    prints = [plain_fingerprint(t) for _, t in rows]
+    forest = simhash.Forest(len(rows))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 2:
+            forest.join(i, j)
+    assert left == sorted([-1, *(i for k, (i, _) in enumerate(rows) if forest.find(k) == k and i is not None)])
+
+
 def test_neighbours_recall_copies_and_unusable_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16))
@@ -385,6 +399,52 @@ def test_cross_entropy_difference_equals_plain_models(spark, odd):
     assert lm.cross_entropy_difference(odd, odd.select("doc_id").limit(0)).count() == odd.count()
 
 
+def plain_differences(rows, target, prior=50.0):
+    import collections
+    import re
+    split = {i: re.findall(r"[^ \t\n\r\x0b\x0c]+", (t or "").lower()) for i, t in rows}
+    models = []
+    for ids in (set(split), target & set(split)):
+        uni, bi, mass = collections.Counter(), collections.Counter(), collections.Counter()
+        for i in ids:
+            uni.update(split[i])
+            bi.update(zip([None, *split[i]], split[i]))
+            mass.update([None, *split[i]][:len(split[i])])
+        models.append((uni, bi, mass, sum(uni.values())))
+    size, goal = len(models[0][0]) + 2, models[1][3]
+    out = {}
+    for i, words in split.items():
+        loss = 0.0
+        for c, w in zip([None, *words], words):
+            p = []
+            for uni, bi, mass, total in models:
+                scale = goal / total if total else 1.0
+                p.append((bi[c, w] * scale + prior * (uni[w] * scale + 1 / size) / (total * scale + 1)) / (mass[c] * scale + prior))
+            loss += np.log(p[0]) - np.log(p[1])
+        out[i] = (len(words), loss / max(1, len(words)))
+    return out
+
+
+def test_cross_entropy_of_whole_tables_keeps_every_word(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    good = spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1").select("doc_id")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = plain_differences(rows, {r.doc_id for r in good.collect()})
+    for s in (lm.Settings(), lm.Settings(block=20_000, bucket=50_000)):
+        got = {r.doc_id: (r.n_words, r.score) for r in lm.cross_entropy_difference(docs, good, s).collect()}
+        assert got.keys() == want.keys() and all(got[i][0] == n and abs(got[i][1] - x) < 1e-9 for i, (n, x) in want.items())
+    assert lm.cross_entropy_difference(docs.limit(0), good).count() == 0
+
+
+def test_cross_entropy_of_repeated_rows_and_one_common_word(spark):
+    rows = [(i, "zo " * 300) for i in range(60)] + [(100 + i, prose(50)) for i in range(60)] + [(500, None), (501, "")]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").withColumn("word", F.lit("clash")).coalesce(1)
+    got = [(r.doc_id, r.score) for r in lm.cross_entropy_difference(docs, docs.filter("doc_id < 130").select("doc_id"), lm.Settings(block=400)).collect()]
+    want = plain_differences([(k, t) for k, (_, t) in enumerate(rows + rows[:3])], {k for k, (i, _) in enumerate(rows + rows[:3]) if i < 130})
+    assert sorted(got) == sorted(((rows + rows[:3])[k][0], pytest.approx(x, abs=1e-9)) for k, (_, x) in want.items())
+
+
 def test_pipeline_stages_keep_what_they_should(spark, tmp_path):
     import corpus_pipeline
     docs = corpus_pipeline.table(spark, "/root/testdata/sf0.01", "documents")
