@@ -15,7 +15,7 @@ from .pieces import _packed, _unpacked
 from .words import SPACE, hashed, mixed
 
 START = 0  # stands for the context of a text's first word; no word hashes to it
-WORDS, BIGRAMS, ROWS = 0, 1, 2  # kinds of a block's rows
+WORDS, BIGRAMS, IDS, ROWS = 0, 1, 2, 3  # kinds of a block's rows
 ASK, GIVEN = "bucket int, kind int, block long, target boolean, value binary", "block long, kind int, bucket int, value binary"
 
 
@@ -26,7 +26,7 @@ class Settings:
     bound a task's memory and change no result."""
     prior: float = 50.0
     block: int = 3_000_000
-    bucket: int = 32_000_000
+    bucket: int = 16_000_000
 
 
 class Block:
@@ -44,10 +44,10 @@ class Block:
         self.pair = place[self.pair]
 
     @classmethod
-    def of(cls, held: list[str]) -> "Block":
-        words, starts = hashed(held, SPACE)
-        known, number = np.unique(np.concatenate([[np.uint64(START)], words]), return_inverse=True)
-        return cls(known, number[1:].astype(np.int64), starts)
+    def of(cls, words: list[np.ndarray], lengths: list[np.ndarray]) -> "Block":
+        """From the hashes of the words of runs of texts, and the texts' lengths in words."""
+        known, number = np.unique(np.concatenate([np.array([START], np.uint64), *words]), return_inverse=True)
+        return cls(known, number[1:], np.concatenate([[0], *lengths]).cumsum())
 
     def counts(self) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
         """(kind, sorted keys, columns): of words how often each stands and how often another follows it, of bigrams how often."""
@@ -56,30 +56,55 @@ class Block:
         yield BIGRAMS, self.keys, [np.bincount(self.pair, minlength=len(self.keys))]
 
 
+def _pack(**columns: np.ndarray) -> bytes:
+    """Columns as one compressed value; the bytes of numbers lie by place, first all lowest ones, as those that
+    stand for large differences then compress apart."""
+    planes = lambda a: np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+    return _packed(**{f"{name}:{a.dtype.str}": pa.array([planes(a)], pa.large_binary()) for name, a in columns.items()})
+
+
+def _unpack(value: pa.BinaryScalar) -> list[np.ndarray]:
+    row, out = _unpacked(value), []
+    for name, column in zip(row.schema.names, row.columns):
+        kind = np.dtype(name.partition(":")[2])
+        planes = np.frombuffer(column[0].as_buffer(), np.uint8).reshape(kind.itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+    return out
+
+
 def _blocks(batches: Iterable[pa.RecordBatch], s: Settings) -> Iterator[tuple[int, list, Block]]:
     """(name, doc_ids, block) of consecutive rows; a block ends by its own rows only, wherever batches end, and its name
     is a hash of its place and rows, so that reading the rows twice gives it twice."""
-    ids, held, words = [], [], 0
+    ids, held, words, lengths, size, number = [], [], [], [], 0, 0
+
+    def hash_held():
+        found, starts = hashed(held, SPACE)
+        words.append(found)
+        lengths.append(np.diff(starts))
+        held.clear()
 
-    def close(number):
+    def close():
+        hash_held()
         name = hashlib.blake2b(f"{TaskContext.get().partitionId()} {number} {ids}".encode(), digest_size=8)
-        block = Block.of(held)
-        name.update(block.known.tobytes())
-        name.update(block.word.tobytes())
-        return int.from_bytes(name.digest(), "little", signed=True), ids, block
+        for w in words:
+            name.update(w.tobytes())
+        return int.from_bytes(name.digest(), "little", signed=True), ids, Block.of(words, lengths)
 
-    number = 0
+    pending = 0
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             n = len(t) // 6 + 1  # of words, about
-            if held and words + n > s.block:
-                yield close(number)
-                ids, held, words, number = [], [], 0, number + 1
+            if ids and size + n > s.block:
+                yield close()
+                ids, words, lengths, size, pending, number = [], [], [], 0, 0, number + 1
             ids.append(i)
             held.append(t)
-            words += n
-    if held:
-        yield close(number)
+            size, pending = size + n, pending + n
+            if pending > 200_000:  # hashing takes several times the memory of the texts
+                hash_held()
+                pending = 0
+    if ids:
+        yield close()
 
 
 def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
@@ -98,7 +123,7 @@ def _questions(rows: DataFrame, n_buckets: int, target: bool, s: Settings) -> Da
                 found, first = np.unique(bucket, return_index=True)
                 for k, lo, hi in zip(found.tolist(), first.tolist(), [*first.tolist()[1:], len(keys)]):
                     steps = np.diff(keys[lo:hi], prepend=np.uint64(0))
-                    packed = _packed(key=pa.array(steps), **{f"n{i}": pa.array(c[lo:hi], pa.int32()) for i, c in enumerate(columns)})
+                    packed = _pack(key=steps, **{f"n{i}": c[lo:hi].astype(np.int32) for i, c in enumerate(columns)})
                     yield batch(schema, [k], [kind], [name], [target], [packed])
 
     return rows.mapInArrow(work, ASK)
@@ -108,19 +133,19 @@ def _answers(batches):
     """For each block's row of a bucket the sums over all blocks, and over those of the target, of its counts."""
     schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("value", pa.binary())])
     for (bucket, kind), group in runs(batches, 2):
-        held = [_unpacked(v) for v in group.column("value").combine_chunks()]
+        held = [_unpack(v) for chunk in group.column("value").chunks for v in chunk]
         target = group.column("target").to_pylist()
-        edges = np.cumsum([0, *[h.num_rows for h in held]])
-        keys = np.concatenate([np.cumsum(h.column(0).to_numpy(), dtype=np.uint64) for h in held])
+        edges = np.cumsum([0, *[len(h[0]) for h in held]])
+        keys = np.concatenate([np.cumsum(h[0], dtype=np.uint64) for h in held])
         of_target = np.repeat(target, np.diff(edges))
         keys, place = np.unique(keys, return_inverse=True)
         sums = []
-        for i in range(1, held[0].num_columns):
-            n = np.concatenate([h.column(i).to_numpy() for h in held])
+        for i in range(1, len(held[0])):
+            n = np.concatenate([h[i] for h in held])
             sums += [np.bincount(place[side], n[side], len(keys)).astype(np.int64) for side in (~of_target, of_target)]
         for block, t, lo, hi in zip(group.column("block").to_pylist(), target, edges.tolist(), edges.tolist()[1:]):
             if not t:
-                value = _packed(**{f"s{i}": pa.array(c[place[lo:hi]]) for i, c in enumerate(sums)})
+                value = _pack(**{f"s{i}": c[place[lo:hi]] for i, c in enumerate(sums)})
                 yield batch(schema, [block], [kind], [bucket], [value])
 
 
@@ -129,9 +154,9 @@ def _packed_rows(rows: DataFrame, s: Settings) -> DataFrame:
 
     def work(batches):
         for name, ids, block in _blocks(batches, s):
-            whole = _packed(doc_id=pa.array([ids], pa.list_(pa.int64())), known=pa.array([block.known]),
-                            word=pa.array([block.word.astype(np.int32)]), starts=pa.array([block.starts]))
-            yield batch(schema, [name], [ROWS], [0], [whole])
+            row = _packed(doc_id=pa.array(ids, pa.int64()))
+            whole = _pack(steps=np.diff(block.known, prepend=np.uint64(0)), word=block.word.astype(np.int32), starts=block.starts)
+            yield batch(schema, [name] * 2, [IDS, ROWS], [0, 0], [row, whole])
 
     return rows.mapInArrow(work, GIVEN)
 
@@ -196,7 +221,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, s: Settings
 
     def words_in(batches):
         for b in batches:
-            n = [int(np.sum(_unpacked(v).column(1).to_numpy())) for v in b.column(0)]
+            n = [int(_unpack(v)[1].sum()) for v in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n"])
 
     in_target = of_target.filter(F.col("kind") == WORDS).select("value").mapInArrow(words_in, "n long").agg(F.sum("n").alias("n")).first().n
@@ -207,17 +232,17 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, s: Settings
         for _, group in runs(batches, 1):
             kind, bucket = group.column("kind").to_numpy(), group.column("bucket").to_numpy()
             values = group.column("value").combine_chunks()
-            whole = [values[i] for i in np.flatnonzero(kind == ROWS).tolist()]
             sums = {}
             for k in (WORDS, BIGRAMS):
                 at = np.flatnonzero(kind == k)
-                parts = [_unpacked(values[i]) for i in at[np.argsort(bucket[at])].tolist()]
-                sums[k] = [np.concatenate([p.column(c).to_numpy() for p in parts]) for c in range(parts[0].num_columns)] if parts else [np.zeros(0)] * 2
+                parts = [_unpack(values[i]) for i in at[np.argsort(bucket[at])].tolist()]
+                sums[k] = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0)] * 2
+            whole, row = (np.flatnonzero(kind == k) for k in (ROWS, IDS))
             if len(whole) != 1:
                 raise RuntimeError("the documents came in another order when read again: stage them first")
-            row = _unpacked(whole[0])
-            ids, known, word, starts = (row.column(i).values.to_numpy(zero_copy_only=False) if i else row.column(0).values for i in range(4))
-            block = Block(known, word.astype(np.int64), starts)
+            ids = _unpacked(values[row[0]]).column(0)
+            steps, word, starts = _unpack(values[whole[0]])
+            block = Block(np.cumsum(steps, dtype=np.uint64), word.astype(np.int64), starts)
             if len(sums[WORDS][0]) != len(block.known) or len(sums[BIGRAMS][0]) != len(block.keys):
                 raise RuntimeError("the documents came in another order when read again: stage them first")
             n = np.diff(starts)
