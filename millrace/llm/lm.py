@@ -253,5 +253,5 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, s: Settings
 
     asked = _questions(rows, n_buckets, False, s).unionByName(of_target)
     given = asked.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answers, GIVEN)
-    return (_packed_rows(rows, s).unionByName(given).repartition("block").sortWithinPartitions("block")
+    return (_packed_rows(rows, s).unionByName(given).repartition(n_buckets, "block").sortWithinPartitions("block")
             .mapInArrow(scored, "doc_id long, n_words long, score double"))
