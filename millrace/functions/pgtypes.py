@@ -172,3 +172,27 @@ def json_literal(oid: Column, text: Column) -> Column:
             .when(oid.isin(JSON, JSONB), json_embed(text))
             .when(oid.isin(*ARRAY_ELEMENT), pg_array_json(text, element_oid))
             .otherwise(bind(as_text, json_quote)))
+
+
+def json_literal_of(oid: int, text: Column) -> Column:
+    """``json_literal`` for a type known when the plan is made: only that type's expression."""
+    quoted = lambda iso: F.concat(F.lit('"'), iso, F.lit('"'))  # noqa: E731  text that needs no escapes
+    if oid in (INT2, INT4):
+        return pg_int(text)
+    if oid in (FLOAT4, FLOAT8):
+        return pg_float(text)
+    if oid == BOOL:
+        return pg_bool(text)
+    if oid in (JSON, JSONB):
+        return json_embed(text)
+    if oid in ARRAY_ELEMENT:
+        return pg_array_json(text, F.lit(ARRAY_ELEMENT[oid]))
+    if oid == TIMESTAMP:
+        return quoted(pg_timestamp_iso(text))
+    if oid == TIMESTAMPTZ:
+        return quoted(pg_timestamptz_iso(text))
+    if oid == BYTEA:
+        return quoted(pg_bytea_b64(text))
+    if oid == INTERVAL:
+        return bind(pg_interval_iso(text), json_quote)
+    return json_quote(text)

@@ -14,8 +14,8 @@ from .skew import salted_join
 
 ANCHOR = ["kind", "schema_name", "table_name", "pk"]
 CLASS = ["policy_id", "version"]
-# A policy or grant row is small (a table name and a column list).
-BROADCAST_POLICIES = 20_000
+# Policy versions, or grants, of up to so many bytes in all are joined by broadcast.
+BROADCAST_POLICIES = 8 << 20
 # fixed value: most changes one event may carry
 MAX_CHANGES = 10_000
 
@@ -189,7 +189,7 @@ def wildcard_totals(tables: DataFrame, subs: DataFrame) -> DataFrame:
 
 # ---- policies ----------------------------------------------------------------------
 
-def policy_asof(rows: DataFrame, versions: DataFrame) -> DataFrame:
+def policy_asof(rows: DataFrame, versions: DataFrame, broadcast: int = BROADCAST_POLICIES) -> DataFrame:
     """Add the policy version in force: the newest with ``refresh_lsn < commit_lsn``.
 
     Versions become position intervals, with one of no version in front of the first. Every row
@@ -202,7 +202,7 @@ def policy_asof(rows: DataFrame, versions: DataFrame) -> DataFrame:
         "policy_id", F.lit(None).cast(versions.schema["version"].dataType).alias("version"),
         F.lit(-(1 << 62)).cast("long").alias("_from"), "_to")
     spans = spans.unionByName(before)
-    if fits(versions, BROADCAST_POLICIES):
+    if fits(versions, broadcast):
         joined = rows.join(F.broadcast(spans), "policy_id", "left")
     else:
         joined = salted_join(rows, spans, ["policy_id"], TX, how="left")
@@ -210,8 +210,8 @@ def policy_asof(rows: DataFrame, versions: DataFrame) -> DataFrame:
     return joined.filter(F.col("_from").isNull() | inside).drop("_from", "_to")
 
 
-def _with_columns(changes: DataFrame, grants: DataFrame) -> DataFrame:
-    if fits(grants, BROADCAST_POLICIES):
+def _with_columns(changes: DataFrame, grants: DataFrame, broadcast: int) -> DataFrame:
+    if fits(grants, broadcast):
         return changes.join(F.broadcast(grants), [*CLASS, "table_name"])
     return salted_join(changes, grants, [*CLASS, "table_name"], [*TX, "seq"])
 
@@ -229,10 +229,11 @@ def visible(data: Column, pk_col: Column, columns: Column) -> Column:
     return F.map_filter(data, lambda k, v: (k == pk_col) | F.array_contains(columns, k))
 
 
-def whitelisted(changes: DataFrame, grants: DataFrame, names: Column | None = None) -> DataFrame:
+def whitelisted(changes: DataFrame, grants: DataFrame, names: Column | None = None,
+                broadcast: int = BROADCAST_POLICIES) -> DataFrame:
     """Surviving changes with the granted ``columns``; the payload is not narrowed yet."""
     names = F.map_keys("data") if names is None else names
-    return _with_columns(changes, grants).filter(
+    return _with_columns(changes, grants, broadcast).filter(
         survives(F.col("op"), names, F.col("pk_col"), F.col("columns")))
 
 
@@ -242,9 +243,9 @@ def without_payload(changes: DataFrame) -> DataFrame:
                           F.when(F.col("op") == "update", F.map_keys("data")).alias("names"))
 
 
-def apply_whitelist(changes: DataFrame, grants: DataFrame) -> DataFrame:
+def apply_whitelist(changes: DataFrame, grants: DataFrame, broadcast: int = BROADCAST_POLICIES) -> DataFrame:
     """Narrow each change (carrying policy_id, version) to what its policy lists."""
-    kept = whitelisted(changes, grants)
+    kept = whitelisted(changes, grants, broadcast=broadcast)
     narrow = visible(F.col("data"), F.col("pk_col"), F.col("columns"))
     return kept.withColumn("data", F.when(F.col("op") != "delete", narrow)).drop("columns")
 

@@ -4,7 +4,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Runtime SQL settings the plans rely on; none of them fixes a partition count.
 RUNTIME_CONF = {
@@ -54,6 +54,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Proven row bound: looks at no more than ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_bytes: int) -> bool:
+    """Whether all rows of ``df``, as text, have at most ``max_bytes``: one aggregation measures them."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return (size or 0) <= max_bytes
