@@ -83,6 +83,17 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str,
     return running_sum(df, keys, order, {out: F.lit(1).cast("bigint")}, span)
 
 
+def running_max(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
+                span: int = DEFAULT_SPAN) -> DataFrame:
+    """Add ``out``: the largest ``value`` before each row (null for the first row of a key)."""
+    rows = df.withColumn("_piece", piece_of(order[0], span)).withColumn("_v", value)
+    carry = rows.groupBy(*keys, "_piece").agg(F.max("_v").alias("_tail"))
+    carry = carry.withColumn("_carry", F.max("_tail").over(_rows_before(keys))).drop("_tail")
+    here = _inside(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_v", F.max("_v").over(here))
+    return _attach(rows, carry, keys).withColumn(out, F.greatest("_v", "_carry")).drop("_v", "_carry")
+
+
 def with_lookback(df: DataFrame, order: str, reach: int, span: int) -> DataFrame:
     """Copy rows near a piece's end into the next piece, flagged ``_context``.
 

@@ -503,6 +503,14 @@ SQL["stream_breaker"] = SQL["breaker_timeline"]
 SQL["stream_mirror"] = SQL["snapshot_delta"]
 add("stream_dedupe", "", """SELECT DISTINCT 'r' || (event_id % 20) AS sub_id,
   CASE WHEN event_id % 23 = 0 AND event_id >= 20 THEN event_id - 20 WHEN event_id % 17 = 0 AND event_id >= 40 THEN event_id - 40 ELSE event_id END AS tx_id FROM events""")
+add("stream_once", "", """SELECT sub_id, tx_id, arrival, tx_id > coalesce(max(tx_id) OVER (PARTITION BY sub_id ORDER BY arrival
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS delivered
+FROM (SELECT 'r' || (event_id % 20) AS sub_id, event_id AS arrival,
+  CASE WHEN event_id % 23 = 0 AND event_id >= 20 THEN event_id - 20 WHEN event_id % 17 = 0 AND event_id >= 40 THEN event_id - 40 ELSE event_id END AS tx_id FROM events)""")
+add("stream_transactions", MSG, f"""SELECT 's' || (t.tx_id // 5000) AS session_id, t.tx_id, (t.tx_id + 1) * 256 AS commit_lsn,
+  make_timestamp(CAST(1704067200000000 + t.tx_id * 250000 AS BIGINT)) AS commit_ts, coalesce(c.n, 0) AS n_changes, c.checksum
+FROM txs t LEFT JOIN (SELECT tx_id, count(*) AS n, {check('seq', 'op', 'pk')} FROM chg WHERE NOT {BAD} GROUP BY tx_id) c ON c.tx_id = t.tx_id
+WHERE t.tx_id % 50 NOT IN (7, 9)""")
 add("stream_failure_rate", CALLS, """SELECT backend, make_timestamp(CAST((epoch_us(ts) // 3600000000 - i) * 3600000000 AS BIGINT)) AS window_start,
   count(CASE WHEN result = 'unavailable' THEN 1 END) AS failures, count(*) AS total,
   round(count(CASE WHEN result = 'unavailable' THEN 1 END) / count(*), 6) AS rate

@@ -12,6 +12,8 @@ from .session import configure, fresh_path, stage
 from .sources import (assign_channels, parse_channels, parse_frames, parse_metrics_text, parse_policies,
                       read_messages, stream_messages, valid_channels, write_deliveries)
 from .streaming import jobs as S
+from .streaming.assemble import read_transactions, stream_transactions as stream_tx_job
+from .streaming.carry import Carry
 from .streaming.breaker import BreakerConfig, breaker_states, read_timeline, stream_breaker as stream_breaker_job
 
 LSN_SPAN = 1 << 18
@@ -590,6 +592,8 @@ def _files(out):
 
 def _thirds(df, col):
     low, top = df.agg(F.min(col), F.max(col)).first()
+    if low is None:
+        return [df] * 3
     cuts = [low - 1, *[low + (top - low) * i // 3 for i in (1, 2)], top]
     return [df.filter((F.col(col) > F.lit(a)) & (F.col(col) <= F.lit(b))) for a, b in zip(cuts, cuts[1:])]
 
@@ -632,9 +636,32 @@ def stream_mirror(spark, d):
 def stream_dedupe(spark, d):
     rows = W.received(spark, d).select("sub_id", *TX, "received_at", "arrival")
     out = fresh_path(spark, "deduped")
-    _replayed(_thirds(rows, "arrival"), fresh_path(spark, "received"), lambda path: _files(out)(
-        S.stream_dedupe(spark.readStream.schema(rows.schema).parquet(path), "received_at", "14 days")))
-    return spark.read.parquet(out).select("sub_id", "tx_id")
+    _replayed(_thirds(rows, "arrival"), fresh_path(spark, "received"), lambda path: S.stream_dedupe(
+        spark.readStream.schema(rows.schema).parquet(path), "received_at", "14 days", out))
+    return Carry(spark, out).whole("events", rows.schema).select("sub_id", "tx_id")
+
+
+@query
+def stream_once(spark, d):
+    """Every arrival, with whether it was delivered or found to be a repeat or out of commit order."""
+    rows = W.received(spark, d).select("sub_id", *TX, "received_at", "arrival")
+    out = fresh_path(spark, "once")
+    _replayed(_thirds(rows, "arrival"), fresh_path(spark, "received"), lambda path: S.stream_once(
+        spark.readStream.schema(rows.schema).parquet(path), out))
+    parts = [Carry(spark, out).whole(name, rows.schema).select("sub_id", "tx_id", "arrival", F.lit(name == "events").alias("delivered"))
+             for name in ("events", "repeats")]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def stream_transactions(spark, d):
+    """Transactions of the log with faults, typed and assembled by micro-batches."""
+    out = fresh_path(spark, "transactions")
+    _replayed(_thirds(messages_of(spark, d, dirty=True), "seq"), fresh_path(spark, "log"),
+              lambda path: stream_tx_job(stream_messages(spark, path), out, "365 days", W.SPAN))
+    transactions, changes = read_transactions(spark, out)
+    content = changes.groupBy(*TX).agg(checksum("seq", "op", "pk"))
+    return transactions.join(content, TX, "left").select("session_id", "tx_id", big("commit_lsn"), "commit_ts", big("n_changes"), "checksum")
 
 
 def _call_slices(spark, d):

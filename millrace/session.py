@@ -58,3 +58,26 @@ def fits(df: DataFrame, max_bytes: int) -> bool:
     """Whether all rows of ``df``, as text, have at most ``max_bytes``: one aggregation measures them."""
     size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
     return (size or 0) <= max_bytes
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _file_system(spark, path)
+    return system.exists(where)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Remove files or folders of finished work; one that is gone already is fine."""
+    for path in paths:
+        system, where = _file_system(spark, path)
+        system.delete(where, True)
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Remove what ``stage`` wrote for frames that are no longer read."""
+    for df in frames:
+        remove(df.sparkSession, *{os.path.dirname(f) for f in df.inputFiles()})
