@@ -8,7 +8,7 @@ pairs, far more numerous, are only built where a result needs one row for each.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schemas import TX
-from ..session import fits
+from ..session import fits, stage
 from . import chunked
 from .skew import salted_join
 
@@ -180,6 +180,28 @@ def start_totals(changes: DataFrame, subs: DataFrame, span: int) -> DataFrame:
         "n_after + n_before > 0")
 
 
+def change_totals(changes: DataFrame, subs: DataFrame, span: int) -> DataFrame:
+    """``expand_tx`` of the live matches by subscription, without its rows: transactions, changes in the
+    subscription's schema that come with them, and those of them on its anchor.
+
+    Changes are counted once per transaction and anchor; running totals along each anchor's log are read off
+    where a subscription starts and ends.
+    """
+    touched = stage(touched_rows(changes), "touched")
+    tables = touched_tables(touched)
+    met = met_anchors(touched, tables, subs)
+    # per transaction and schema, and of that per table, both from the rows already counted
+    per_schema = touched.groupBy(*TX, "schema_name").agg(F.sum("n").alias("n_changes"))
+    per_row = touched.select(*TX, "schema_name", "table_name", F.col("pk").alias("_pk"), F.lit("exact").alias("kind"), F.col("n").alias("n_own"))
+    per_table = touched.groupBy(*TX, "schema_name", "table_name").agg(F.sum("n").alias("n_own")).select(
+        *TX, "schema_name", "table_name", F.lit("").alias("_pk"), F.lit("wildcard").alias("kind"), "n_own")
+    rows = met.join(per_row.unionByName(per_table), [*TX, *LOG_KEYS]).join(per_schema, [*TX, "schema_name"])
+    values = {"n": F.lit(1).cast("bigint"), "changes": F.col("n_changes"), "own": F.col("n_own")}
+    found = totals_along(rows, by_log(subs).withColumn("last_lsn", F.col("end_lsn")), LOG_KEYS, values, span)
+    return found.select("sub_id", "kind", within("n").alias("n_tx"), within("changes").alias("n_changes"),
+                        within("own").alias("n_anchor")).filter("n_tx > 0")
+
+
 def wildcard_totals(tables: DataFrame, subs: DataFrame) -> DataFrame:
     """``match_wildcard`` by subscription: transactions are counted once per table."""
     anchors = ["schema_name", "table_name"]

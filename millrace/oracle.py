@@ -293,6 +293,33 @@ fr AS (SELECT s.sub_id, s.tx_id, c.commit_ts, c.seq, '{{"op":"' || c.op || '","t
 dl AS (SELECT sub_id, tx_id, '{{"tx_id":' || tx_id || ',"commit_ts":"' || {RFC.format('min(commit_ts)')} || '","changes":[' || string_agg(f, ',' ORDER BY seq) || ']}}' AS payload
   FROM fr GROUP BY sub_id, tx_id)"""
 add("sink_roundtrip", SINK, """SELECT sub_id, tx_id, CAST(strlen(payload) + 23 + length(CAST(tx_id AS VARCHAR)) AS BIGINT) AS frame_bytes, md5(payload) AS payload_md5 FROM dl""")
+# the same events once per policy version, then per subscription of either kind
+SINK_ALL = SINK.replace(" AND o.kind = 'exact'),", """),
+cls AS (SELECT DISTINCT tx_id, policy_id, schema_name, version FROM sent),""").split("seen AS (")[0] + f"""
+aseen AS (SELECT s.tx_id, s.policy_id, s.version, c.seq, string_agg('"' || c.col || '":' || c.value, ',' ORDER BY c.col) AS d
+  FROM cls s JOIN gc g ON g.policy_id = s.policy_id AND g.version = s.version
+  JOIN cell c ON c.tx_id = s.tx_id AND c.schema_name = s.schema_name AND c.table_name = g.table_name
+    AND (c.col = 'id' OR list_contains(g.cols, c.col)) GROUP BY s.tx_id, s.policy_id, s.version, c.seq),
+afr AS (SELECT s.tx_id, s.policy_id, s.version, s.schema_name, c.commit_ts, c.seq, '{{"op":"' || c.op || '","table":"' || c.table_name || '","pk":"' || c.pk || '"'
+    || coalesce(',"data":{{' || d.d || '}}', '') || '}}' AS f
+  FROM cls s JOIN pol g ON g.policy_id = s.policy_id AND g.version = s.version
+  JOIN chg c ON c.tx_id = s.tx_id AND c.schema_name = s.schema_name AND c.table_name = g.table_name AND (c.op <> 'update' OR g.upd)
+  LEFT JOIN aseen d ON d.tx_id = s.tx_id AND d.policy_id = s.policy_id AND d.version = s.version AND d.seq = c.seq),
+adl AS (SELECT tx_id, policy_id, version, schema_name, '{{"tx_id":' || tx_id || ',"commit_ts":"' || {RFC.format('min(commit_ts)')} || '","changes":[' || string_agg(f, ',' ORDER BY seq) || ']}}' AS payload
+  FROM afr GROUP BY tx_id, policy_id, version, schema_name),
+amd AS (SELECT tx_id, policy_id, version, schema_name, strlen(payload) + 23 + length(CAST(tx_id AS VARCHAR)) AS frame_bytes, md5(payload) AS payload_md5 FROM adl)"""
+add("sink_all", SINK_ALL, f"""SELECT s.sub_id, count(*) AS n_events, CAST(sum(a.frame_bytes) AS BIGINT) AS frame_bytes, {check('a.tx_id', 'a.payload_md5')}
+FROM sent s JOIN amd a ON a.tx_id = s.tx_id AND a.policy_id = s.policy_id AND a.version = s.version AND a.schema_name = s.schema_name GROUP BY s.sub_id""")
+SQL["stream_feed"] = SQL["sink_all"]
+add("co_tx_all", MATCH, """, per AS (SELECT tx_id, schema_name, count(*) AS n FROM chg GROUP BY ALL),
+own AS (SELECT tx_id, schema_name, table_name, pk, count(*) AS n FROM chg GROUP BY ALL),
+ownt AS (SELECT tx_id, schema_name, table_name, count(*) AS n FROM chg GROUP BY ALL)
+SELECT e.sub_id, e.kind, count(*) AS n_tx, CAST(sum(p.n) AS BIGINT) AS n_changes,
+  CAST(sum(CASE WHEN e.kind = 'exact' THEN o.n ELSE t.n END) AS BIGINT) AS n_anchor
+FROM elig e JOIN per p ON p.tx_id = e.tx_id AND p.schema_name = e.schema_name
+JOIN ownt t ON t.tx_id = e.tx_id AND t.schema_name = e.schema_name AND t.table_name = e.table_name
+LEFT JOIN own o ON o.tx_id = e.tx_id AND o.schema_name = e.schema_name AND o.table_name = e.table_name AND o.pk = e.pk
+WHERE e.lsn > e.start_lsn AND (e.end_lsn IS NULL OR e.lsn <= e.end_lsn) GROUP BY e.sub_id, e.kind""")
 add("whitelist", SINK, """SELECT g.policy_id, g.version, c.table_name, c.op, x.col, count(*) AS n, min(x.value) AS low, max(x.value) AS high
 FROM chg c JOIN ver v ON c.lsn > v.lo AND (v.hi IS NULL OR c.lsn <= v.hi)
 JOIN pol p ON p.version = v.version AND p.table_name = c.table_name AND (c.op <> 'update' OR p.upd)

@@ -10,8 +10,8 @@ from .plans import fanout
 from .schemas import TX
 from .session import configure, fresh_path, stage
 from .sources import (assign_channels, parse_channels, parse_frames, parse_metrics_text, parse_policies,
-                      read_messages, stream_messages, valid_channels, write_deliveries)
-from .streaming import jobs as S
+                      read_dispatch, read_messages, stream_messages, valid_channels, write_deliveries, write_dispatch)
+from .streaming import jobs as S, route as T
 from .streaming.assemble import read_transactions, stream_transactions as stream_tx_job
 from .streaming.carry import Carry
 from .streaming.breaker import BreakerConfig, breaker_states, read_timeline, stream_breaker as stream_breaker_job
@@ -49,6 +49,10 @@ def big(name: str, alias: str | None = None):
     return F.col(name).cast("bigint").alias(alias or name)
 
 
+def big_sum(name: str):
+    return F.sum(name).cast("bigint").alias(name)
+
+
 def routed(spark, d, **options) -> fanout.Routed:
     versions, grants = W.policies(spark, d)
     return fanout.route(changes_of(spark, d), subs_of(spark, d), versions, grants,
@@ -336,9 +340,10 @@ def terminal_events(spark, d):
 @query
 def encode_events(spark, d):
     changes, caps = changes_of(spark, d), (["schema_name"], W.MAX_CHANGES)
-    events = D.encode_events(changes, *caps).select(
+    encoded = D.encode(changes, *caps)
+    events = encoded.events().select(
         "tx_id", "schema_name", "frame_bytes", F.md5("payload").alias("payload_md5"), F.lit(None).cast("string").alias("reason"))
-    rejected = D.rejected_events(changes, *caps).select(
+    rejected = encoded.rejected().select(
         "tx_id", "schema_name", "frame_bytes", F.lit(None).cast("string").alias("payload_md5"), "reason")
     return events.unionByName(rejected)
 
@@ -365,6 +370,32 @@ def sink_roundtrip(spark, d):
     return spark.read.parquet(path).select("sub_id", "tx_id", "frame_bytes", F.md5("payload").alias("payload_md5"))
 
 
+def event_totals(received):
+    """Per subscription what it was sent: events, bytes and their content."""
+    return received.groupBy("sub_id").agg(F.count("*").alias("n_events"), F.sum("frame_bytes").cast("bigint").alias("frame_bytes"),
+                                          checksum("tx_id", "payload_md5"))
+
+
+def _digested(events):
+    return events.withColumn("payload_md5", F.md5("payload")).drop("payload")
+
+
+@query
+def sink_all(spark, d):
+    """Events of all subscriptions, row-level and table-level, written with each payload once and read back."""
+    versions, grants = W.policies(spark, d)
+    sent = fanout.dispatch(changes_of(spark, d), subs_of(spark, d), versions, grants, W.MAX_CHANGES)
+    path = fresh_path(spark, "dispatch")
+    write_dispatch(sent.received(), sent.events, path)
+    return event_totals(_digested(read_dispatch(spark, path)))
+
+
+@query
+def co_tx_all(spark, d):
+    """What ``co_tx`` gives, for all subscriptions, counted."""
+    return R.change_totals(changes_of(spark, d), subs_of(spark, d), LSN_SPAN)
+
+
 # ---- mirrors -----------------------------------------------------------------------
 
 @query
@@ -618,10 +649,21 @@ def stream_assemble(spark, d):
 def stream_route(spark, d):
     changes, out = changes_of(spark, d), fresh_path(spark, "routed")
     _replayed(_thirds(changes, "commit_lsn"), fresh_path(spark, "changes"),
-              lambda path: S.stream_route(spark.readStream.schema(changes.schema).parquet(path), lambda s: subs_of(s, d),
-                                          lambda s: W.policies(s, d), out, W.MAX_CHANGES))
-    return U.outcome_counts(S.read_outcomes(spark, out), ["kind", "outcome"]).select(
-        "kind", "outcome", "n_pairs", big("n_delivered"))
+              lambda path: T.stream_route(spark.readStream.schema(changes.schema).parquet(path), lambda s: subs_of(s, d),
+                                          lambda s: W.policies(s, d), out, W.MAX_CHANGES, LSN_SPAN))
+    subs = subs_of(spark, d)
+    totals = T.read_outcomes(spark, out, subs).join(subs.select("sub_id", "kind"), "sub_id")
+    return totals.groupBy("kind", "outcome").agg(F.sum("n_pairs").alias("n_pairs"), big_sum("n_delivered"))
+
+
+@query
+def stream_feed(spark, d):
+    """``sink_all`` from the log messages, by micro-batches."""
+    out = fresh_path(spark, "feed")
+    _replayed(_thirds(messages_of(spark, d), "seq"), fresh_path(spark, "log"),
+              lambda path: T.stream_feed(stream_messages(spark, path), lambda s: subs_of(s, d), lambda s: W.policies(s, d), out,
+                                         W.MAX_CHANGES, "365 days", W.SPAN, LSN_SPAN))
+    return event_totals(_digested(T.read_deliveries(spark, out)))
 
 
 @query
