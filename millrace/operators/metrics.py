@@ -121,42 +121,92 @@ def _holds(value: Column, op: str, threshold: float) -> Column:
             "==": value == threshold, "!=": value != threshold}[op]
 
 
-def evaluate_rule(samples: DataFrame, rule: Rule) -> DataFrame:
-    """(rule, instance, ts, holds) at the sample times of the rule's metric."""
-    def series(metric: str, labels: dict) -> DataFrame:
-        rows = samples.filter(F.col("metric") == metric)
-        for name, value in labels.items():
-            rows = rows.filter(F.col("labels")[name] == value)
-        return rows.select("instance", "ts", "value")
-
-    rows = series(rule.metric, rule.labels)
-    if rule.fn != "value":
-        rows = counter_rate(rows, ["instance"], rule.range_s, rule.fn).withColumn("value", F.col("result"))
-    value, both = F.col("value"), F.lit(True)
-    if rule.other:
-        rows = rows.join(series(rule.other, {}).withColumnRenamed("value", "_other"), ["instance", "ts"])
-        if rule.divide:
-            value = F.col("value") / F.nullif(F.col("_other"), F.lit(0.0))
-        else:
-            both = _holds(F.col("_other"), rule.other_op, rule.other_threshold)
-    holds = F.coalesce(_holds(value, rule.op, rule.threshold) & both, F.lit(False))
-    return rows.select(F.lit(rule.name).alias("rule"), F.lit(rule.for_s).alias("for_s"), "instance", "ts",
-                       holds.alias("holds"))
+def _fanned(samples: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Samples once for each rule that reads them, as ``main`` or not, with their labels as text: rule (its number),
+    main, instance, labels, ts, value. Which rules a metric feeds is part of the plan: one scan serves all."""
+    def uses(metric: str) -> Column:
+        found = []
+        for i, r in enumerate(rules):
+            own = F.lit(True)
+            for name, value in r.labels.items():
+                own = own & F.coalesce(F.col("labels")[name] == value, F.lit(False))
+            if r.metric == metric:
+                found.append(F.when(own, F.struct(F.lit(i).alias("rule"), F.lit(True).alias("main"))))
+            if r.other == metric:
+                found.append(F.struct(F.lit(i).alias("rule"), F.lit(False).alias("main")))
+        return F.array(*found)
+
+    metrics = sorted({m for r in rules for m in (r.metric, r.other) if m})
+    use = F.lit(None).cast("array<struct<rule:int,main:boolean>>")
+    for m in metrics:
+        use = F.when(F.col("metric") == m, uses(m)).otherwise(use)
+    labels = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("labels"))))
+    return (samples.filter(F.col("metric").isin(*metrics)).select("instance", "ts", "value", labels.alias("labels"), F.explode(use).alias("u"))
+            .filter("u is not null").select("u.rule", "u.main", "instance", F.coalesce("labels", F.lit("{}")).alias("labels"), "ts", "value"))
+
+
+def evaluate_rules(samples: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(rule, for_s, instance, labels, ts, holds) at the sample times of each rule's metric.
+
+    A series is an instance with all its labels: counters of different labels never mix. A second metric is read
+    at the same instance and time, its largest value if it has several series there. The steps of all counters are
+    found in one pass, and each range in use is one window over the same pieces.
+    """
+    pick = lambda make: F.element_at(F.array(*[F.lit(make(r)) for r in rules]), F.col("rule") + 1)
+    rows = stage(_fanned(samples, rules), "rule-samples")  # read by the passes below, the samples once
+    beside = Window.partitionBy("rule", "instance", "ts")
+    if any(r.other for r in rules):
+        rows = rows.withColumn("_other", F.max(F.when(~F.col("main"), F.col("value"))).over(beside)).filter("main")
+    else:
+        rows = rows.withColumn("_other", F.lit(None).cast("double"))
+    rows = rows.drop("main")
+    ranges = sorted({r.range_s for r in rules if r.fn != "value"})
+    if ranges:
+        keys, reach = ["rule", "instance", "labels"], max(ranges) * MICRO
+        span = max(reach * 8, 86_400 * MICRO)
+        rows = chunked.previous(rows.withColumn("_us", _us("ts")), keys, ["_us"], ["value"], "_before", span)
+        step = F.when(F.col("value") >= F.col("_before.value"), F.col("value") - F.col("_before.value")).otherwise(F.col("value"))
+        rows = rows.withColumn("_step", F.when(F.col("_before").isNull(), 0.0).otherwise(step)).drop("_before")
+        rows = chunked.with_lookback(rows, "_us", reach, span)
+        result = F.col("value")
+        for i, r in enumerate(rules):
+            if r.fn == "value":
+                continue
+            window = Window.partitionBy(*keys, "_piece").orderBy("_us").rangeBetween(-(r.range_s * MICRO - 1), 0)
+            first, many = F.first(F.col("value")).over(window), F.count("value").over(window) > 1
+            increase = F.sum("_step").over(window) - F.first("_step").over(window)
+            seconds = (F.col("_us") - F.first("_us").over(window)) / MICRO
+            made = {"increase": increase, "rate": increase / r.range_s, "delta": F.col("value") - first,
+                    "slope": (F.col("value") - first) / F.nullif(seconds, F.lit(0.0))}[r.fn]
+            result = F.when(F.col("rule") == i, F.when(many, made)).otherwise(result)
+        rows = rows.withColumn("value", result).filter("not _context").drop("_us", "_step", "_piece", "_context")
+    holds = F.lit(False)
+    for i, r in enumerate(rules):
+        value, both = F.col("value"), F.lit(True)
+        if r.other:
+            both = F.col("_other").isNotNull()
+            if r.divide:
+                value = F.col("value") / F.nullif(F.col("_other"), F.lit(0.0))
+            else:
+                both = _holds(F.col("_other"), r.other_op, r.other_threshold)
+        holds = F.when(F.col("rule") == i, _holds(value, r.op, r.threshold) & both).otherwise(holds)
+    absent = F.lit(False)  # a rule on two metrics has a verdict only where both have a sample
+    for i, r in enumerate(rules):
+        if r.other:
+            absent = absent | ((F.col("rule") == i) & F.col("_other").isNull())
+    return rows.filter(~absent).select(pick(lambda r: r.name).alias("rule"), pick(lambda r: r.for_s).alias("for_s"), "instance", "labels", "ts",
+                                       F.coalesce(holds, F.lit(False)).alias("holds"))
 
 
 def alert_episodes(samples: DataFrame, rules: list[Rule], scrape_s: int) -> DataFrame:
-    """Episodes that fire: the condition held at every sample for at least ``for`` seconds.
+    """Episodes that fire, by rule and series: the condition held at every sample for at least ``for`` seconds.
 
     A gap of more than two scrape intervals between samples ends an episode.
     """
-    rows = None
-    for rule in rules:
-        one = evaluate_rule(samples, rule)
-        rows = one if rows is None else rows.unionByName(one)
-    keys, order = ["rule", "instance"], ["_us"]
+    keys, order = ["rule", "instance", "labels"], ["_us"]
     span = 86_400 * MICRO
     # the passes below read the verdicts several times: evaluate the rules once
-    rows = stage(rows.withColumn("_us", _us("ts")), "verdicts")
+    rows = stage(evaluate_rules(samples, rules).withColumn("_us", _us("ts")), "verdicts")
     rows = chunked.previous(rows, keys, order, ["_us", "holds"], "_before", span)
     goes_on = F.col("_before.holds") & (F.col("_us") - F.col("_before._us") <= 2 * scrape_s * MICRO)
     start = F.when(F.col("holds") & ~F.coalesce(goes_on, F.lit(False)), F.col("_us"))
@@ -220,13 +270,33 @@ def steady_rate(samples: DataFrame, runs: DataFrame, floor_share: float = 0.8) -
     return cut.select("instance", rate.alias("per_s"), (rate * floor_share).alias("floor_per_s"))
 
 
-def revocation_cutoff(subs: DataFrame, versions: DataFrame, grants: DataFrame, calls: DataFrame) -> DataFrame:
+def while_open(calls: DataFrame, open_spans: DataFrame, span: int = chunked.DEFAULT_SPAN) -> DataFrame:
+    """Add ``open``: whether the call's backend had its breaker open at the call's position.
+
+    ``open_spans`` has backend, from_lsn, to_lsn (null: not closed again); those of a backend don't overlap. The last
+    opening before each call is carried forward in pieces of the positions, so a backend with most calls is spread.
+    """
+    marks = open_spans.select("backend", F.col("from_lsn").cast("long").alias("lsn"), F.struct("to_lsn").alias("_span"))
+    rows = calls.withColumn("_call", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    rows = rows.withColumn("_second", F.col("_call").isNotNull())  # an opening counts at its own position
+    rows = chunked.fill_forward(rows, ["backend"], ["lsn", "_second"], F.col("_span"), "_last", span).filter("_call = 1")
+    inside = F.col("_last").isNotNull() & (F.col("_last.to_lsn").isNull() | (F.col("lsn") < F.col("_last.to_lsn")))
+    return rows.withColumn("open", inside).drop("_call", "_span", "_second", "_last")
+
+
+def revocation_cutoff(subs: DataFrame, versions: DataFrame, grants: DataFrame, calls: DataFrame,
+                      open_spans: DataFrame | None = None, span: int = chunked.DEFAULT_SPAN) -> DataFrame:
     """Subscriptions with ``end_lsn`` and ``reason`` from permission refreshes.
 
     The first refresh after the start that no longer lists the table, or that the backend
     refused (401, 403, 404), ends it as auth_revoked; exhausted retries end it as
-    auth_unavailable. ``calls`` has sub_id, lsn, status, error, exhausted.
+    auth_unavailable, unless the breaker of their backend is open then (``open_spans``; calls
+    name their backend). ``calls`` has sub_id, lsn, status, error, exhausted.
     """
+    if open_spans is None:
+        calls = calls.withColumn("open", F.lit(False))
+    else:
+        calls = while_open(calls, open_spans, span)
     policies = subs.select("policy_id", "table_name").distinct()
     lost = (policies.join(versions, "policy_id")
             .join(grants.select("policy_id", "version", "table_name"), ["policy_id", "version", "table_name"], "left_anti")
@@ -235,7 +305,7 @@ def revocation_cutoff(subs: DataFrame, versions: DataFrame, grants: DataFrame, c
                             ["policy_id", "table_name"], ["sub_id"])
     result = auth_result(F.col("status"), F.col("error"))
     reason = (F.when(result.isin("unauthorized", "forbidden", "not_found"), "auth_revoked")
-              .when((result == "unavailable") & F.col("exhausted"), "auth_unavailable"))
+              .when((result == "unavailable") & F.col("exhausted") & ~F.col("open"), "auth_unavailable"))
     failed = calls.withColumn("reason", reason).filter("reason is not null").join(
         subs.select("sub_id", "start_lsn"), "sub_id")
     cut = (by_policy.withColumn("reason", F.lit("auth_revoked")).select("sub_id", "start_lsn", "lsn", "reason")

@@ -119,6 +119,29 @@ def session_stats(sessions: DataFrame) -> DataFrame:
         F.min(lifetime_s()).alias("min_s"), F.max(lifetime_s()).alias("max_s"))
 
 
+# Entries of a lifetime sketch; ranks read from merged sketches are off by less than RANK_ERROR with 99 % confidence.
+SKETCH_K, RANK_ERROR = 800, 0.005
+
+
+def session_sketches(sessions: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """(day, reason, n, sketch): quantile sketches of the lifetimes of sessions that ended on a day.
+
+    Sketches merge: kept per day, they give the percentiles of any span of days without its sessions. Each has
+    some thousands of bytes, whatever the number of sessions.
+    """
+    reason = F.when(F.coalesce("reason", F.lit("")) == "", "client_closed").otherwise(F.col("reason"))
+    ended = sessions.filter("disconnected_at is not null and connected_at is not null")
+    return ended.groupBy(F.to_date("disconnected_at").alias("day"), reason.alias("reason")).agg(
+        F.count("*").alias("n"), F.kll_sketch_agg_double(lifetime_s(), F.lit(k)).alias("sketch"))
+
+
+def merged_percentiles(sketches: DataFrame, by: list[str], qs: list[float], k: int = SKETCH_K) -> DataFrame:
+    """(…, n, q, value) of the merged ``sketches``; a value's rank is within ``RANK_ERROR`` of ``q``."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", k).alias("_s"))
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.kll_sketch_get_quantile_double("_s", F.lit(q)).alias("value")) for q in qs]))
+    return merged.select(*by, "n", each.alias("_q")).select(*by, "n", "_q.*")
+
+
 def feed_topn(rows: DataFrame, channel: list[str], order: list[str], n: int = FEED_LENGTH) -> DataFrame:
     """Latest ``n`` rows per channel with ``place`` and the number left out.
 

@@ -487,6 +487,26 @@ cut AS (SELECT sub_id, lsn, reason FROM (SELECT c.*, row_number() OVER (PARTITIO
   CASE WHEN s.end_lsn IS NULL OR c.lsn <= s.end_lsn THEN c.reason END AS reason FROM sub s LEFT JOIN cut c ON c.sub_id = s.sub_id""")
 
 
+SUBX = SUB.replace("sub AS (SELECT", "subx AS (SELECT")
+CUT = """
+lost AS (SELECT s.sub_id, v.lo AS lsn, 'auth_revoked' AS reason FROM subx s, ver v
+  WHERE NOT EXISTS (SELECT 1 FROM pol p WHERE p.policy_id = s.policy_id AND p.version = v.version AND p.table_name = s.table_name)),
+top AS (SELECT max(o_orderkey // 800) AS t FROM orders),
+spans AS (SELECT DISTINCT b, o_orderkey // 800 * 200000 + b * 10000 AS f, CASE WHEN o_orderkey // 800 < t THEN o_orderkey // 800 * 200000 + b * 10000 + 60000 END AS e
+  FROM orders, top, (VALUES (0), (1), (2), (3)) AS v(b)),
+refused AS (SELECT 'c' || o_custkey AS sub_id, o_orderkey * 250 AS lsn, o_orderkey % 4 AS b,
+  CASE WHEN o_custkey % 6 = 0 THEN 'auth_revoked' WHEN o_custkey % 6 = 1 AND o_orderkey % 2 = 0 THEN 'auth_unavailable' END AS reason FROM orders),
+called AS (SELECT r.sub_id, r.lsn, r.reason FROM refused r WHERE r.reason = 'auth_revoked'
+  UNION ALL SELECT r.sub_id, r.lsn, r.reason FROM refused r LEFT JOIN spans p ON p.b = r.b AND r.lsn >= p.f AND (p.e IS NULL OR r.lsn < p.e)
+  WHERE r.reason = 'auth_unavailable' AND p.b IS NULL),
+cut AS (SELECT sub_id, lsn FROM (SELECT c.*, row_number() OVER (PARTITION BY c.sub_id ORDER BY c.lsn, c.reason) AS r
+  FROM (SELECT * FROM lost UNION ALL SELECT * FROM called) c JOIN subx s ON s.sub_id = c.sub_id WHERE c.lsn > s.start_lsn) WHERE r = 1),
+sub AS (SELECT s.sub_id, s.kind, s.table_name, s.pk, s.start_lsn, s.k, s.schema_name, s.policy_id,
+  CASE WHEN c.lsn IS NULL THEN s.end_lsn ELSE least(s.end_lsn, c.lsn) END AS end_lsn FROM subx s LEFT JOIN cut c ON c.sub_id = s.sub_id)"""
+add("revocation_routing", ",".join([CHG, SUBX, POLICY, CUT, ELIG, OUT]), """SELECT sub_id, outcome, count(*) AS n_pairs,
+  CAST(sum(n_delivered) AS BIGINT) AS n_delivered, CAST(sum(n_beyond) AS BIGINT) AS n_beyond_anchor FROM outc GROUP BY sub_id, outcome""")
+
+
 # ---- permission backend and streams ------------------------------------------------
 
 add("breaker_timeline", CALLS + """,
@@ -530,6 +550,8 @@ SQL["stream_breaker"] = SQL["breaker_timeline"]
 SQL["stream_mirror"] = SQL["snapshot_delta"]
 add("stream_dedupe", "", """SELECT DISTINCT 'r' || (event_id % 20) AS sub_id,
   CASE WHEN event_id % 23 = 0 AND event_id >= 20 THEN event_id - 20 WHEN event_id % 17 = 0 AND event_id >= 40 THEN event_id - 40 ELSE event_id END AS tx_id FROM events""")
+add("session_percentiles", SES, """SELECT reason, q, count(*) AS n, true AS within_error
+FROM ses, (VALUES ('0.5'), ('0.95'), ('0.99')) AS v(q) GROUP BY reason, q""")
 add("stream_once", "", """SELECT sub_id, tx_id, arrival, tx_id > coalesce(max(tx_id) OVER (PARTITION BY sub_id ORDER BY arrival
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS delivered
 FROM (SELECT 'r' || (event_id % 20) AS sub_id, event_id AS arrival,

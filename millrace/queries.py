@@ -522,6 +522,21 @@ def session_stats(spark, d):
         "reason", "n", *[F.round(c, 4).alias(c) for c in ("mean_s", "min_s", "max_s")])
 
 
+@query
+def session_percentiles(spark, d):
+    """p50, p95 and p99 of session lengths from merged daily sketches, with whether the sessions themselves
+    place each value at its rank, within the sketches' error."""
+    sessions = W.sessions(spark, d)
+    days = stage(U.session_sketches(sessions), "sketches")
+    found = U.merged_percentiles(days, ["reason"], [0.5, 0.95, 0.99])
+    length = sessions.select("reason", U.lifetime_s().alias("s"))
+    ranks = length.join(F.broadcast(found), "reason").groupBy("reason", "q", "n", "value").agg(
+        F.count(F.when(F.col("s") < F.col("value"), 1)).alias("below"), F.count(F.when(F.col("s") <= F.col("value"), 1)).alias("upto"))
+    slack = F.lit(U.RANK_ERROR) * F.col("n") + 1
+    near = (F.col("below") <= F.col("q") * F.col("n") + slack) & (F.col("upto") >= F.col("q") * F.col("n") - slack)
+    return ranks.select("reason", F.col("q").cast("string").alias("q"), "n", near.alias("within_error"))
+
+
 @query
 def feed_topn(spark, d):
     rows = users_of(spark, d).withColumn("channel", F.concat(F.lit("users:"), (F.col("pk").cast("bigint") % 12).cast("string")))
@@ -599,6 +614,15 @@ def revocation(spark, d):
     return cut.select("sub_id", big("end_lsn"), "reason")
 
 
+@query
+def revocation_routing(spark, d):
+    """Outcomes of the routing plan when permission refreshes end subscriptions, the breaker considered."""
+    versions, grants = W.policies(spark, d)
+    cut = X.revocation_cutoff(subs_of(spark, d), versions, grants, W.refresh_calls(spark, d), W.open_spans(spark, d), LSN_SPAN)
+    routed = fanout.route(changes_of(spark, d), stage(cut.drop("reason"), "revoked"), versions, grants, max_changes=W.MAX_CHANGES)
+    return fanout.outcome_totals(routed, LSN_SPAN)
+
+
 # ---- permission backend and streams ------------------------------------------------
 
 BREAKER = BreakerConfig(bucket_s=3600, floor=20, threshold=0.25, cooldown_s=7200)

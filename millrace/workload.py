@@ -481,4 +481,14 @@ def refresh_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(k % 6 == 0, 403).when(k % 6 == 1, 503).otherwise(200)
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("c"), k.cast("string")).alias("sub_id"), (F.col("o_orderkey") * 250).alias("lsn"),
-        status.alias("status"), F.lit(None).cast("string").alias("error"), (F.col("o_orderkey") % 2 == 0).alias("exhausted"))
+        F.concat(F.lit("b"), (F.col("o_orderkey") % 4).cast("string")).alias("backend"), status.alias("status"), F.lit(None).cast("string").alias("error"), (F.col("o_orderkey") % 2 == 0).alias("exhausted"))
+
+
+def open_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of positions in which each of four backends has its breaker open; the last ones stay open."""
+    start = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 800").alias("x")).distinct()
+    top = start.agg(F.max("x")).scalar()
+    from_lsn = F.col("x") * 200_000 + F.col("b") * 10_000
+    return start.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(3)))).select(
+        F.concat(F.lit("b"), F.col("b").cast("string")).alias("backend"), from_lsn.alias("from_lsn"),
+        F.when(F.col("x") < top, from_lsn + 60_000).alias("to_lsn"))

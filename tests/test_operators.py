@@ -1,6 +1,7 @@
 """Encoding, mirrors, loaders and time series on small literal frames."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -121,6 +122,68 @@ def test_episodes_need_time_and_no_gap(spark):
     assert [(r.n_samples, r.started_at) for r in got] == [(3, base)]
 
 
+def test_rules_read_one_scan_and_keep_label_sets_apart(spark, tmp_path):
+    base = datetime.datetime(2024, 1, 1)
+    rows = []
+    for i in range(6):  # two counters on one instance, one far above the other; a filtered label; a second metric
+        at = base + datetime.timedelta(seconds=60 * i)
+        for shard, value in (("a", 1000.0), ("b", 5.0 * i)):
+            rows.append(("m", "i", at, value, {"reason": "slow", "shard": shard}))
+        rows += [("m", "i", at, 900.0 * i, {"reason": "other"}), ("used", "i", at, 9.0, {}), ("size", "i", at, 10.0 if i % 2 else 0.0, {}),
+                 ("flag", "j", at, 1.0, None), ("noise", "i", at, 1.0, {})]
+    rows.append(("used", "lone", base, 9.0, {}))
+    df = spark.createDataFrame(rows, "metric string, instance string, ts timestamp, value double, labels map<string,string>")
+    df.write.parquet(str(tmp_path / "samples"))
+    rules = [X.Rule("grows", "m", ">", 4, 60, "increase", 120, {"reason": "slow"}), X.Rule("full", "used", ">", 0.8, 0, other="size", divide=True),
+             X.Rule("both", "used", ">", 8, 0, other="size", other_op=">", other_threshold=5), X.Rule("on", "flag", "==", 1, 300)]
+    verdicts = X.evaluate_rules(spark.read.parquet(str(tmp_path / "samples")), rules)
+    assert "samples" not in verdicts._jdf.queryExecution().analyzed().toString().replace("rule-samples", "")
+    assert all("rule-samples" in f for f in verdicts.inputFiles())
+    got = {}
+    for r in verdicts.collect():
+        got.setdefault((r.rule, r.instance, r.labels), []).append(((r.ts - base).seconds // 60, r.holds))
+    a, b = '{"reason":"slow","shard":"a"}', '{"reason":"slow","shard":"b"}'
+    assert sorted(got) == sorted([("grows", "i", a), ("grows", "i", b), ("full", "i", "{}"), ("both", "i", "{}"), ("on", "j", "{}")])
+    assert [h for _, h in sorted(got["grows", "i", a])] == [False] * 6
+    assert [h for _, h in sorted(got["grows", "i", b])] == [False] + [True] * 5
+    assert [h for _, h in sorted(got["full", "i", "{}"])] == [False, True] * 3 == [h for _, h in sorted(got["both", "i", "{}"])]
+    episodes = X.alert_episodes(df, rules, 60).collect()
+    assert sorted((r.rule, r.n_samples) for r in episodes) == [("both", 1)] * 3 + [("full", 1)] * 3 + [("grows", 5), ("on", 6)]
+
+
+def test_exhausted_retries_end_nothing_while_the_breaker_is_open(spark):
+    calls = spark.createDataFrame([(f"s{i}", lsn, "b" if i % 2 else "c", 503, None, True) for i, lsn in enumerate([4, 5, 9, 10, 30, 31, 40])],
+                                  "sub_id string, lsn long, backend string, status int, error string, exhausted boolean")
+    spans = spark.createDataFrame([("b", 5, 10), ("c", 8, 9), ("b", 31, None)], "backend string, from_lsn long, to_lsn long")
+    for span in (4, 1000):
+        assert {r.sub_id: r.open for r in X.while_open(calls, spans, span).collect()} == {
+            "s0": False, "s1": True, "s2": False, "s3": False, "s4": False, "s5": True, "s6": False}
+    subs = spark.createDataFrame([(f"s{i}", "t", 0, None, 1) for i in range(7)], "sub_id string, table_name string, start_lsn long, end_lsn long, policy_id long")
+    versions = spark.createDataFrame([(1, 1, -1)], "policy_id long, version long, refresh_lsn long")
+    grants = spark.createDataFrame([(1, 1, "t", ["a"])], "policy_id long, version long, table_name string, columns array<string>")
+    cut = {r.sub_id: r.end_lsn for r in X.revocation_cutoff(subs, versions, grants, calls, spans).collect()}
+    assert cut == {"s0": 4, "s1": None, "s2": 9, "s3": 10, "s4": 30, "s5": None, "s6": 40}
+
+
+def test_merged_sketches_give_percentiles_within_their_error(spark):
+    rng = random.Random(2)
+    base = datetime.datetime(2024, 1, 1)
+    rows = []
+    for i in range(30_000):
+        start = base + datetime.timedelta(seconds=rng.randrange(20 * 86_400))
+        rows.append((start, start + datetime.timedelta(seconds=int(rng.paretovariate(1) * 10)), rng.choice(["x", "y", None])))
+    rows += [(base, None, "x")]
+    df = spark.createDataFrame(rows, "connected_at timestamp, disconnected_at timestamp, reason string").repartition(9)
+    days = U.session_sketches(df)
+    assert days.count() > 40
+    found = U.merged_percentiles(days, ["reason"], [0.5, 0.95, 0.99]).collect()
+    assert {r.reason for r in found} == {"x", "y", "client_closed"} and len(found) == 9
+    for r in found:
+        own = sorted((b - a).total_seconds() for a, b, x in rows if b and (x or "client_closed") == r.reason)
+        low, high = sum(v < r.value for v in own), sum(v <= r.value for v in own)
+        assert r.n == len(own) and low - 1 <= (r.q + U.RANK_ERROR) * r.n and high + 1 >= (r.q - U.RANK_ERROR) * r.n
+
+
 def test_breaker_walk():
     b = Breaker(30)
     assert b.feed(0, False, None) == [] and b.feed(5, True, None) == [1]
