@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import stage
 from . import chunked
 from .skew import salted_join
 
@@ -65,21 +66,47 @@ def snapshot_delta(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
     return standing(latest_cells(base.unionByName(cells(later))))
 
 
-def entity_view(mirror: DataFrame, root_table: str, children: dict[str, str]) -> DataFrame:
-    """Mirrored roots with the children that point at them.
+def root_keys(held: DataFrame, root_table: str, parents: dict[str, tuple[str, str]]) -> DataFrame:
+    """(schema_name, table_name, pk, root_pk) of the child rows whose chain of foreign keys ends in a root key.
 
-    ``children`` maps child table to its foreign-key column. Output: root_pk, then the
-    cells of the root itself and of each child.
+    Every row points at its parent; each round a pointer moves to where its target points, so it spans twice as
+    many steps, and a chain of tables takes rounds in the logarithm of its depth. Rows whose chain is broken, or
+    goes round in a circle, have no root.
     """
-    roots = mirror.filter(F.col("table_name") == root_table)
+    is_key, up = F.lit(False), F.lit(None).cast("string")
+    for child, (column, parent) in parents.items():
+        is_key = is_key | ((F.col("table_name") == child) & (F.col("col") == column))
+        up = F.when(F.col("table_name") == child, parent).otherwise(up)
+    at = held.filter(is_key & (F.col("value") != "null")).select(
+        *ROW, up.alias("up_table"), F.regexp_replace("value", '^"|"$', "").alias("up_pk"))
+    if any(parent != root_table for _, parent in parents.values()):
+        at, steps = stage(at, "pointers"), 1
+        on = F.col("up_table") != root_table
+        # a chain can't have more steps than there are rows on their way: what is left then goes in circles
+        while (left := at.filter(on).count()) and steps <= 2 * left:
+            ahead = at.select("schema_name", F.col("table_name").alias("up_table"), F.col("pk").alias("up_pk"),
+                              F.col("up_table").alias("_table"), F.col("up_pk").alias("_pk"))
+            moved = salted_join(at.filter(on), ahead, ["up_pk", "up_table", "schema_name"], ["pk"])
+            moved = moved.select(*ROW, F.col("_table").alias("up_table"), F.col("_pk").alias("up_pk"))
+            at, steps = stage(at.filter(~on).unionByName(moved), "pointers"), 2 * steps
+        at = at.filter(~on)
+    return at.select(*ROW, F.col("up_pk").alias("root_pk"))
+
+
+def entity_view(mirror: DataFrame, root_table: str, children: dict[str, str | tuple[str, str]]) -> DataFrame:
+    """Mirrored roots with the rows below them.
+
+    ``children`` maps a table to its foreign-key column, which points at the root table, or to (column, parent
+    table) for children of children. Output: root_pk, then the cells of the root itself and of each row below it.
+    The mirror is worked out once and read from the shared folder by the passes here.
+    """
+    parents = {c: (link, root_table) if isinstance(link, str) else link for c, link in children.items()}
+    held = stage(mirror.filter(F.col("table_name").isin(root_table, *parents)), "entity-cells")
+    roots = held.filter(F.col("table_name") == root_table)
     own = roots.select("schema_name", F.col("pk").alias("root_pk"), "table_name", "pk", "col", "value")
     keys = roots.select("schema_name", F.col("pk").alias("root_pk")).distinct()
-    is_key = F.lit(False)
-    for child, column in children.items():
-        is_key = is_key | ((F.col("table_name") == child) & (F.col("col") == column))
-    links = mirror.filter(is_key).select(*ROW, F.regexp_replace("value", '^"|"$', "").alias("root_pk"))
-    links = salted_join(links, keys, ["schema_name", "root_pk"], ["pk"], how="left_semi")
-    below = mirror.filter(F.col("table_name").isin(*children)).join(links, ROW)
+    links = salted_join(root_keys(held, root_table, parents), keys, ["schema_name", "root_pk"], ["pk"], how="left_semi")
+    below = held.filter(F.col("table_name").isin(*parents)).join(links.filter(F.col("table_name") != root_table), ROW)
     return own.unionByName(below.select(*own.columns))
 
 

@@ -355,6 +355,13 @@ SELECT root_pk, count(*) AS n_cells, {check('table_name', 'pk', 'col', 'value')}
   SELECT pk AS root_pk, table_name, pk, col, value FROM cell WHERE table_name = 'orders'
   UNION ALL SELECT CAST(okey AS VARCHAR), table_name, c.pk, col, value FROM cell c JOIN root ON root.pk = CAST(c.okey AS VARCHAR)
   WHERE table_name = 'lineitem' AND schema_name = 'public') GROUP BY root_pk""")
+add("entity_tree", CELLS + "," + USERS, f""",
+owner AS (SELECT DISTINCT c.pk, CAST(o_custkey AS VARCHAR) AS root_pk FROM cell c JOIN orders ON o_orderkey = c.okey
+  JOIN (SELECT DISTINCT pk FROM um) r ON r.pk = CAST(o_custkey AS VARCHAR) WHERE c.table_name = 'orders')
+SELECT root_pk, count(*) AS n_cells, {check('table_name', 'pk', 'col', 'value')} FROM (
+  SELECT pk AS root_pk, 'users' AS table_name, pk, col, value FROM um
+  UNION ALL SELECT o.root_pk, c.table_name, c.pk, c.col, c.value FROM cell c JOIN owner o ON o.pk = CAST(c.okey AS VARCHAR)
+  WHERE c.schema_name = 'public') GROUP BY root_pk""")
 add("field_diff", USERS, """SELECT seq, pk, col, CASE WHEN known THEN before END AS old, value FROM (
   SELECT c.*, p.seq IS NOT NULL AND (st.s IS NULL OR p.seq >= st.s) AS known, p.value AS before
   FROM (SELECT *, lag(seq) OVER (PARTITION BY pk, col ORDER BY seq) AS pseq FROM uc) c

@@ -427,6 +427,14 @@ def entity_view(spark, d):
     return view.groupBy("root_pk").agg(F.count("*").alias("n_cells"), checksum("table_name", "pk", "col", "value"))
 
 
+@query
+def entity_tree(spark, d):
+    """Users with their orders and the lines of those."""
+    rows = users_of(spark, d).unionByName(changes_of(spark, d))
+    view = M.entity_view(M.build_mirror(rows), "users", {"orders": ("user_id", "users"), "lineitem": ("orders_id", "orders")})
+    return view.groupBy("root_pk").agg(F.count("*").alias("n_cells"), checksum("table_name", "pk", "col", "value"))
+
+
 @query
 def field_diff(spark, d):
     return M.field_diff(users_of(spark, d), LSN_SPAN).select("seq", "pk", "col", "old", "value")

@@ -42,6 +42,25 @@ def test_mirror_fold(spark):
     assert state == {"1": {"a": "9", "c": "3"}, "2": {"a": "5"}, "4": {"a": "7"}, "5": {"a": "null"}}
 
 
+def test_entity_view_of_chains_loops_and_broken_links(spark):
+    cells = [("p", "root", "1", "name", '"r"'), ("p", "root", "2", "name", '"s"'), ("p", "root", "2", "child_id", '"x"')]
+    link = lambda table, pk, column, value, schema="p": (schema, table, pk, column, value)
+    cells += [link("child", "a", "root_id", '"1"'), link("child", "b", "root_id", '"9"'), link("child", "c", "root_id", "null"), link("child", "d", "root_id", "2")]
+    cells += [link("child", "a", "note", '"n"'), link("leaf", "l1", "child_id", '"a"'), link("leaf", "l2", "child_id", '"b"'), link("leaf", "l3", "child_id", '"zz"')]
+    cells += [link("leaf", "l4", "child_id", '"a"', "q"), link("other", "o", "root_id", '"1"')]
+    mirror = spark.createDataFrame(cells, "schema_name string, table_name string, pk string, col string, value string")
+    view = M.entity_view(mirror, "root", {"child": "root_id", "leaf": ("child_id", "child")})
+    got = sorted((r.root_pk, r.table_name, r.pk, r.col) for r in view.collect())
+    assert got == [("1", "child", "a", "note"), ("1", "child", "a", "root_id"), ("1", "leaf", "l1", "child_id"), ("1", "root", "1", "name"),
+                   ("2", "child", "d", "root_id"), ("2", "root", "2", "child_id"), ("2", "root", "2", "name")]
+    # five tables deep, and two that point at each other
+    deep = [link("t1", "k", "up", '"2"')] + [link(f"t{i}", "k", "up", '"k"') for i in range(2, 6)] + [link("t5", "j", "up", '"none"')]
+    deep += [link("ring", "x", "up", '"y"'), link("gnir", "y", "up", '"x"')]
+    parents = {"t1": ("up", "root")} | {f"t{i}": ("up", f"t{i - 1}") for i in range(2, 6)} | {"ring": ("up", "gnir"), "gnir": ("up", "ring")}
+    found = M.root_keys(spark.createDataFrame(deep, mirror.schema), "root", parents)
+    assert sorted((r.table_name, r.pk, r.root_pk) for r in found.collect()) == [(f"t{i}", "k", "2") for i in range(1, 6)]
+
+
 def test_field_diff(spark):
     df = changes(spark, [(1, "t", "insert", "1", {"a": "1", "b": "2"}), (2, "t", "update", "1", {"a": "1", "b": "3"}),
                          (3, "t", "delete", "1", None), (4, "t", "update", "1", {"a": "1"}), (5, "t", "update", "1", {"a": "null"})])
