@@ -55,6 +55,7 @@ def cut(all_texts: list[str], settings: Settings):
 
     ahead = lambda k: np.concatenate([h[k:], np.zeros(min(k, n), np.uint64)])
     g = (mixed(h + ahead(1) * np.uint64(3) + ahead(2) * np.uint64(5)) >> np.uint64(33)).astype(np.uint32)
+    g[left < 3] = np.iinfo(np.uint32).max  # words of the next line have no say: equal lines are cut alike
     smallest = (within >= settings.edge) & (left >= settings.edge)
     for k in range(1, settings.reach + 1):
         if k < n:

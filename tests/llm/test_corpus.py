@@ -58,6 +58,29 @@ def test_passages_find_spliced_and_near_copies_and_leave_clean_texts(spark):
     assert left[0] == rows[0][1] and len(left[1].split()) < 135 and left[20] == rows[5][1]
 
 
+def test_identical_lines_are_found_whatever_stands_around_them(spark):
+    rng, rows, shared = random.Random(12), [], {}
+    for i in range(200):
+        line = prose(rng.choice([20, 30, 60]))
+        for side in (0, 1):
+            before, behind = (prose(rng.randrange(1, 40)) for _ in range(2))
+            rows.append((2 * i + side, f"{before}\n{line}\n{behind}"))
+            shared[2 * i + side] = (len(before.split()), len(line.split()))
+    cuts = {}
+    for k, (i, t) in enumerate(rows):
+        text, _, first, n, h, _, _ = passages.cut([t], passages.Settings())
+        at, size = shared[i]
+        inside = (first >= at) & (first < at + size)
+        cuts.setdefault(i // 2, []).append((n[inside].tolist(), h[inside].tolist()))
+    assert all(a == b for a, b in cuts.values())
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.doc_id, set()).update(range(r.first_word, r.first_word + r.n_words))
+    assert all(set(range(at, at + size)) <= got.get(i, set()) for i, (at, size) in shared.items())
+    assert {r.doc_id for r in found if r.removed} == set(range(1, 400, 2))
+
+
 def test_jaccard_forest_links_what_all_pairs_link():
     sets = []
     for _ in range(40):
