@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 QUERIES = ["outcome_counts", "outcomes_by_sub", "fan_out", "fan_out_work", "multi_root", "encode_events",
-           "type_changes", "assemble_tx", "mirror", "field_diff", "entity_view", "audit_foreign_child",
+           "sink_all", "co_tx_all", "type_changes", "assemble_tx", "mirror", "field_diff", "entity_view", "audit_foreign_child",
            "alert_episodes", "counter_rate", "concurrency", "failure_rate", "breaker_timeline", "delivery_lag"]
 
 
