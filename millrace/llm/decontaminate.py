@@ -1,4 +1,4 @@
-"""Benchmark decontamination: grams that must remain under the edits allowed, edit verification."""
+"""Benchmark decontamination: CGK walks, repeated bit sampling over windows of the items, edit verification."""
 
 import re
 from dataclasses import dataclass
@@ -16,11 +16,19 @@ class Settings:
     """Parameters of the search.
 
     similarity: an item is found if some stretch of the text is within
-    ``(1 - similarity) * words`` word edits of it, whatever its length. gram: most words of a gram.
-    block_items: benchmark items per pass over the documents. block_hits: about the most gram hits
-    looked at together.
+    ``(1 - similarity) * words`` word edits of it, whatever its length. repeats, samples: walks from
+    each window's start, and positions of a walk that make up its key. stride: words between the
+    windows of a text; one for items of fewer than ``short`` words. share: agreeing keys asked for, as a share of
+    those that a stretch without edits has at least. gram: most words of a gram of the yardstick
+    ``Grams``. block_items: benchmark items per pass over the documents. block_hits: about the most
+    hits looked at together.
     """
     similarity: float = 0.8
+    repeats: int = 8
+    samples: int = 3
+    stride: int = 2
+    short: int = 10
+    share: float = 0.14
     gram: int = 3
     block_items: int = 2000
     block_hits: int = 2_000_000
@@ -57,41 +65,78 @@ def gram_keys(words: np.ndarray, q: int) -> np.ndarray:
     return keys
 
 
+def walk(flat: np.ndarray, at: np.ndarray, steps: int, samples: int, turn: int) -> np.ndarray:
+    """Keys of the CGK walks of a ``turn`` from the words ``at`` on; ``flat`` goes on for ``steps`` words after each.
+
+    Step j emits the word under the pointer, then moves the pointer by a random bit of (j, word): two
+    walks that meet different words fall back into step after few of them, so an edit changes few
+    of the emitted words (Hamming distance). The key hashes the words emitted at ``samples`` random
+    steps, one of each equal part of the walk.
+    """
+    rng = np.random.default_rng([turn, steps, samples])
+    bits = rng.integers(0, 64, steps).astype(np.uint64)
+    cuts = np.linspace(0, steps, min(samples, steps) + 1).astype(int)
+    sampled = [int(rng.integers(a, b)) for a, b in zip(cuts, cuts[1:])]
+    at, keys = at.copy(), np.full(len(at), mixed(np.array([turn + 1], np.uint64))[0], np.uint64)
+    for j in range(sampled[-1] + 1):
+        word = flat[at]
+        if j in sampled:
+            keys = (keys ^ word) * np.uint64(0xD6E8FEB86659FD93)
+            keys ^= keys >> np.uint64(32)
+        at += ((word >> bits[j]) & np.uint64(1)).view(np.int64)
+    return keys
+
+
 class Block:
-    """Gram tables of a bounded set of items, sent to the tasks."""
+    """Tables of the keys of a bounded set of items, sent to the tasks."""
 
     def __init__(self, items: list[tuple[int, str]], settings: Settings):
-        self.settings, self.items, plans = settings, [], []
-        grams: dict[int, list] = {}
+        self.settings, self.items, self.tables = settings, [], []
+        most, least, kinds = [], [], {}
         for item_id, text in items:
             tokens = words_of([text or ""])[0]
             if len(tokens):
-                plans.append(plan(len(tokens), settings))
-                grams.setdefault(plans[-1][1], []).append((len(self.items), gram_keys(tokens, plans[-1][1])))
+                edits, kind, hits = self.plan(len(tokens))
+                keys, offset = self.item_keys(tokens, kind)
+                kinds.setdefault(kind, []).append((len(self.items), keys, offset))
+                most.append(edits)
+                least.append(hits)
                 self.items.append((item_id, tokens))
-        self.most, _, self.least = np.array(plans, np.int64).reshape(-1, 3).T
-        self.tables = []
-        for q, members in grams.items():
-            keys = np.concatenate([k for _, k in members])
-            which = np.repeat([m for m, _ in members], [len(k) for _, k in members])
-            offset = np.concatenate([np.arange(len(k)) for _, k in members])
+        self.most, self.least = np.array(most, np.int64), np.array(least, np.int64)
+        for kind, members in kinds.items():
+            keys = np.concatenate([k for _, k, _ in members])
+            which = np.repeat([m for m, _, _ in members], [len(k) for _, k, _ in members])
+            offset = np.concatenate([o for _, _, o in members])
             order = np.argsort(keys, kind="stable")
-            near = np.zeros(1 << 22, bool)
-            near[(keys >> np.uint64(42)).astype(np.int64)] = True
-            self.tables.append((q, keys[order], which[order], offset[order], near))
+            shift = 64 - min(24, len(keys).bit_length() + 5)
+            near = np.zeros(1 << (64 - shift), bool)
+            near[(keys >> np.uint64(shift)).astype(np.int64)] = True
+            self.tables.append((kind, keys[order], which[order], offset[order], near, np.uint64(shift)))
+
+    def plan(self, n: int) -> tuple[int, tuple, int]:
+        """(edits, kind of keys, keys that must agree) for an item of n words."""
+        raise NotImplementedError
+
+    def item_keys(self, tokens: np.ndarray, kind: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, places they start from) of an item."""
+        raise NotImplementedError
+
+    def text_keys(self, flat: np.ndarray, starts: np.ndarray, kind: tuple, near):
+        """(keys, places they start from) of all texts that ``near`` lets through, in parts."""
+        raise NotImplementedError
 
     def search(self, flat: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text number, item_id, first word, words, edits) of the best stretch for each text and
         item; ``flat`` holds the words of all texts, text i from ``starts[i]`` to ``starts[i + 1]``."""
         found: dict[tuple[int, int], list[int]] = {}
-        for q, keys, which, offset, near in self.tables:
-            mine = gram_keys(flat, q)
-            at = np.flatnonzero(near[(mine >> np.uint64(42)).astype(np.int64)])
+        for kind, keys, which, offset, bitmap, shift in self.tables:
+            parts = list(self.text_keys(flat, starts, kind, lambda k: bitmap[(k >> shift).astype(np.int64)]))
+            mine, at = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.uint64, np.int64)))
+            order = np.argsort(at, kind="stable")
+            mine, at = mine[order], at[order]
             owner = np.searchsorted(starts, at, "right") - 1
-            inside = at + q <= starts[owner + 1]
-            at, owner = at[inside], owner[inside]
-            left = np.searchsorted(keys, mine[at], "left")
-            counts = np.searchsorted(keys, mine[at], "right") - left
+            left = np.searchsorted(keys, mine, "left")
+            counts = np.searchsorted(keys, mine, "right") - left
             at, owner, left, counts = (x[counts > 0] for x in (at, owner, left, counts))
             lo, total = 0, np.cumsum(counts)
             while lo < len(at):  # whole texts, up to block_hits at a time
@@ -117,13 +162,81 @@ class Block:
     def aligned(self, text: np.ndarray, item: np.ndarray, place: np.ndarray):
         """(text, item, place) from which on as many hits as must remain lie within the edits, as an
         edit moves the place where the item would start by one word at most."""
-        order = np.lexsort((place, item, text))
-        text, item, place = text[order], item[order], place[order]
-        end = np.arange(len(text)) + self.least[item] - 1
-        ok = np.flatnonzero(end < len(text))
+        bits = len(self.items).bit_length()
+        pair = (text - text[0] << bits) + item
+        per_pair = np.bincount(pair)
+        enough = (per_pair >= np.resize(np.pad(self.least, (0, (1 << bits) - len(self.least))), len(per_pair)))[pair]
+        # one number per hit: place lies in the lower 33 bits, moved up as it may be negative
+        hits = np.sort((pair[enough] << 33) + place[enough] + (1 << 32))
+        pair, place, first = hits >> 33, (hits & ((1 << 33) - 1)) - (1 << 32), text[0]
+        item = pair & ((1 << bits) - 1)
+        end = np.arange(len(hits)) + self.least[item] - 1
+        ok = np.flatnonzero(end < len(hits))
         end = end[ok]
-        ok = ok[(text[ok] == text[end]) & (item[ok] == item[end]) & (place[end] - place[ok] <= self.most[item[ok]])]
-        return zip(text[ok].tolist(), item[ok].tolist(), place[ok].tolist())
+        ok = ok[(pair[ok] == pair[end]) & (place[end] - place[ok] <= self.most[item[ok]])]
+        new = np.ones(len(ok), bool)
+        new[1:] = np.diff(hits[ok]) != 0
+        ok = ok[new]
+        return zip(((pair[ok] >> bits) + first).tolist(), item[ok].tolist(), place[ok].tolist())
+
+
+class Walks(Block):
+    """Candidates by CGK walks and bit sampling: the search that ``leaks`` uses.
+
+    A window is as long as the item, but no longer than the words that come with one of the edits allowed, as walks
+    over more edits than one or two seldom agree; a longer item has a window from each of its words, and its keys
+    add up. A walk takes as many steps as its window has words, so it never leaves an item whose
+    words all have to be there.
+    """
+
+    def plan(self, n):
+        s = self.settings
+        most = int((1 - s.similarity) * n + 1e-9)
+        steps = min(n, int(1 / max(1e-9, 1 - s.similarity) + 1e-9) + 1)
+        stride = 1 if n < s.short else s.stride
+        return most, (steps, stride), max(1, int(s.share * s.repeats * (n // stride)) if most else 1)
+
+    def item_keys(self, tokens, kind):
+        steps, _ = kind
+        # an item that fits its window whole has to stand there as it is: other starts tell nothing
+        at = np.arange(len(tokens) if int((1 - self.settings.similarity) * len(tokens) + 1e-9) else 1)
+        padded = np.concatenate([tokens, np.zeros(steps, np.uint64)])
+        turns = self.settings.repeats
+        return (np.concatenate([walk(padded, at, steps, self.settings.samples, t) for t in range(turns)]), np.tile(at, turns))
+
+    def text_keys(self, flat, starts, kind, near):
+        steps, stride = kind
+        lengths = np.diff(starts)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        padded = np.zeros(len(flat) + steps * len(lengths), np.uint64)  # no walk goes on in the next text
+        padded[np.arange(len(flat)) + steps * owner] = flat
+        places = np.flatnonzero((np.arange(len(flat)) - starts[owner]) % stride == 0)
+        for lo in range(0, len(places), 1 << 15):
+            part = places[lo:lo + (1 << 15)]
+            at = part + steps * owner[part]
+            for turn in range(self.settings.repeats):
+                keys = walk(padded, at, steps, self.settings.samples, turn)
+                hit = np.flatnonzero(near(keys))
+                yield keys[hit], part[hit]
+
+
+class Grams(Block):
+    """Candidates by grams that must remain: finds every stretch within the edits, so it measures what others miss."""
+
+    def plan(self, n):
+        most, q, least = plan(n, self.settings)
+        return most, (q,), least
+
+    def item_keys(self, tokens, kind):
+        keys = gram_keys(tokens, kind[0])
+        return keys, np.arange(len(keys))
+
+    def text_keys(self, flat, starts, kind, near):
+        q = kind[0]
+        keys = gram_keys(flat, q)
+        at = np.flatnonzero(near(keys))
+        at = at[at + q <= starts[np.searchsorted(starts, at, "right")]]
+        yield keys[at], at
 
 
 def verify(text: np.ndarray, item: np.ndarray, places: list[int], most: int) -> tuple[int, int, int] | None:
@@ -171,12 +284,14 @@ def nearest_end(text: list, item: list, stop_at: int = 0) -> tuple[int, int]:
     return end, best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), search: type[Block] = Walks) -> DataFrame:
     """doc_id, item_id, first_word, n_words, edits: the nearest stretch of each text to each item it
     holds, within the edits that ``settings.similarity`` allows.
 
-    Every such pair is found: a stretch within the edits holds a known number of the item's grams at
-    nearly the same place (``plan``), and all that do are verified. Words are lower-cased runs of ASCII letters and digits and of non-ASCII characters, and
+    Candidates are the stretches on which enough of the item's walk keys agree at nearly the same place; each is
+    verified by its exact edit distance. Copies without edits are always found; with as many edits as are allowed
+    the README states the recall by length. ``search=Grams`` finds every such pair: a stretch within the edits
+    holds a known number of the item's grams (``plan``). Words are lower-cased runs of ASCII letters and digits and of non-ASCII characters, and
     each character of a script without spaces; items of fewer than five are found by equality. The
     benchmark is the query set: it is taken in blocks of ``block_items`` in id order, and each block
     meets all documents, so what a task holds has a fixed bound. Null and empty texts and items
@@ -188,11 +303,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     order = items.orderBy("item_id", "text")
     result, at = None, 0
     while rows := order.offset(at).limit(settings.block_items).collect():
-        block = Block([(r.item_id, r.text) for r in rows], settings)
+        block = search([(r.item_id, r.text) for r in rows], settings)
         found = _search(docs, block)
         result = found if result is None else result.unionAll(found)
         at += settings.block_items
-    return result if result is not None else _search(docs, Block([], settings))
+    return result if result is not None else _search(docs, search([], settings))
 
 
 def _search(docs: DataFrame, block: Block) -> DataFrame:

@@ -225,7 +225,7 @@ def test_verification_is_the_edit_distance_and_search_reaches_its_recall(spark,
         item, text = [RNG.randrange(4) for _ in range(RNG.randrange(1, 9))], [RNG.randrange(4) for _ in range(RNG.randrange(0, 15))]
         assert decontaminate.nearest_end(text, item, -1)[1] == edit_distance(item, text)
     items = [(i, prose(RNG.randrange(15, 60))) for i in range(40)] + [(40, None), (41, ""), (42, "the")]
-    block = decontaminate.Block(items, decontaminate.Settings())
+    block = decontaminate.Grams(items, decontaminate.Settings())
     for rate, least in ((0, 1), (0.1, 0.96), (0.2, 0.9)):
         hits = 0
         for k in range(200):
@@ -257,8 +257,8 @@ def edited(words, edits, kinds="sid"):
 def test_leaks_are_found_at_every_length_and_accepted_edit_rate():
     lengths = [*range(5, 62), 81, 122, 150, 243, 365, 400, 500]
     items = [(n, prose(4 * n).split()[:n]) for n in lengths]
-    block = decontaminate.Block([(n, " ".join(w)) for n, w in items], decontaminate.Settings())
-    small = decontaminate.Block([(n, " ".join(w)) for n, w in items], decontaminate.Settings(block_hits=3))
+    block = decontaminate.Grams([(n, " ".join(w)) for n, w in items], decontaminate.Settings())
+    small = decontaminate.Grams([(n, " ".join(w)) for n, w in items], decontaminate.Settings(block_hits=3))
     for kinds in ("s", "sid"):
         for rate in (0, 0.1, 0.2):
             around = prose(60).split()
@@ -268,10 +268,38 @@ def test_leaks_are_found_at_every_length_and_accepted_edit_rate():
             assert all(f[4] <= int(f[1] * 0.2 + 1e-9) for f in found) and small.search(*decontaminate.hashed(texts)) == found
 
 
+def test_walks_reach_their_recall_at_every_length():
+    lengths = [*range(5, 62), 81, 122, 150, 243, 365, 400, 500]
+    items = [(n, prose(4 * n).split()[:n]) for n in lengths]
+    known = [(n, " ".join(w)) for n, w in items]
+    block, yard = decontaminate.Walks(known, decontaminate.Settings()), decontaminate.Grams(known, decontaminate.Settings())
+    for kinds, rate in (("s", 0), ("s", 0.1), ("s", 0.2), ("sid", 0.2), ("d", 0.2), ("i", 0.2)):
+        hits = 0
+        for _ in range(6):
+            around = prose(60).split()
+            texts = [" ".join(around[:n % 50] + edited(w, int(rate * n + 1e-9), kinds) + around[n % 50:]) for n, w in items]
+            found, every = (set(b.search(*decontaminate.hashed(texts))) for b in (block, yard))
+            assert found <= every
+            hits += len({f[1] for f in found if lengths[f[0]] == f[1]})
+        assert hits >= (1 if rate == 0 else 0.98) * 6 * len(lengths)
+
+
+def test_walks_find_evenly_edited_items_whatever_stands_beside_them():
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(5, 80)]
+    block = decontaminate.Walks(items, decontaminate.Settings())
+    texts = [" ".join("zz" if i % 5 == 2 and i // 5 < n // 5 else w for i, w in enumerate(t.split())) for n, t in items]
+    found = block.search(*decontaminate.hashed(texts))
+    assert len(found) >= 0.98 * len(items)
+    alone = [(i, *f[1:]) for i, t in enumerate(texts) for f in block.search(*decontaminate.hashed([t]))]
+    assert alone == found
+    assert block.search(*decontaminate.hashed([])) == [] and block.search(*decontaminate.hashed(["", "of"])) == []
+
+
 def test_leaks_of_short_items_and_of_scripts_without_spaces():
     items = [(1, "zo"), (2, "zo Za"), (3, "zu za zi ze"), (4, "床前明月光疑是地上霜"), (5, "月光")]
-    block = decontaminate.Block(items, decontaminate.Settings())
-    found = lambda t: {(f[1], f[2], f[3], f[4]) for f in block.search(*decontaminate.words_of([t]))}
+    block = decontaminate.Grams(items, decontaminate.Settings())
+    walks = decontaminate.Walks(items, decontaminate.Settings())
+    found = lambda t: {(f[1], f[2], f[3], f[4]) for b in (block, walks) for f in b.search(*decontaminate.words_of([t]))}
     assert found("x ZO za y") == {(1, 1, 1, 0), (2, 1, 2, 0)} and found("zozo zu za zi") == set()
     assert found("a zu za zi ze, b") == {(3, 1, 4, 0)}
     assert found("李白：床前明月光疑是地上霜，举头") == {(4, 3, 10, 0), (5, 6, 2, 0)} and {f[0] for f in found("床前明日光疑是山上霜")} == {4}
