@@ -18,13 +18,13 @@ class Settings:
     similarity: an item is found if some stretch of the text is within
     ``(1 - similarity) * words`` word edits of it, whatever its length. repeats, samples: walks from
     each window's start, and positions of a walk that make up its key. stride: words between the
-    windows of a text; one for items of fewer than ``short`` words. share: agreeing keys asked for, as a share of
-    those that a stretch without edits has at least. gram: most words of a gram of the yardstick
-    ``Grams``. block_items: benchmark items per pass over the documents. block_hits: about the most
-    hits looked at together.
+    windows of a text; one for items of fewer than ``short`` words. share: agreeing keys asked for, as a
+    share of those that a stretch without edits has at least, and half of it for items of fewer than ``short``
+    words. gram: most words of a gram of the yardstick ``Grams``. block_items: benchmark items per
+    pass over the documents. block_hits: about the most hits looked at together.
     """
     similarity: float = 0.8
-    repeats: int = 8
+    repeats: int = 5
     samples: int = 3
     stride: int = 2
     short: int = 10
@@ -194,7 +194,7 @@ class Walks(Block):
         most = int((1 - s.similarity) * n + 1e-9)
         steps = min(n, int(1 / max(1e-9, 1 - s.similarity) + 1e-9) + 1)
         stride = 1 if n < s.short else s.stride
-        return most, (steps, stride), max(1, int(s.share * s.repeats * (n // stride)) if most else 1)
+        return most, (steps, stride), max(1, int(s.share * s.repeats * n / (2 if n < s.short else stride)) if most else 1)
 
     def item_keys(self, tokens, kind):
         steps, _ = kind
