@@ -209,26 +209,31 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     """Learn from labelled rows outside the held-out third.
 
     At most ``settings.sample`` of them, by a hash of doc_id, so a broadcast of their ids has that
-    bound and no text is shuffled. Contradicting labels of a doc_id count as toxic; rows without
-    doc_id or label are left out. Four fifths of the sample grow the trees, the rest calibrates
+    bound and only their texts are shuffled. Contradicting labels of a doc_id count as toxic; of rows
+    that repeat a doc_id the text that is first in order is learned from; rows without doc_id or label
+    are left out. Four fifths of the sample give the lexicon and grow the trees, the rest calibrates
     them. With labels of one kind only, every score is their rate.
     """
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .filter("doc_id is not null and toxic in (0, 1)").filter(~held_out())
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
-    learned = stage(texts(docs).join(F.broadcast(sample), "doc_id"), "toxic-sample")
-    lexicon = learn_lexicon(learned, settings)
+    learned = texts(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    calibrates = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0
+    learned = stage(learned, "toxic-sample")
+    lexicon = learn_lexicon(learned.filter(~calibrates), settings)
     rows = with_features(learned, lexicon).join(F.broadcast(sample), "doc_id").withColumn("v", array_to_vector("f"))
     rows = stage(rows.select("doc_id", "v", F.col("toxic").cast("double").alias("label"),
-                             (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0).alias("calibrates")), "toxic-features")
+                             calibrates.alias("calibrates")), "toxic-features")
     kinds = {r.label: (r.n, r.c) for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if("calibrates").alias("c")).collect()}
     total = sum(n for n, _ in kinds.values())
     rate = kinds.get(1.0, (0, 0))[0] / total if total else 0.0
     if len(kinds) < 2 or any(n == c for n, c in kinds.values()):
         return Model(lexicon, rate=rate, settings=settings)
+    grown = rows.filter("not calibrates").coalesce(8).cache()
     trees = GBTClassifier(featuresCol="v", labelCol="label", maxIter=settings.trees, maxDepth=settings.depth, stepSize=0.3,
-                          maxBins=32, minInstancesPerNode=5, seed=1).fit(rows.filter("not calibrates").coalesce(8).cache())
+                          maxBins=32, minInstancesPerNode=5, seed=1).fit(grown)
+    grown.unpersist()
     held = rows.filter("calibrates") if all(c for _, c in kinds.values()) else rows
     raw = _raw(trees.transform(held)).select("raw", "label")
     calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(raw)
