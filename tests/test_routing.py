@@ -194,3 +194,50 @@ def test_log_totals_equal_pairs(spark, span):
         n[0 if r.commit_lsn > r.start_lsn else 1] += 1
     assert {(r.sub_id, r.n_after, r.n_before) for r in R.start_totals(log, people, span).collect()} == {
         (s, *n) for s, n in cut.items()}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_violation_pairs_no_transactions_with_subscriptions(spark, tmp_path):
+    bad = [(t, "items", "insert", str(t * 10 + k)) for t in range(1, 9) for k in range(2 if t % 3 == 0 else 1)]
+    bad += [(t, "users", "insert", "u") for t in (2, 6)]
+    people = [("w1", "items", None), ("w2", "items", None, 30), ("w3", "items", None, 60), ("w4", "items", None, 0, 1, 59),
+              ("w5", "items", None, 0, 1, 60), ("w6", "items", None, 90), ("e1", "users", "u"), ("e2", "users", "u", 20),
+              ("e3", "users", "u", 60), ("other", "items", None, 0, 2)]
+    names = ("classes", "subs")
+    frames = [changes(spark, bad).selectExpr("session_id", "tx_id", "commit_lsn", "if(table_name = 'items', 'wildcard', 'exact') AS kind",
+                                             "schema_name", "table_name", "if(table_name = 'items', null, pk) AS pk", "1L AS policy_id",
+                                             "if(tx_id % 2 = 0, 'tx_too_large', 'silent') AS outcome"), subs(spark, people)]
+    for name, df in zip(names, frames):
+        df.write.parquet(str(tmp_path / name))
+    classes, listed = (spark.read.parquet(str(tmp_path / n)) for n in names)
+    for span in (1 << 20, 20):
+        found = R.first_violation(classes, listed, span)
+        assert {r.sub_id: r.violation_lsn for r in found.collect()} == {
+            "w1": 20, "w2": 40, "w3": 80, "w4": 20, "w5": 20, "w6": None, "e1": 20, "e2": 60, "e3": None, "other": None}
+    # no side is repeated: a plan estimates it without the repeats and would broadcast it
+    assert "explode" not in _plan(R.first_violation(classes, listed))
+
+
+def test_receivers_are_the_pairs_behind_the_start(spark):
+    rows = [(t, "items", "insert", str(t)) for t in range(1, 40)] + [(t, "users", "insert", "u") for t in range(1, 40, 3)]
+    people = [(f"w{i}", "items", None, i * 37, 1, end) for i, end in enumerate([None, 100, 30, None, 148, 300, None, 10 ** 15])]
+    people += [(f"e{i}", "users", "u", i * 70, 1, end) for i, end in enumerate([None, 100, 130])]
+    run = routed(spark, rows, people)
+    want = run.outcomes().filter("outcome <> 'below_start'").select("sub_id", "tx_id").collect()
+    for span in (1 << 20, 64):
+        got_pairs = R.receivers(run.classes, run.subs, span).select("sub_id", "tx_id").collect()
+        assert sorted(got_pairs) == sorted(want) and len(want) > 100
+    only_rows = routed(spark, rows, people[-3:])
+    assert R.receivers(only_rows.classes, only_rows.subs).count() == only_rows.outcomes().filter("outcome <> 'below_start'").count()
+
+
+def test_repeated_side_is_not_broadcast(spark, tmp_path):
+    from millrace.operators.skew import salted_join
+    spark.range(50).selectExpr("id AS k").write.parquet(str(tmp_path / "small"))
+    big = spark.range(500).selectExpr("id % 60 AS k", "id AS o")
+    joined = salted_join(big, spark.read.parquet(str(tmp_path / "small")), ["k"], ["o"], salts=64)
+    assert joined.count() == big.filter("k < 50").count()
+    assert "Broadcast" not in _plan(joined)
