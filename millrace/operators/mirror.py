@@ -4,9 +4,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stage
 from . import chunked
-from .skew import salted_join
+from .skew import join_few, salted_join
 
 ROW = ["pk", "table_name", "schema_name"]  # most telling first, see schemas.TX
+# rows of up to so many changes are folded in one task
+MANY_CHANGES = 1_000
 
 
 def cells(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -37,9 +39,50 @@ def standing(latest: DataFrame, by: list[str] | None = None) -> DataFrame:
             .drop("_start", "at"))
 
 
+def _folded(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row per mirrored row with its columns in the map ``data``, for rows of a bounded number of changes."""
+    keys = [*(by or []), *ROW]
+    empty = F.create_map().cast("map<string,string>")
+    change = F.struct(F.struct("commit_lsn", "seq").alias("at"), "op", F.coalesce("data", empty).alias("data"))
+
+    def merged(held, c):
+        written = F.map_concat(F.map_filter(held, lambda k, v: ~F.map_contains_key(c["data"], k)), c["data"])
+        return F.when(c["op"] == "delete", empty).when(c["op"] == "insert", c["data"]).otherwise(written)
+
+    in_order = F.array_sort("_all", lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
+    only = F.col("_all")[0]
+    data = F.when(F.size("_all") > 1, F.aggregate(in_order, empty, merged)).when(only["op"] != "delete", only["data"])
+    # changes move once, each as one record, and are sorted as such; what is laid out in cells moves no more
+    rows = changes.repartition(*keys).groupBy(*keys).agg(F.collect_list(change).alias("_all"))
+    return rows.select(*keys, data.alias("data")).filter("size(data) > 0")
+
+
+def mirror_rows(changes: DataFrame, by: list[str] | None = None, many: int = MANY_CHANGES) -> DataFrame:
+    """State after all changes, one row per mirrored row with its columns in the map ``data``.
+
+    The changes of a row are folded in one task. Rows of more than ``many`` changes are told apart by a count and
+    reduced to their last write per cell before they move.
+    """
+    keys = [*(by or []), *ROW]
+    hot = stage(changes.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > many).drop("_n"), "hot-rows")
+    if hot.isEmpty():
+        return _folded(changes, by)
+    few = _folded(join_few(changes, hot, keys, ["seq"], "left_anti"), by)
+    return few.unionByName(nested(_by_cell(join_few(changes, hot, keys, ["seq"], "left_semi"), by), by))
+
+
+def _by_cell(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return standing(latest_cells(cells(changes, by), by), by)
+
+
+def flat(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Cells of ``mirror_rows``."""
+    return rows.select(*(by or []), *ROW, F.explode("data").alias("col", "value"))
+
+
 def build_mirror(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Flat state (…, schema_name, table_name, pk, col, value) after all changes."""
-    return standing(latest_cells(cells(changes, by), by), by)
+    return flat(mirror_rows(changes, by), by)
 
 
 def nested(mirror: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -73,12 +116,13 @@ def root_keys(held: DataFrame, root_table: str, parents: dict[str, tuple[str, st
     many steps, and a chain of tables takes rounds in the logarithm of its depth. Rows whose chain is broken, or
     goes round in a circle, have no root.
     """
-    is_key, up = F.lit(False), F.lit(None).cast("string")
+    held = held if "data" in held.columns else nested(held)
+    link, up = F.lit(None).cast("string"), F.lit(None).cast("string")
     for child, (column, parent) in parents.items():
-        is_key = is_key | ((F.col("table_name") == child) & (F.col("col") == column))
+        link = F.when(F.col("table_name") == child, F.col("data")[column]).otherwise(link)
         up = F.when(F.col("table_name") == child, parent).otherwise(up)
-    at = held.filter(is_key & (F.col("value") != "null")).select(
-        *ROW, up.alias("up_table"), F.regexp_replace("value", '^"|"$', "").alias("up_pk"))
+    at = held.withColumn("_link", link).filter(F.col("_link") != "null").select(
+        *ROW, up.alias("up_table"), F.regexp_replace("_link", '^"|"$', "").alias("up_pk"))
     if any(parent != root_table for _, parent in parents.values()):
         at, steps = stage(at, "pointers"), 1
         on = F.col("up_table") != root_table
@@ -98,16 +142,19 @@ def entity_view(mirror: DataFrame, root_table: str, children: dict[str, str | tu
 
     ``children`` maps a table to its foreign-key column, which points at the root table, or to (column, parent
     table) for children of children. Output: root_pk, then the cells of the root itself and of each row below it.
-    The mirror is worked out once and read from the shared folder by the passes here.
+    ``mirror`` is given in cells or, cheaper, as ``mirror_rows``. It is worked out once and read from the shared
+    folder by the passes here, which move whole rows; cells are laid out at the end.
     """
     parents = {c: (link, root_table) if isinstance(link, str) else link for c, link in children.items()}
-    held = stage(mirror.filter(F.col("table_name").isin(root_table, *parents)), "entity-cells")
+    rows = mirror.filter(F.col("table_name").isin(root_table, *parents))
+    held = stage(rows if "data" in rows.columns else nested(rows), "entity-rows")
     roots = held.filter(F.col("table_name") == root_table)
-    own = roots.select("schema_name", F.col("pk").alias("root_pk"), "table_name", "pk", "col", "value")
-    keys = roots.select("schema_name", F.col("pk").alias("root_pk")).distinct()
+    own = roots.select("schema_name", F.col("pk").alias("root_pk"), "table_name", "pk", "data")
+    keys = roots.select("schema_name", F.col("pk").alias("root_pk"))
     links = salted_join(root_keys(held, root_table, parents), keys, ["schema_name", "root_pk"], ["pk"], how="left_semi")
     below = held.filter(F.col("table_name").isin(*parents)).join(links.filter(F.col("table_name") != root_table), ROW)
-    return own.unionByName(below.select(*own.columns))
+    both = own.unionByName(below.select(*own.columns))
+    return both.select("schema_name", "root_pk", "table_name", "pk", F.explode("data").alias("col", "value"))
 
 
 def field_diff(changes: DataFrame, span: int = chunked.DEFAULT_SPAN) -> DataFrame:

@@ -219,3 +219,24 @@ def test_reconcile_and_order(spark):
     rows = [("x", i, "s", tx, tx) for i, tx in enumerate([1, 2, 2, 5, 3])]
     got = A.audit_order(spark.createDataFrame(rows, "sub_id string, arrival bigint, session_id string, tx_id bigint, commit_lsn bigint"), 2).first()
     assert (got.n_events, got.n_duplicates, got.n_order_breaks) == (5, 1, 1)
+
+
+def test_mirror_moves_changes_not_cells(spark):
+    import random
+    rng, rows = random.Random(7), []
+    for i in range(1500):
+        op = rng.choice(["insert", "update", "update", "update", "delete"])
+        cols = rng.sample(["a", "b", "c", "d"], rng.randint(0, 4))
+        data = None if op == "delete" or not rng.randrange(9) else {c: rng.choice([f'"{i}{c}"', "null"]) for c in cols}
+        pk = "hot" if rng.randrange(3) == 0 else str(rng.randrange(300))
+        rows.append((i // 2, i, "p", rng.choice(["t", "u"]), op, pk, data))
+    df = spark.createDataFrame(rows, "commit_lsn bigint, seq bigint, schema_name string, table_name string, op string, pk string, "
+                                     "data map<string,string>").repartition(5)
+    want = sorted(map(tuple, M.standing(M.latest_cells(M.cells(df))).select(*M.ROW, "col", "value").collect()))
+    for many in (1, 20, 1_000):
+        assert sorted(map(tuple, M.flat(M.mirror_rows(df, many=many)).collect())) == want and len(want) > 300
+    mirror = M.build_mirror(df)
+    assert sorted(map(tuple, mirror.select(*M.ROW, "col", "value").collect())) == want
+    plan = mirror._jdf.queryExecution().sparkPlan().toString()
+    # the aggregation of the changes is the only step that needs a row's changes together
+    assert "Window" not in plan and "max_by" not in plan
