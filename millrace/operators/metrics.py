@@ -52,6 +52,46 @@ def concurrency_overall(sessions: DataFrame, cap: int, bucket_s: int = 60) -> Da
 
 # ---- counters and gauges -----------------------------------------------------------
 
+def _upto(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_upto`` and ``_before``: totals of the piece up to each row's time and before it.
+
+    A range window is the difference of two of these, so its cost doesn't grow with the samples it spans. Steps that
+    are no numbers are counted apart: in a total they would spoil all windows behind them.
+    """
+    step = F.col("_step")
+    amounts = {"steps": F.sum(F.when(F.abs(step) < float("inf"), step)), "n": F.count("value"), "nan": F.count(F.when(F.isnan(step), 1)),
+               "up": F.count(F.when(step == float("inf"), 1)), "down": F.count(F.when(step == float("-inf"), 1))}
+    order = Window.partitionBy(*keys, "_piece").orderBy("_us")
+    totals = lambda last: F.struct(*[F.coalesce(a.over(order.rangeBetween(Window.unboundedPreceding, last)), F.lit(0)).alias(n)
+                                     for n, a in amounts.items()])
+    return rows.withColumn("_upto", totals(0)).withColumn("_before", totals(-1))
+
+
+def _with_first(rows: DataFrame, keys: list[str], range_s: int, used: Column | None = None) -> DataFrame:
+    """Add ``_first``: the first row within the ``range_s`` seconds up to each row (null where not ``used``).
+
+    Every row is also put where its range begins and takes the row that follows there, in one pass backwards.
+    """
+    own, back = F.lit(False), F.lit(True)
+    used = F.lit(True) if used is None else used
+    rows = rows.withColumn("_back", F.explode(F.when(used, F.array(own, back)).otherwise(F.array(back))))
+    rows = rows.withColumn("_at", F.col("_us") - F.when(F.col("_back"), range_s * MICRO - 1).otherwise(0))
+    seen = F.when(~F.col("_back"), F.struct("_us", "value", "_step", "_before"))
+    upto = Window.partitionBy(*keys, "_piece").orderBy(F.col("_at").desc(), "_back").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_first", F.last(seen, ignorenulls=True).over(upto)).filter("_back").drop("_back", "_at")
+
+
+def _in_range(fn: str, range_s: int) -> Column:
+    """Result of ``fn`` from a row's ``_upto`` and ``_first``; null with one sample."""
+    held = {n: F.col(f"_upto.{n}") - F.col(f"_first._before.{n}") for n in ("steps", "n", "nan", "up", "down")}
+    total = (F.when((held["nan"] > 0) | ((held["up"] > 0) & (held["down"] > 0)), float("nan"))
+             .when(held["up"] > 0, float("inf")).when(held["down"] > 0, float("-inf")).otherwise(held["steps"]))
+    increase, delta = total - F.col("_first._step"), F.col("value") - F.col("_first.value")
+    seconds = (F.col("_us") - F.col("_first._us")) / MICRO
+    made = {"increase": increase, "rate": increase / range_s, "delta": delta, "slope": delta / F.nullif(seconds, F.lit(0.0))}
+    return F.when(held["n"] > 1, made[fn])
+
+
 def counter_rate(samples: DataFrame, keys: list[str], range_s: int, fn: str) -> DataFrame:
     """Add ``result`` over the window ``(ts - range, ts]`` of each sample.
 
@@ -67,15 +107,9 @@ def counter_rate(samples: DataFrame, keys: list[str], range_s: int, fn: str) ->
     step = F.when(F.col("value") >= F.col("_before.value"), F.col("value") - F.col("_before.value")).otherwise(F.col("value"))
     rows = rows.withColumn("_step", F.when(F.col("_before").isNull(), 0.0).otherwise(step)).drop("_before")
     near = chunked.with_lookback(rows, "_us", reach, span)
-    window = Window.partitionBy(*keys, "_piece").orderBy("_us").rangeBetween(-(reach - 1), 0)
-    first = {c: F.first(c).over(window) for c in ("_step", "value", "_us")}
-    increase = F.sum("_step").over(window) - first["_step"]
-    seconds = (F.col("_us") - first["_us"]) / MICRO
-    result = {"increase": increase, "rate": increase / range_s, "delta": F.col("value") - first["value"],
-              "slope": (F.col("value") - first["value"]) / F.nullif(seconds, F.lit(0.0))}[fn]
-    many = F.count("value").over(window) > 1
-    return (near.withColumn("result", F.when(many, result)).filter("not _context")
-            .drop("_us", "_step", "_piece", "_context"))
+    near = _with_first(_upto(near, keys), keys, range_s)
+    return (near.withColumn("result", _in_range(fn, range_s)).filter("not _context")
+            .drop("_us", "_step", "_piece", "_context", "_upto", "_before", "_first"))
 
 
 @dataclass(frozen=True)
@@ -150,7 +184,7 @@ def evaluate_rules(samples: DataFrame, rules: list[Rule]) -> DataFrame:
 
     A series is an instance with all its labels: counters of different labels never mix. A second metric is read
     at the same instance and time, its largest value if it has several series there. The steps of all counters are
-    found in one pass, and each range in use is one window over the same pieces.
+    found in one pass, and each range in use is one pass over the same pieces, whatever number of samples it spans.
     """
     pick = lambda make: F.element_at(F.array(*[F.lit(make(r)) for r in rules]), F.col("rule") + 1)
     rows = stage(_fanned(samples, rules), "rule-samples")  # read by the passes below, the samples once
@@ -168,18 +202,15 @@ def evaluate_rules(samples: DataFrame, rules: list[Rule]) -> DataFrame:
         step = F.when(F.col("value") >= F.col("_before.value"), F.col("value") - F.col("_before.value")).otherwise(F.col("value"))
         rows = rows.withColumn("_step", F.when(F.col("_before").isNull(), 0.0).otherwise(step)).drop("_before")
         rows = chunked.with_lookback(rows, "_us", reach, span)
-        result = F.col("value")
-        for i, r in enumerate(rules):
-            if r.fn == "value":
-                continue
-            window = Window.partitionBy(*keys, "_piece").orderBy("_us").rangeBetween(-(r.range_s * MICRO - 1), 0)
-            first, many = F.first(F.col("value")).over(window), F.count("value").over(window) > 1
-            increase = F.sum("_step").over(window) - F.first("_step").over(window)
-            seconds = (F.col("_us") - F.first("_us").over(window)) / MICRO
-            made = {"increase": increase, "rate": increase / r.range_s, "delta": F.col("value") - first,
-                    "slope": (F.col("value") - first) / F.nullif(seconds, F.lit(0.0))}[r.fn]
-            result = F.when(F.col("rule") == i, F.when(many, made)).otherwise(result)
-        rows = rows.withColumn("value", result).filter("not _context").drop("_us", "_step", "_piece", "_context")
+        rows = _upto(rows, keys).withColumn("_result", F.lit(None).cast("double"))
+        for range_s in ranges:
+            own = [(i, r) for i, r in enumerate(rules) if r.fn != "value" and r.range_s == range_s]
+            rows = _with_first(rows, keys, range_s, F.col("rule").isin([i for i, _ in own]))
+            for i, r in own:
+                rows = rows.withColumn("_result", F.when(F.col("rule") == i, _in_range(r.fn, range_s)).otherwise(F.col("_result")))
+        of_range = F.col("rule").isin([i for i, r in enumerate(rules) if r.fn != "value"])
+        rows = rows.withColumn("value", F.when(of_range, F.col("_result")).otherwise(F.col("value"))).filter("not _context").drop(
+            "_us", "_step", "_piece", "_context", "_upto", "_before", "_first", "_result")
     holds = F.lit(False)
     for i, r in enumerate(rules):
         value, both = F.col("value"), F.lit(True)
