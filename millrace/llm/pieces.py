@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -91,7 +92,12 @@ def _blocks(batches: Iterable[pa.RecordBatch], pieces: Pieces, text: str, kept:
     Without ``kept`` nothing is packed. A block ends by its own rows only, wherever batches end, and
     its name is a hash of its first column and chunks, so reading the rows twice gives it twice.
     """
-    numbers, parts, name, n, size = {}, [], hashlib.blake2b(digest_size=8), 0, 0
+    def opened():
+        held = defaultdict()
+        held.default_factory = held.__len__  # a new chunk gets the next number
+        return held, [], hashlib.blake2b(digest_size=8), 0, 0
+
+    numbers, parts, name, n, size = opened()
 
     def close():
         name.update("\0".join(numbers).encode())
@@ -102,9 +108,12 @@ def _blocks(batches: Iterable[pa.RecordBatch], pieces: Pieces, text: str, kept:
             part, at, first = b.slice(lo, PART), [], 0
             column, keys = part.column(part.schema.names.index(text)).to_pylist(), part.column(0).to_pylist()
             for i, t in enumerate(column):
-                put = numbers.setdefault
-                at.append([put(c, len(numbers)) for c in pieces.chunks(t or "")])
-                name.update(f"{keys[i]} {len(at[-1])} ".encode())
+                chunks = pieces.chunks(t or "")
+                if kept is None:
+                    numbers |= dict.fromkeys(chunks)  # their order alone counts
+                else:
+                    at.append(list(map(numbers.__getitem__, chunks)))
+                name.update(f"{keys[i]} {len(chunks)} ".encode())
                 n, size = n + 1, size + len(t or "")
                 full = len(numbers) >= s.chunks or size >= s.characters or n >= s.rows
                 if full or i == len(column) - 1:
@@ -114,7 +123,7 @@ def _blocks(batches: Iterable[pa.RecordBatch], pieces: Pieces, text: str, kept:
                     at, first = [], i + 1
                 if full:
                     yield close()
-                    numbers, parts, name, n, size = {}, [], hashlib.blake2b(digest_size=8), 0, 0
+                    numbers, parts, name, n, size = opened()
     if n:
         yield close()
 

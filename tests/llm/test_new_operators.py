@@ -245,3 +245,22 @@ def test_token_files_have_stripes_and_filters_and_may_be_empty(spark, odd, tmp_p
     assert all(f.file_length > f.content_length > 0 and f.row_index_stride == 1000 for f in files)
     read = lambda ids: tokenfiles.documents(spark, str(tmp_path / "ids"), ids)
     assert read([20_000]).count() == 1 and read([20_001]).count() == 0
+
+
+def test_blocks_of_pieces_are_the_same_in_both_readings():
+    import pyarrow as pa
+    from millrace.llm import pieces as P
+
+    class Words:
+        @staticmethod
+        def chunks(text):
+            return text.split()
+
+    rows = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a b a", None, "c a", "", "b d e b", "f", "a f"])], names=["doc_id", "text"])
+    settings = P.Settings(chunks=3)
+    asked = list(P._blocks([rows], Words, "text", None, settings))
+    packed = list(P._blocks([rows], Words, "text", ["doc_id"], settings))
+    assert [b[:2] for b in asked] == [b[:2] for b in packed] and [b[1] for b in asked] == [["a", "b", "c"], ["b", "d", "e"], ["f", "a"]]
+    assert not any(b[2] for b in asked)
+    got = [[chunks[i] for i in at] for _, chunks, parts in packed for p in parts for at in P._unpacked(pa.scalar(p)).column(P.AT).to_pylist()]
+    assert got == [(t or "").split() for t in rows.column(1).to_pylist()]
