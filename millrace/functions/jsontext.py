@@ -26,8 +26,11 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+_HTML = "[<>&\u2028\u2029]"
+
+
 def html_escape(text: Column) -> Column:
-    return F.when(text.rlike("[<>&\u2028\u2029]"),
+    return F.when(text.rlike(_HTML),
                   _replace_all(text, HTML_ESCAPES.items())).otherwise(text)
 
 
@@ -55,7 +58,10 @@ def json_embed(text: Column) -> Column:
     in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     single = F.size(F.try_variant_get(in_array, "$", "array<variant>")) == 1
-    return F.when(single & in_object.isNotNull(), bind(json_compact(text), html_escape))
+    # compacting drops no character that is escaped, so the text itself tells whether there is one
+    compact = json_compact(text)
+    shown = F.when(text.rlike(_HTML), _replace_all(compact, HTML_ESCAPES.items())).otherwise(compact)
+    return F.when(single & in_object.isNotNull(), shown)
 
 
 _JSON_TOKEN = r'"(?:[^"\\]|\\.)*+"|[{}\[\]:,]|[^{}\[\]:,"]++'

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import (channel_table, json_literal, json_quote, lsn_diff, lsn_parse, lsn_text, rfc3339_utc,
                                 valid_name, valid_request_id)
+from millrace.functions import pgtypes
 from millrace.functions.jsontext import json_member
 
 # fixed values: (type OID, text, JSON literal or None for an error)
@@ -84,3 +85,31 @@ def test_json_member_keeps_numbers_as_written(spark):
     texts = [('{"a": [1.50, {"m": 2}], "m" : {"x": 1e2, "m": "}"}}', '{"x":1e2,"m":"}"}'), ('{"m":"v"}', '"v"'), ('{"b":1}', None)]
     df = spark.createDataFrame([t for t, _ in texts], "string").coalesce(1)
     assert [r[0] for r in df.select(json_member(F.col("value"), "m")).collect()] == [w for _, w in texts]
+
+
+def test_compiled_branches_agree_with_the_general_way(spark, monkeypatch):
+    texts = {
+        pgtypes.FLOAT8: ["0", "0.05", "0.050", "00.5", "123456789.123456", "1234567890", "0.000001", "0.0000001", "1e5", "-0", "+1.5",
+                         ".5", "5.", "0.1\n", "NaN", ""],
+        pgtypes.INTERVAL: ["3 days 01:30:00", "1 day 00:00:00", "00:00:00", "00:00:07", "12:00:00", "1 day 00:05:00", "0 days 01:00:00",
+                           "3 days 01:30:00.5", "-01:30:00", "1 year 2 mons", "3 days 01:30:00\n", " 3 days 01:30:00", "999999999 days 99:99:99"],
+        1009: ['{R,"F, x",NULL}', '{}', '{"null",nUll}', '{a, b}', '{"a""b"}', '{"",x}', '{a"b}', '{"say \\"hi\\""}', '{<a>}', '{"a & b"}',
+               '{a}\n', '{{a},{b}}', '{"{a}"}', '{NULLS,"null ",null}', '{"a" ,b}', '{$1,"$2"}', '{é}', '{a,}', '{,a}', 'a'],
+        1007: ["{1,2,-3}", "{+1,007}", "{-0}", "{1,NULL}", "{}", "{1,x}", "{123456789012345678,1234567890123456789}", "{1}\n"],
+        pgtypes.JSONB: ['{"tax": 0.1, "k": [1, 2]}', '{"a": "<b> &"}', '{"a": " "}', '[1, ', '1 2', '" x "'],
+        pgtypes.TIMESTAMP: ["2024-01-02 03:04:05", "2024-01-02 03:04:05.120", "2024-01-02T03:04:05.000", "2024-13-02 03:04:05"],
+    }
+    rows = spark.createDataFrame([(oid, t) for oid, ts in texts.items() for t in ts], "oid int, text string")
+
+    def literals():
+        value = F.lit(None).cast("string")
+        for oid in texts:
+            value = F.when(F.col("oid") == oid, pgtypes.json_literal_of(oid, F.col("text"))).otherwise(value)
+        return {(r.oid, r.text): r.value for r in rows.withColumn("value", value).collect()}
+
+    got = literals()
+    for name in ("_SHORT_FLOAT", "_DAYS_AND_CLOCK", "_INTEGERS", "_TEXTS"):
+        monkeypatch.setattr(pgtypes, name, "(?!)")
+    assert got == literals()
+    assert got[(pgtypes.INTERVAL, "3 days 01:30:00")] == '"P3DT1H30M"' and got[(1009, '{R,"F, x",NULL}')] == '["R","F, x",null]'
+    assert got[(pgtypes.TIMESTAMP, "2024-01-02 03:04:05.120")] == '"2024-01-02T03:04:05.12Z"' and got[(pgtypes.FLOAT8, "NaN")] is None
