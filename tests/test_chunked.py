@@ -35,6 +35,18 @@ def test_pieces_equal_plain_windows(spark):
         assert same(chunked.row_numbers(df, ["k"], order, "x", span), df.withColumn("x", F.row_number().over(w).cast("bigint")))
 
 
+def test_read_off_equals_plain_windows(spark):
+    df = frame(spark)
+    w = Window.partitionBy("k").orderBy("o", "o2")
+    upto, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    plain = df.withColumns({"x": F.coalesce(F.sum("v").over(upto), F.lit(0)), "before": F.last("v", True).over(upto),
+                            "after": F.first("v", True).over(on)}).filter("o2 = 1").drop("v")
+    for span in (1, 37, 10_000):
+        found = chunked.read_off(df, ["k"], ["o", "o2"], F.col("o2") == 1, {"x": F.col("v")}, F.col("v"), span)
+        assert same(found, plain)
+        assert same(chunked.read_off(df, ["k"], ["o", "o2"], F.col("o2") == 1, {"x": F.col("v")}, span=span), plain.drop("before", "after"))
+
+
 def test_lookback_windows(spark):
     df = frame(spark)
     plain = df.withColumn("x", F.count("*").over(Window.partitionBy("k").orderBy("o").rangeBetween(-40, 0)))

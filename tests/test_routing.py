@@ -241,3 +241,22 @@ def test_repeated_side_is_not_broadcast(spark, tmp_path):
     joined = salted_join(big, spark.read.parquet(str(tmp_path / "small")), ["k"], ["o"], salts=64)
     assert joined.count() == big.filter("k < 50").count()
     assert "Broadcast" not in _plan(joined)
+
+
+def test_totals_along_the_log_equal_the_pairs(spark):
+    rows = [(n, t, "insert", str(n % 4), ["id"], s) for n in range(1, 30) for t, s in (("users", "public"), ("items", "public"), ("users", "audit"))
+            if (n + len(t)) % 3] + [(7, "users", "update", "9"), (7, "users", "update", "9")]
+    log = changes(spark, rows)
+    people = subs(spark, [("a", "users", "1", 35), ("b", "users", "1", 90, 1, 200), ("c", "users", None), ("d", "users", None, 120, 1, 100),
+                          ("e", "items", None, 60, 1, 250), ("f", "items", "2"), ("g", "users", "9"), ("h", "none", None)])
+    pairs = R.match_live(log, people)
+    live = {r.sub_id: (r.n_tx, r.first_tx, r.last_tx) for r in R.live_totals(log, people, 64).collect()}
+    own = {}
+    for r in sorted(pairs.collect(), key=lambda r: r.commit_lsn):
+        own.setdefault(r.sub_id, []).append(r.tx_id)
+    assert live == {k: (len(v), v[0], v[-1]) for k, v in own.items()}
+    carried = R.expand_tx(pairs, log).collect()
+    assert {r.sub_id: (r.n_tx, r.n_changes, r.n_anchor) for r in R.change_totals(log, people, 64).collect()} == {
+        k: (len(v), sum(r.sub_id == k for r in carried), sum(r.sub_id == k and r.anchor for r in carried)) for k, v in own.items()}
+    # rows that nobody follows aren't moved to the subscriptions
+    assert {r.pk for r in R.followed_changes(log, people).collect()} == {"1", "2", "9"}
