@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from millrace.functions import json_object
 from millrace.operators import audit as A, delivery as D, metrics as X, mirror as M, rollups as U
 from millrace.sources import parse_channels, parse_frames, parse_metrics_text, parse_policies, policy_id, valid_channels, write_deliveries
 from millrace.streaming.breaker import Breaker
@@ -33,6 +34,19 @@ def test_golden_payload(spark):
     assert D.encode_events(df, ["schema_name"], 10, event.frame_bytes).count() == 1
 
 
+def test_sizes_are_those_of_the_text_whatever_it_holds(spark):
+    maps = [{}, {"a": "1"}, {"b": '"x"', "a": "null"}, {'q"<\n': '"\u20ac"', "\u2028&": "[1,2]", "\\": "{}"}, {"\u00e4": '"\u00fc"'}, {"": '""'},
+            {"a": None}, {"a": None, "b": "1"}, {"b": "", "a": "2"}, None]
+    df = changes(spark, [(i, 't"<', "update", pk, m) for i, m in enumerate(maps) for pk in ('1', 'k&"\t', None)])
+    assert [r[0] for r in df.filter(D.fragment_bytes() != F.octet_length(D.fragment())).select("seq").collect()] == []
+    assert df.filter(D.fragment_bytes().isNull() != D.fragment().isNull()).count() == 0
+    # the members of an object in byte order, keys escaped
+    assert df.filter("tx_id = 3").select(json_object(F.col("data"))).first()[0] == (
+        '{"\\\\":{},"q\\"\\u003c\\n":"\u20ac","\\u2028\\u0026":[1,2]}')
+    plan = D.payload_sizes(df, ["schema_name"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "arraysort" not in plan.lower().replace("_", "")
+
+
 def test_mirror_fold(spark):
     df = changes(spark, [
         (1, "t", "insert", "1", {"a": "1", "b": "2"}), (2, "t", "update", "1", {"b": "null"}), (3, "t", "insert", "1", {"a": "9"}),
@@ -97,6 +111,15 @@ def test_policies(spark):
     assert policy_id(grants, ["user_id"]).select("policy_id").distinct().count() == 1
 
 
+def test_policies_are_judged_once_over_all_cores(spark):
+    docs = spark.createDataFrame([(i, '{"user_id":"%s","tables":{"t":["x"]}%s' % (i, "}" if i % 3 else "")) for i in range(30)], "doc_id int, doc string")
+    calls = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: (calls.add(1), t)[1], "string").asNondeterministic()
+    good, grants, rejects = parse_policies(docs.coalesce(1).withColumn("doc", seen("doc")))
+    assert (good.count(), grants.count(), rejects.count()) == (20, 20, 10) and calls.value == 30
+    assert {r.initial_data for r in good.collect()} == {None}
+
+
 def test_sink_is_partitioned_and_complete(spark, tmp_path):
     df = changes(spark, [(t, "t", "insert", str(t), {"a": "1"}) for t in range(20)])
     events = D.encode_events(df.withColumn("sub_id", F.lit("s")), ["sub_id"], 10)
