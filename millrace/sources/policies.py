@@ -2,8 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import json_embed
-from ..functions.jsontext import json_member
+from ..functions.jsontext import is_json, json_member
+from ..session import stage
+
+TASKS_PER_CORE = 3
 
 
 def parse_policies(docs: DataFrame, text: str = "doc") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -14,14 +16,16 @@ def parse_policies(docs: DataFrame, text: str = "doc") -> tuple[DataFrame, DataF
     """
     # fixed values: members of a document
     schema = "user_id string, tables map<string,array<string>>, ttl_seconds int, _bad string"
-    parsed = docs.withColumn("_d", F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    whole = json_embed(F.col(text)).isNotNull()
+    # a text costs far more than its bytes tell, so texts are dealt over all cores, and judged once for what reads them
+    many = docs.repartition(TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism)
+    parsed = many.withColumn("_d", F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    whole = is_json(F.col(text))
     raw = json_member(F.col(text), "initial_data")
     reason = (F.when(~whole | F.col("_d").isNull() | F.col("_d._bad").isNotNull(), "bad_json")
               .when(F.coalesce(F.col("_d.user_id"), F.lit("")) == "", "no_user"))
-    row = F.struct(F.coalesce(reason, F.lit("")).alias("reason"), raw.alias("initial_data"), F.col("_d.user_id").alias("user_id"),
+    row = F.struct(F.coalesce(reason, F.lit("")).alias("reason"), F.when(reason.isNull(), raw).alias("initial_data"), F.col("_d.user_id").alias("user_id"),
                    F.col("_d.tables").alias("tables"), F.coalesce("_d.ttl_seconds", F.lit(0)).alias("ttl_seconds"))
-    rows = parsed.withColumn("_r", F.explode(F.array(row))).drop("_d")
+    rows = stage(parsed.withColumn("_r", F.explode(F.array(row))).drop("_d"), "policies")
     good = rows.filter("_r.reason = ''").select(*[c for c in docs.columns if c not in (text, "user_id")],
                                                 "_r.user_id", "_r.ttl_seconds", "_r.initial_data", "_r.tables")
     grants = good.select("*", F.explode("tables").alias("table_name", "columns")).drop("tables", "initial_data")
