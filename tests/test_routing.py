@@ -260,3 +260,18 @@ def test_totals_along_the_log_equal_the_pairs(spark):
         k: (len(v), sum(r.sub_id == k for r in carried), sum(r.sub_id == k and r.anchor for r in carried)) for k, v in own.items()}
     # rows that nobody follows aren't moved to the subscriptions
     assert {r.pk for r in R.followed_changes(log, people).collect()} == {"1", "2", "9"}
+
+
+def test_kept_changes_are_counted_where_they_are_joined(spark, monkeypatch):
+    log = changes(spark, [(1, "users", "insert", "1"), (1, "users", "update", "1", ["id"]), (1, "items", "update", "2", ["v"]), (2, "users", "delete", "3")])
+    people = subs(spark, [("a", "users", "1"), ("b", "items", None), ("c", "users", None)])
+    staged = []
+    monkeypatch.setattr(fanout, "stage", lambda df, label: (staged.append(label), df)[1])
+    versions, grants = policies(spark)
+    followed = fanout.followed_rows(log, people)
+    assert sorted(r.pk for r in followed.collect()) == ["1", "1"]
+    found = fanout.count_kept(log, fanout.match_classes(log, people, versions, followed), grants, followed)
+    assert sorted((r.tx_id, r.kind, r.table_name, r.n_anchor, r.n_kept) for r in found.collect()) == [
+        (1, "exact", "users", 1, 2), (1, "wildcard", "items", 1, 2), (1, "wildcard", "users", 1, 2), (2, "wildcard", "users", 1, 1)]
+    # the changes times their classes aren't written
+    assert staged == ["followed", "tables", "classes"]
