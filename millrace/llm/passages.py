@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import stage
+from ..session import stage, unstage
 from .common import Forest, batch, components, link_groups, texts
 from .words import SPACE, mixed, powers, split
 
@@ -91,7 +91,6 @@ def pieces(docs: DataFrame, settings: Settings) -> DataFrame:
                         ("h", pa.int64()), ("shingles", pa.binary())])
 
     def work(batches):
-        rng = np.random.default_rng()  # tells rows with one doc_id apart; fixed once the pieces are written
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
@@ -100,15 +99,17 @@ def pieces(docs: DataFrame, settings: Settings) -> DataFrame:
                     continue
                 packed = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32)),
                                                                      pa.py_buffer(shingles)])
-                rows = rng.integers(0, 1 << 62, part.num_rows)
-                yield batch(schema, part.column(0).take(pa.array(text)), rows[text], no.astype(np.int32), first.astype(np.int32),
+                rows = pa.array(text)
+                yield batch(schema, part.column(0).take(rows), part.column(2).take(rows), no.astype(np.int32), first.astype(np.int32),
                             n.astype(np.int32), h.view(np.int64), packed)
 
-    return texts(docs).mapInArrow(work, "doc_id long, row long, no int, first_word int, n_words int, h long, shingles binary")
+    # the number tells rows with one doc_id apart; fixed once the repeated pieces are written
+    numbered = texts(docs).withColumn("row", F.monotonically_increasing_id())
+    return numbered.mapInArrow(work, "doc_id long, row long, no int, first_word int, n_words int, h long, shingles binary")
 
 
-def band_keys(found: DataFrame, settings: Settings) -> DataFrame:
-    """key (band and its smallest shingle), h, n: copies in a task come as one row."""
+def band_keys(docs: DataFrame, settings: Settings) -> DataFrame:
+    """key (band and its smallest shingle), h, n of all pieces of ``docs``: copies in a task come as one row."""
     schema = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("n", pa.int64())])
     odd = np.random.default_rng(1).integers(0, 1 << 63, settings.bands, dtype=np.uint64) | np.uint64(1)
 
@@ -122,21 +123,21 @@ def band_keys(found: DataFrame, settings: Settings) -> DataFrame:
     def work(batches):
         held, size = [], 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            column = b.column(1)
-            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] // 4
-            flat = np.frombuffer(column.buffers()[2], np.uint32)[offsets[0]:offsets[-1]].astype(np.uint64)
-            keys = np.stack([np.minimum.reduceat(mixed(flat * m) >> np.uint64(32), offsets[:-1] - offsets[0]) for m in odd]).astype(np.int64)
-            held.append((b.column(0).to_numpy(), keys))
-            size += b.num_rows
-            if size >= settings.flush:
-                yield from emit(held)
-                held, size = [], 0
+            for lo in range(0, b.num_rows, 500):
+                _, _, _, _, h, shingles, ends = cut(b.column(1).slice(lo, 500).to_pylist(), settings)
+                if not len(h):
+                    continue
+                flat, begins = shingles.astype(np.uint64), np.concatenate([[0], ends[:-1]])
+                keys = np.stack([np.minimum.reduceat(mixed(flat * m) >> np.uint64(32), begins) for m in odd]).astype(np.int64)
+                held.append((h.view(np.int64), keys))
+                size += len(h)
+                if size >= settings.flush:
+                    yield from emit(held)
+                    held, size = [], 0
         if size:
             yield from emit(held)
 
-    return found.select("h", "shingles").mapInArrow(work, "key long, h long, n long")
+    return texts(docs).mapInArrow(work, "key long, h long, n long")
 
 
 def jaccard_forest(similarity: float):
@@ -171,18 +172,20 @@ def repeated_passages(docs: DataFrame, settings: Settings = Settings()) -> DataF
     removed pieces meet. first_doc is the smallest doc_id of the first piece's cluster. Words are runs between
     ASCII white space, compared in small letters; first_word counts from 0. Null and empty texts have none.
     Rows that repeat a doc_id are texts of their own. A row without doc_id comes before all others.
+    ``docs`` are read and cut twice, as all pieces would take as much disk as the texts: stage a frame first
+    that is dear or isn't the same at each reading.
     """
-    found = stage(pieces(docs, settings), "pieces")
     key = Window.partitionBy("key")
-    hits = stage(band_keys(found, settings).withColumns({"total": F.sum("n").over(key), "lo": F.min("h").over(key), "hi": F.max("h").over(key)})
+    hits = stage(band_keys(docs, settings).withColumns({"total": F.sum("n").over(key), "lo": F.min("h").over(key), "hi": F.max("h").over(key)})
                  .filter("total > 1").select("key", "h", (F.col("lo") != F.col("hi")).alias("differ")), "band-hits")
-    repeated = stage(found.join(hits.select("h").distinct(), "h", "left_semi"), "repeated-pieces")
+    repeated = stage(pieces(docs, settings).join(hits.select("h").distinct(), "h", "left_semi"), "repeated-pieces")
     near = hits.filter("differ").select("key", "h").distinct()
     payload = repeated.join(near.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("payload"))
     members = near.join(payload, "h").select("key", F.col("h").alias("id"), "payload")
     roots = components(link_groups(members, jaccard_forest(settings.similarity)))
     clustered = stage(repeated.drop("shingles").join(roots, F.col("h") == F.col("node"), "left")
                       .select("doc_id", "row", "no", "first_word", "n_words", F.coalesce("root", "h").alias("cluster")), "clustered-pieces")
+    unstage(hits, repeated)
     first = (clustered.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "no")).alias("first"))
              .filter("n > 1").drop("n"))
     joined = clustered.join(first, "cluster").select(

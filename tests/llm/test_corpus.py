@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, lm, nearcopies, neighbours, passages, pieces, pii, queries, simhash, toxicity, urlfilter, warc
 from millrace.llm.common import components
+from millrace.session import stage
 
 RNG = random.Random(5)
 
@@ -81,6 +82,19 @@ def test_identical_lines_are_found_whatever_stands_around_them(spark):
     assert {r.doc_id for r in found if r.removed} == set(range(1, 400, 2))
 
 
+def test_passages_leave_no_pieces_of_unrepeated_texts_on_disk(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(300)) for i in range(300)] + [(300, "a b c " * 10), (301, "a b c " * 10)], "doc_id long, text string")
+    written = []
+    monkeypatch.setattr("millrace.session.shared_dir", lambda s: f"file://{tmp_path}")
+    monkeypatch.setattr(passages, "stage", lambda df, label: written.append(stage(df, label)) or written[-1])
+    found = passages.repeated_passages(docs)
+    assert [(r.doc_id, r.n_words) for r in found.collect() if r.removed] == [(301, 30)]
+    left = [p for p in tmp_path.iterdir() if "pieces" in p.name or "band" in p.name]
+    assert len(left) == 1 and left[0].name.startswith("clustered")
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < docs.select(F.sum(F.length("text"))).first()[0] / 10
+    assert len(written) == 3 and written[2].count() < 30
+
+
 def test_jaccard_forest_links_what_all_pairs_link():
     sets = []
     for _ in range(40):
