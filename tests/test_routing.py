@@ -1,6 +1,7 @@
 """Routing on small literal transactions."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import rollups as U, routing as R
 from millrace.plans import fanout
@@ -234,6 +235,48 @@ def test_receivers_are_the_pairs_behind_the_start(spark):
     assert R.receivers(only_rows.classes, only_rows.subs).count() == only_rows.outcomes().filter("outcome <> 'below_start'").count()
 
 
+def test_pieces_of_stretches_are_not_sent_through_the_driver(spark, tmp_path):
+    # a small file of subscriptions whose stretches cover many pieces of the log
+    people = [(f"w{i}", "items", None, i * 30, 1, None) for i in range(40)]
+    classes = changes(spark, [(t, "items", "insert", str(t)) for t in range(1, 200)]).selectExpr(
+        "tx_id", "commit_lsn", "session_id", "'wildcard' AS kind", "schema_name", "table_name", "string(null) AS pk", "1L AS policy_id", "1L AS version")
+    for name, df in (("classes", classes), ("subs", subs(spark, people).selectExpr("*", "bigint(null) AS violation_lsn"))):
+        df.write.parquet(str(tmp_path / name))
+    pairs = R.receivers(*(spark.read.parquet(str(tmp_path / n)) for n in ("classes", "subs")), 16)
+    above = _plan(pairs).split("Generate explode")[0].split("\n")
+    assert "Exchange hashpartitioning" in [line for line in above if "Exchange" in line][-1]
+    assert pairs.count() == sum(t * 10 > i * 30 for t in range(1, 200) for i in range(40))
+
+
+def test_sink_writes_a_stretch_of_a_shared_log_for_each_subscription(spark, tmp_path):
+    from millrace.sources import read_dispatch, write_dispatch
+    rows = [(t, "items", "insert", str(t)) for t in range(1, 60)] + [(t, "users", "insert", "u") for t in range(1, 60, 3)]
+    rows += [(30, "items", "insert", f"m{k}") for k in range(9)] + [(41, "users", "insert", f"n{k}") for k in range(9)]
+    people = [(f"w{i}", "items", None, i * 37 - 50, 1, end) for i, end in enumerate([None, 100, -60, None, 148, 300, None, 10 ** 15])]
+    people += [(f"e{i}", "users", "u", i * 70, 1, end) for i, end in enumerate([None, 100, 130])] + [("none", "items", None, 10 ** 9)]
+    versions, grants = policies(spark, versions=[(1, 1, 15)])
+    parts = [changes(spark, [r for r in rows if (r[0] < 25) == first]) for first in (True, False)]
+    out, want = str(tmp_path / "out"), []
+    for n, part in enumerate(parts):
+        sent = fanout.dispatch(part, subs(spark, people), versions, grants, 8)
+        want += [(r.sub_id, r.tx_id, r.payload) for r in sent.received().join(sent.events, ["tx_id", "commit_lsn", "session_id", *fanout.EVENT]).collect()]
+        write_dispatch(sent.logs(), sent.stretches(), sent.events, out, n)
+    stored = {n: spark.read.parquet(f"{out}/{n}").count() for n in ("events", "logs", "received")}
+    assert stored["received"] <= 2 * len(people) < stored["logs"] < len(want)
+    seen = []
+    got = read_dispatch(spark, out, view=lambda events: (seen.append(events.columns), events)[1])
+    assert sorted((r.sub_id, r.tx_id, r.payload) for r in got.collect()) == sorted(want) and len(seen) == 1
+    some = read_dispatch(spark, out, ["w0", "e0"]).collect()
+    assert sorted((r.sub_id, r.tx_id, r.payload) for r in some) == sorted(w for w in want if w[0] in ("w0", "e0"))
+
+
+def test_positions_keep_their_order_as_bigint(spark):
+    from millrace.functions import lsn_order
+    places = [-5, 0, 1, (1 << 63) - 1, 1 << 63, (1 << 64) - 1]
+    got = [r[0] for r in spark.createDataFrame([(str(p),) for p in places], "p string").selectExpr("cast(p as decimal(20,0)) AS p").orderBy("p").select(lsn_order(F.col("p"))).collect()]
+    assert got[0] is None and got[1:] == [p - (1 << 63) for p in places[1:]]
+
+
 def test_repeated_side_is_not_broadcast(spark, tmp_path):
     from millrace.operators.skew import salted_join
     spark.range(50).selectExpr("id AS k").write.parquet(str(tmp_path / "small"))
