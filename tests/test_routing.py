@@ -277,6 +277,29 @@ def test_positions_keep_their_order_as_bigint(spark):
     assert got[0] is None and got[1:] == [p - (1 << 63) for p in places[1:]]
 
 
+def test_routing_leaves_only_the_frames_that_are_read_on(spark, monkeypatch):
+    import os
+    staged, stage = {}, fanout.stage
+    def kept(df, label):
+        frame = stage(df, label)
+        staged[label] = os.path.dirname(frame.inputFiles()[0]).removeprefix("file://")
+        return frame
+    monkeypatch.setattr(fanout, "stage", kept)
+    run = routed(spark, LOG, PEOPLE)
+    assert {n for n, path in staged.items() if os.path.exists(path)} == {"outcomes", "subs"} and len(staged) == 5
+    assert len(got(run)) > 5
+    # shuffles of finished queries don't wait for the driver's garbage collection
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+
+
+def test_counts_of_the_routing_plan_land_no_payload(spark, monkeypatch):
+    from millrace import queries as Q
+    read = []
+    monkeypatch.setattr(Q.fanout, "route", lambda changes, *a, **k: read.append(changes.columns))
+    Q.routed(spark, "/root/testdata/sf0.001")
+    assert "names" in read[0] and "data" not in read[0]
+
+
 def test_repeated_side_is_not_broadcast(spark, tmp_path):
     from millrace.operators.skew import salted_join
     spark.range(50).selectExpr("id AS k").write.parquet(str(tmp_path / "small"))
